@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from trajlake.llm.decontaminate import op2_decontaminate_edit
+from trajlake.llm.quality_rules import op5_quality_divergence
 from trajlake.llm.simhash import op10_simhash_covering_lsh
 
 QUERIES = {
+    "op2_decontaminate_edit": op2_decontaminate_edit,
+    "op5_quality_divergence": op5_quality_divergence,
     "op10_simhash_covering_lsh": op10_simhash_covering_lsh,
 }
 
