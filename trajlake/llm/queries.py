@@ -3,12 +3,20 @@
 from __future__ import annotations
 
 from trajlake.llm.decontaminate import op2_decontaminate_edit
+from trajlake.llm.language_id import op9_language_id_compression
+from trajlake.llm.quality_fm import op3_quality_factorisation_machine
 from trajlake.llm.quality_rules import op5_quality_divergence
 from trajlake.llm.simhash import op10_simhash_covering_lsh
+from trajlake.llm.token_counts import op8_token_counts
+from trajlake.llm.toxicity import op4_toxicity_counterfactual
 
 QUERIES = {
     "op2_decontaminate_edit": op2_decontaminate_edit,
+    "op3_quality_factorisation_machine": op3_quality_factorisation_machine,
+    "op4_toxicity_counterfactual": op4_toxicity_counterfactual,
     "op5_quality_divergence": op5_quality_divergence,
+    "op8_token_counts": op8_token_counts,
+    "op9_language_id_compression": op9_language_id_compression,
     "op10_simhash_covering_lsh": op10_simhash_covering_lsh,
 }
 
