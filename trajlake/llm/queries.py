@@ -9,8 +9,10 @@ from trajlake.llm.quality_rules import op5_quality_divergence
 from trajlake.llm.simhash import op10_simhash_covering_lsh
 from trajlake.llm.token_counts import op8_token_counts
 from trajlake.llm.toxicity import op4_toxicity_counterfactual
+from trajlake.llm.warc import OP1_SQL, op1_warc_round_trip
 
 QUERIES = {
+    "op1_warc_round_trip": op1_warc_round_trip,
     "op2_decontaminate_edit": op2_decontaminate_edit,
     "op3_quality_factorisation_machine": op3_quality_factorisation_machine,
     "op4_toxicity_counterfactual": op4_toxicity_counterfactual,
@@ -20,4 +22,6 @@ QUERIES = {
     "op10_simhash_covering_lsh": op10_simhash_covering_lsh,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc_round_trip": OP1_SQL,
+}
