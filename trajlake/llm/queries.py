@@ -7,6 +7,7 @@ from trajlake.llm.language_id import op9_language_id_compression
 from trajlake.llm.quality_fm import op3_quality_factorisation_machine
 from trajlake.llm.quality_rules import op5_quality_divergence
 from trajlake.llm.simhash import op10_simhash_covering_lsh
+from trajlake.llm.suffix_dedup import op7_suffix_run_length
 from trajlake.llm.token_counts import op8_token_counts
 from trajlake.llm.toxicity import op4_toxicity_counterfactual
 from trajlake.llm.warc import OP1_SQL, op1_warc_round_trip
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_quality_factorisation_machine": op3_quality_factorisation_machine,
     "op4_toxicity_counterfactual": op4_toxicity_counterfactual,
     "op5_quality_divergence": op5_quality_divergence,
+    "op7_suffix_run_length": op7_suffix_run_length,
     "op8_token_counts": op8_token_counts,
     "op9_language_id_compression": op9_language_id_compression,
     "op10_simhash_covering_lsh": op10_simhash_covering_lsh,
