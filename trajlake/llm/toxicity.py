@@ -8,8 +8,9 @@ is penalised, so that naming a group doesn't move the score.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -61,14 +62,22 @@ def swaps(groups: list[list[str]]) -> list[dict[str, str]]:
     return [forward, back, neutral]
 
 
-def choose_words(texts: list[set[str]], y: np.ndarray, most: int, least_df: int, least_z: float) -> list[str]:
-    """The words whose presence differs most surely between the labels (z of the smoothed log odds ratio)."""
+def choose_words(texts: list[str], y: np.ndarray, most: int, least_df: int, least_z: float, slots: int = 1 << 22) -> list[str]:
+    """The words and stems whose presence differs most surely between the labels (z of the smoothed log odds ratio).
+
+    texts: the distinct words of each text, joined by blanks. Counts in hashed slots, which are never too low, tell first
+    which strings can be frequent enough, so that the many rare ones are not held.
+    """
     n1, n0 = int(y.sum()), int(len(y) - y.sum())
+    slot = np.zeros(slots, dtype=np.int32)
+    for t in texts:
+        at = np.fromiter((zlib.crc32(w.encode()) for w in with_stems(set(t.split()))), dtype=np.int64)
+        np.add.at(slot, at % slots, 1)
     df1, df0 = Counter(), Counter()
     for t, label in zip(texts, y):
-        (df1 if label else df0).update(t)
+        (df1 if label else df0).update(w for w in with_stems(set(t.split())) if slot[zlib.crc32(w.encode()) % slots] >= least_df)
     kept = []
-    for w in set(df1) | set(df0):
+    for w in df1.keys() | df0.keys():
         a, c = df1[w], df0[w]
         if a + c >= least_df:
             a, c = a + 0.5, c + 0.5 * n0 / max(1, n1)
@@ -79,23 +88,25 @@ def choose_words(texts: list[set[str]], y: np.ndarray, most: int, least_df: int,
     return [w for _, w in sorted(kept)[:most]]
 
 
-def fit(texts: list[set[str]], y: np.ndarray, sample_weight: np.ndarray, groups: list[list[str]] = IDENTITY_TERMS, counterfactual: float = 1.0, ridge: float = 3e-5,
+def fit(texts: list[str], y: np.ndarray, sample_weight: np.ndarray, groups: list[list[str]] = IDENTITY_TERMS, counterfactual: float = 1.0, ridge: float = 3e-5,
         rounds: int = 400, most: int = 4000, least_df: int = 4, least_z: float = 3.0) -> tuple[float, dict[str, float]]:
-    """(intercept, weight of each chosen word) of the logistic model with the counterfactual penalty."""
+    """(intercept, weight of each chosen word) of the logistic model with the counterfactual penalty.
+
+    texts: the distinct words of each text, joined by blanks.
+    """
     terms = {t for kind in groups for t in kind}
-    plain, texts = texts, [with_stems(t) for t in texts]
     vocabulary = choose_words(texts, y, most, least_df, least_z)
-    vocabulary += sorted((terms & set().union(*texts)) - set(vocabulary)) if texts else []
+    named = [i for i, t in enumerate(texts) if not terms.isdisjoint(t.split())]
+    vocabulary += sorted({w for i in named for w in texts[i].split() if w in terms} - set(vocabulary))
     at = {w: i for i, w in enumerate(vocabulary)}
 
-    def rows(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [(i, at[w]) for i, s in enumerate(sets) for w in s & at.keys()]
+    def rows(sets: Iterable[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+        pairs = [(i, at[w]) for i, s in enumerate(sets) for w in with_stems(s) & at.keys()]
         return tuple(np.array(c, dtype=np.int64) for c in (zip(*pairs) if pairs else ([], [])))
 
-    row, col = rows(texts)
-    named = [i for i, s in enumerate(texts) if s & terms]
-    copies = [(i, {how.get(w, w) for w in plain[i]}) for how in swaps(groups) for i in named]
-    crow, ccol = rows([with_stems(s) for _, s in copies])
+    row, col = rows(set(t.split()) for t in texts)
+    copies = [(i, how) for how in swaps(groups) for i in named]
+    crow, ccol = rows({how.get(w, w) for w in texts[i].split()} for i, how in copies)
     origin = np.array([i for i, _ in copies], dtype=np.int64)
     n, v = len(texts), len(vocabulary)
     w, b = np.zeros(v), 0.0
@@ -131,7 +142,7 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, bound: int = 8000, *
 
     got = sample.select("doc_id", F.col("text").cast("string"), "y").mapInArrow(run, "doc_id long, x string, y int").toArrow().sort_by("doc_id")
     y = got.column("y").to_numpy().astype(float) if got.num_rows else np.zeros(0)
-    return fit([set(x.split()) for x in got.column("x").to_pylist()], y, np.where(y > 0, weights[1], weights[0]), **options)
+    return fit(got.column("x").to_pylist(), y, np.where(y > 0, weights[1], weights[0]), **options)
 
 
 def scored(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataFrame:
