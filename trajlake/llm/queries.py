@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import run as pipeline
 from trajlake.llm.decontaminate import op2_decontaminate_edit
 from trajlake.llm.language_id import op9_language_id_compression
+from trajlake.llm.mixing import op6_mixing_soft_membership
 from trajlake.llm.quality_fm import op3_quality_factorisation_machine
 from trajlake.llm.quality_rules import op5_quality_divergence
 from trajlake.llm.simhash import op10_simhash_covering_lsh
@@ -18,10 +20,12 @@ QUERIES = {
     "op3_quality_factorisation_machine": op3_quality_factorisation_machine,
     "op4_toxicity_counterfactual": op4_toxicity_counterfactual,
     "op5_quality_divergence": op5_quality_divergence,
+    "op6_mixing_soft_membership": op6_mixing_soft_membership,
     "op7_suffix_run_length": op7_suffix_run_length,
     "op8_token_counts": op8_token_counts,
     "op9_language_id_compression": op9_language_id_compression,
     "op10_simhash_covering_lsh": op10_simhash_covering_lsh,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
