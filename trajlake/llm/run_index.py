@@ -93,14 +93,18 @@ class RunLengthIndex:
         out = np.zeros((self.m, windows), dtype=self.class_least.dtype)
         q = np.arange(self.rows_total - self.m, self.rows_total)  # the ends, greatest of all, in the order of rows
         going, at = np.arange(self.m), self.lens.copy()
+        # ranks in the bit vectors of run and class starts, spelt out while all rows stream
+        run_of = np.repeat(np.arange(len(self.run_start), dtype=np.int32), np.diff(np.append(self.run_start, self.rows_total)))
+        least = np.repeat(self.class_least, np.diff(np.append(self.class_start, self.rows_total)))
+        shift = self.run_first - self.run_start
         for _ in range(self.n - 1):
             if (at == 0).any():
                 going, q, at = going[at > 0], q[at > 0], at[at > 0]
-            q = self.step(q)
+            q = q + shift[run_of[q]]
             at = at - 1
             if len(at) and at.min() < windows:
                 now = at < windows
-                out[going[now], at[now]] = self.class_least[np.searchsorted(self.class_start, q[now], side="right") - 1]
+                out[going[now], at[now]] = least[q[now]]
         return out
 
     def _before(self, c: int, q: int) -> tuple[int, int]:

@@ -16,6 +16,8 @@ hold costs a row for each block and not for each document.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -29,7 +31,8 @@ from trajlake.llm.common import fresh_path, utf8
 from trajlake.llm.run_index import END, RunLengthIndex
 
 GRAM = 24
-SLAB = 1 << 20
+SLAB = 1 << 15
+INDEX_BYTES = 3 << 18
 NO_DOC = np.iinfo(np.int64).max
 
 
@@ -80,14 +83,48 @@ def contexts(buf: np.ndarray, ends: np.ndarray, doc: np.ndarray, place: np.ndarr
     padded = np.concatenate([np.full(width, END, np.uint8), buf, np.full(width, END, np.uint8)])
     out = np.lib.stride_tricks.sliding_window_view(padded, width)[place - left + width]
     starts = np.concatenate([[0], ends[:-1]])
-    at = place[:, None] - left + np.arange(width)
     cut = np.flatnonzero((place - left < starts[doc]) | (place + length > ends[doc]))
-    out[cut] = np.where((at[cut] < starts[doc[cut], None]) | (at[cut] >= ends[doc[cut], None]), END, out[cut])
+    at = place[cut, None] - left + np.arange(width)
+    out[cut] = np.where((at < starts[doc[cut], None]) | (at >= ends[doc[cut], None]), END, out[cut])
     return out
 
 
+def row_hash(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of a byte matrix whose width is a multiple of four."""
+    words = np.ascontiguousarray(rows).view("<u4")
+    h = np.zeros(len(rows), np.uint64)
+    for j in range(words.shape[1]):
+        h ^= words[:, j]
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def equal_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, back) as of numpy's unique: a row of each class of equal rows, and the class of every row.
+
+    Rows are sorted by hash and neighbours compared byte by byte; if different rows share a hash, by their bytes.
+    """
+    if not len(rows):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    h = row_hash(rows)
+    order = np.argsort(h)
+    same = h[order][1:] == h[order][:-1]
+    a, b = order[1:][same], order[:-1][same]
+    if any((rows[a[i : i + 65536]] != rows[b[i : i + 65536]]).any() for i in range(0, len(a), 65536)):
+        _, first, back = np.unique(np.ascontiguousarray(rows).view(f"S{rows.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        return first, back
+    new = np.concatenate([[True], ~same])
+    back = np.empty(len(rows), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return order[new], back
+
+
 class Block:
-    """A block's documents in the order of their ids, and its anchors. Documents without an id take no part."""
+    """A block's documents in the order of their ids, and its anchors. Documents without an id take no part.
+
+    All that it derives depends on the block alone, so that it comes out alike whenever the block is read.
+    """
 
     def __init__(self, ids: list[int | None], lens: list[int], data: bytes, length: int):
         self.ids, self.length = ids, length
@@ -97,27 +134,31 @@ class Block:
         d = np.searchsorted(self.ends, p, side="right")
         named = np.array([i is not None for i in ids], dtype=bool)[d] if len(d) else np.empty(0, bool)
         self.place, self.hash, self.doc = p[named], h[named], d[named]
-        self.distinct, self.back = np.unique(self.hash, return_inverse=True)
+
+    def distinct(self) -> np.ndarray:
+        """The anchors' hashes, sorted, each once."""
+        x = np.sort(self.hash)
+        return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
     def narrow(self, shared: dict[int, bytes], bits: int) -> None:
-        """Keep the anchors that another document of the block has or that were answered to be in another block."""
-        order = np.lexsort((self.id_of[self.doc], self.back))
-        g, d = self.back[order], self.id_of[self.doc][order]
-        several = np.zeros(len(self.distinct), dtype=bool)
-        np.logical_or.at(several, g[1:][(g[1:] == g[:-1]) & (d[1:] != d[:-1])], True)
-        for bucket, (a, b) in spans(self.distinct, bits):
-            got = np.unpackbits(np.frombuffer(shared[bucket], dtype=np.uint8), count=b - a).astype(bool)
-            several[a:b] |= got
-        keep = several[self.back]
-        self.place, self.hash, self.doc = self.place[keep], self.hash[keep], self.doc[keep]
+        """Keep the anchors that another document of the block has or that were answered to be in another block.
+
+        Afterwards they are sorted by hash.
+        """
+        order = np.argsort(self.hash)
+        h, ids = self.hash[order], self.id_of[self.doc[order]]
+        new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
+        first = np.flatnonzero(new)
+        keep = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(first) else np.empty(0, bool)
+        for bucket, (a, b) in spans(h[first], bits):
+            keep[a:b] |= np.unpackbits(np.frombuffer(shared[bucket], dtype=np.uint8), count=b - a).astype(bool)
+        order = order[np.repeat(keep, np.diff(np.append(first, len(h))))]
+        self.place, self.hash, self.doc = self.place[order], self.hash[order], self.doc[order]
 
     def gather(self) -> None:
         """The distinct contexts in the order of their hashes, with the least id of each."""
         c = contexts(self.buf, self.ends, self.doc, self.place, self.length)
-        order = np.lexsort((np.arange(len(c)), self.hash))
-        self.place, self.hash, self.doc, c = self.place[order], self.hash[order], self.doc[order], c[order]
-        keys = np.ascontiguousarray(c).view(f"S{c.shape[1]}").ravel() if len(c) else np.empty(0, "S1")
-        _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+        first, back = equal_rows(c)
         rank = np.empty(len(first), np.int64)
         by_hash = np.argsort(first, kind="stable")
         rank[by_hash] = np.arange(len(first))
@@ -141,8 +182,7 @@ def compare(rows: np.ndarray, hashes: np.ndarray, least: np.ndarray, length: int
     context with a smaller label. Contexts with an anchor of their own, or all equal for an anchor, need no index."""
     width = rows.shape[1]
     windows = width - length + 1
-    keys = np.ascontiguousarray(rows).view(f"S{width}").ravel()
-    _, first, back = np.unique(keys, return_index=True, return_inverse=True)
+    first, back = equal_rows(rows)
     label = np.full(len(first), NO_DOC)
     np.minimum.at(label, back, least)
     mask = np.zeros(len(first), dtype=np.uint32)
@@ -151,7 +191,7 @@ def compare(rows: np.ndarray, hashes: np.ndarray, least: np.ndarray, length: int
     if len(mixed):
         order = np.argsort(group[mixed], kind="stable")
         mixed = mixed[order]
-        per = max(1, (8 << 20) // width)  # an index of bounded size; all contexts of an anchor are in one
+        per = max(1, INDEX_BYTES // width)  # an index of bounded size; all contexts of an anchor are in one
         edges = np.concatenate([[0], np.flatnonzero(np.diff(group[mixed])) + 1, [len(mixed)]])
         a = 0
         while a < len(mixed):
@@ -161,7 +201,7 @@ def compare(rows: np.ndarray, hashes: np.ndarray, least: np.ndarray, length: int
             text = rows[first[part]]
             blank = np.argmax(text != END, axis=1)  # contexts at the start of a document begin with END
             turned = np.take_along_axis(text, (np.arange(width)[None, :] + blank[:, None]) % width, axis=1)
-            _, one, of = np.unique(np.ascontiguousarray(turned).view(f"S{width}").ravel(), return_index=True, return_inverse=True)
+            one, of = equal_rows(turned)
             merged = np.full(len(one), NO_DOC)
             np.minimum.at(merged, of, label[part])
             low = RunLengthIndex(turned[one], merged, length).least_labels(windows)[of]
@@ -175,7 +215,7 @@ def compare(rows: np.ndarray, hashes: np.ndarray, least: np.ndarray, length: int
     return label[back], mask[back]
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, block_bytes: int = 8 << 20, rest: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, rest: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts, kept (string), n_kept; then rest.
 
     Removed is each byte that is covered by a string of `length` bytes that also starts in a document with a smaller
@@ -187,7 +227,8 @@ def suffix_dedup(docs: DataFrame, length: int = 50, block_bytes: int = 8 << 20,
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.ceil(np.log2(max(64, total // (4 << 20)))))
     buckets = 1 << bits
-    table = _block_table(docs, block_bytes, max(4, total // (24 << 20)), rest)
+    # at least as many table buckets as shuffle partitions: with fewer, the planner would rather deal the texts anew
+    table = _block_table(docs, block_bytes, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (24 << 20)), rest)
 
     ask = table.select("block", "ids", "lens", "data").mapInArrow(_ask_anchors(length, bits), "bucket int, block long, n int, data binary")
     shared = _by_bucket(ask, buckets).mapInArrow(_answer_anchors, "block long, bucket int, data binary")
@@ -245,17 +286,26 @@ def _block_table(docs: DataFrame, block_bytes: int, buckets: int, rest: tuple[st
     return docs.sparkSession.table(name)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: a worker process lives on, and its heap would keep its largest size."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa.RecordBatch, int, Block]]:
     for b in batches:
         for i in range(b.num_rows):
             yield b, i, Block(b.column(1)[i].as_py(), b.column(2)[i].as_py(), b.column(3)[i].as_py(), length)
+            _give_back()
 
 
 def _ask_anchors(length: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, i, x in _blocks(batches, length):
-            parts = spans(x.distinct, bits)
-            short = ((x.distinct << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits behind the bucket's
+            distinct = x.distinct()
+            parts = spans(distinct, bits)
+            short = ((distinct << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits behind the bucket's
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([b.column(0)[i].as_py()] * len(parts), pa.int64()), pa.array([e - a for _, (a, e) in parts], pa.int32()), pa.array([short[a:e].tobytes() for _, (a, e) in parts], pa.binary())], ["bucket", "block", "n", "data"])
 
     return run
@@ -279,6 +329,7 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 
 def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _grouped(batches):
+        _give_back()
         sizes, data = t.column("n").to_numpy(), t.column("data").to_pylist()
         flat = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
         flat[:, :6] = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, 6)
@@ -307,12 +358,11 @@ def _answer_contexts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches):
+            _give_back()
             sizes = t.column("n").to_numpy()
             rows = np.frombuffer(b"".join(t.column("data").to_pylist()), dtype=np.uint8).reshape(-1, width)
             least = np.frombuffer(b"".join(t.column("least").to_pylist()), dtype="<i8")
-            grams = np.ascontiguousarray(rows[:, left : left + GRAM]).view(f"S{GRAM}").ravel()
-            _, group = np.unique(grams, return_inverse=True)
-            low, mask = compare(rows, group, least, length)
+            low, mask = compare(rows, row_hash(rows[:, left : left + GRAM]), least, length)
             cut = np.cumsum(sizes)[:-1]
             out = [a.astype("<i8").tobytes() + m.astype("<u4").tobytes() for a, m in zip(np.split(low, cut), np.split(mask, cut))]
             yield pa.RecordBatch.from_arrays([pa.array(t.column("block").to_pylist(), pa.int64()), pa.array(t.column("bucket").to_pylist(), pa.int32()), pa.array(out, pa.binary())], ["block", "bucket", "data"])
@@ -333,15 +383,19 @@ def _finish(length: int, bits: int, texts: bool, rest: bool):
                 n = e - a
                 low[a:e] = np.frombuffer(told[bucket], dtype="<i8", count=n)
                 mask[a:e] = np.frombuffer(told[bucket], dtype="<u4", offset=8 * n, count=n)
-            gone = np.zeros(len(x.buf) + 1, dtype=np.int64)
             starts = np.concatenate([[0], x.ends[:-1]])
+            earlier = low[x.back] < x.id_of[x.doc]
+            found = np.zeros(len(x.buf), dtype=bool)
             for s in range(windows):
                 at = x.place - left + s
-                fits = (at >= starts[x.doc]) & (at + length <= x.ends[x.doc])
-                hit = fits & ((low[x.back] < x.id_of[x.doc]) | ((mask[x.back] >> np.uint32(s)) & np.uint32(1)).astype(bool))
-                gone[at[hit]] = 1
-            seen = np.concatenate([[0], np.cumsum(gone[:-1])])
-            cover = seen[1:] > seen[np.maximum(0, np.arange(1, len(x.buf) + 1) - length)]
+                found[at[(at >= starts[x.doc]) & (at + length <= x.ends[x.doc]) & (earlier | ((mask >> np.uint32(s)) & np.uint32(1)).astype(bool)[x.back])]] = True
+            at = np.flatnonzero(found)
+            change = np.zeros(len(x.buf) + 1, dtype=np.int8)
+            if len(at):
+                apart = at[1:] > at[:-1] + length
+                change[at[np.concatenate([[True], apart])]] = 1
+                change[at[np.concatenate([apart, [True]])] + length] -= 1
+            cover = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
             yield _rows_of(x, cover, starts, texts, b.column(6)[i].values if rest else None)
 
     return run
