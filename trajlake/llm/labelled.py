@@ -23,4 +23,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
         rows += [(r["doc_id"], y) for r in got]
         weights[y] = total.get(y, 0) / max(1, len(got))
     ids = docs.sparkSession.createDataFrame(rows, "doc_id long, y int")
-    return docs.withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(ids), "doc_id"), weights
+    return docs.drop("y").withColumn("doc_id", F.col("doc_id").cast("long")).join(F.broadcast(ids), "doc_id"), weights

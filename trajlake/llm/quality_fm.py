@@ -107,7 +107,8 @@ def train(docs: DataFrame, labels: DataFrame, keep: Column, bound: int = 6000) -
             x[i] = np.frombuffer(zlib.decompress(z), dtype=np.float16)
         y = rows.column("y").to_numpy().astype(np.float32)
         sw = np.where(y > 0, weights[1], weights[0])
-        fm.fit(x, y, (sw / sw.mean()).astype(np.float32))
+        return fm.fit(x, y, (sw / sw.mean()).astype(np.float32))
+    fm.v[:] = 0
     return fm
 
 
