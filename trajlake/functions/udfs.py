@@ -10,6 +10,14 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+TEXTS = T.ArrayType(T.StringType())
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
 
 # ---- reports of test runs ----
 
@@ -54,7 +62,7 @@ def _structs(rows: Iterator[tuple], names: list[str]) -> pd.DataFrame:
     return pd.DataFrame(list(rows), columns=names)
 
 
-@F.pandas_udf("ok boolean, reason string, report string")
+@F.pandas_udf(_struct(ok=T.BooleanType(), reason=T.StringType(), report=T.StringType()))
 def test_report_udf(log: pd.Series, lang: pd.Series) -> pd.DataFrame:
     return _structs((test_report(a, b) for a, b in zip(log, lang)), ["ok", "reason", "report"])
 
@@ -178,22 +186,22 @@ def math_reward(response: str | None, truths: list[str], think: bool = True, too
     return (1.0 + 0.5 * (tool_bonus and used_tool) if ok else 0.0), ok, False
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def boxed_udf(text: pd.Series) -> pd.Series:
     return text.map(boxed)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def math_normal_udf(text: pd.Series) -> pd.Series:
     return text.map(math_normal)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def math_equal_udf(given: pd.Series, truth: pd.Series) -> pd.Series:
     return pd.Series([math_equal(a, b) for a, b in zip(given, truth)])
 
 
-@F.pandas_udf("reward double, correct boolean, format_error boolean")
+@F.pandas_udf(_struct(reward=T.DoubleType(), correct=T.BooleanType(), format_error=T.BooleanType()))
 def math_reward_udf(response: pd.Series, truths: pd.Series) -> pd.DataFrame:
     return _structs((math_reward(a, list(b) if b is not None else []) for a, b in zip(response, truths)), ["reward", "correct", "format_error"])
 
@@ -228,7 +236,7 @@ def code_without_docs(code: str | None) -> str | None:
     return ast.dump(tree)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def changes_code(old: pd.Series, new: pd.Series) -> pd.Series:
     """Whether more than comments, layout and doc strings differ; false if either doesn't parse."""
     def one(a, b):
@@ -238,7 +246,7 @@ def changes_code(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(old, new)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def without_main_udf(code: pd.Series) -> pd.Series:
     return code.map(without_main)
 
@@ -253,7 +261,7 @@ def inline_code(command: str | None) -> bool:
     return runs or bool(re.search(r"<<-?\s*['\"]?\w+", command or ""))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def inline_code_udf(command: pd.Series) -> pd.Series:
     return command.map(inline_code)
 
@@ -295,7 +303,7 @@ def diff_lines(patch: str | None) -> Iterator[tuple]:
         new, right = new + (kind != "deleted"), right - (kind != "deleted")
 
 
-@F.udtf(returnType="path string, file_no int, hunk_no int, line_no int, kind string, text string, old_line int, new_line int")
+@F.udtf(returnType=_struct(path=T.StringType(), file_no=T.IntegerType(), hunk_no=T.IntegerType(), line_no=T.IntegerType(), kind=T.StringType(), text=T.StringType(), old_line=T.IntegerType(), new_line=T.IntegerType()))
 class ParseDiff:
     """Rows of a patch, for lateral joins."""
 
@@ -320,7 +328,7 @@ def unified(old: str | None, new: str | None, path: str) -> str:
     return "".join(x if x.endswith("\n") else x + "\n" for x in difflib.unified_diff((old or "").splitlines(keepends=True), (new or "").splitlines(keepends=True), a, b))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unified_udf(old: pd.Series, new: pd.Series, path: pd.Series) -> pd.Series:
     return pd.Series([unified(a, b, p) for a, b, p in zip(old, new, path)])
 
@@ -346,7 +354,7 @@ def condensed(blocks: list[tuple[str, str]], budget: int, size: Callable[[str],
 
 
 def condense_udf(budget: int):
-    @F.pandas_udf("array<struct<role:string,content:string>>")
+    @F.pandas_udf(T.ArrayType(_struct(role=T.StringType(), content=T.StringType())))
     def run(messages: pd.Series) -> pd.Series:
         return messages.map(lambda m: [{"role": r, "content": t} for r, t in condensed([(x["role"], x["content"]) for x in m], budget)] if m is not None else None)
 
@@ -356,7 +364,7 @@ def condense_udf(budget: int):
 def truncate_tokens_udf(encode_path: str, most: int):
     """Texts cut to `most` tokens of a vocabulary file of the tokenizers library that the executors have."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(text: pd.Series) -> pd.Series:
         from tokenizers import Tokenizer
 
@@ -392,7 +400,7 @@ def setup_and_test(script: str | None) -> tuple[list[str], str | None]:
     return setup, None
 
 
-@F.pandas_udf("setup array<string>, test string")
+@F.pandas_udf(_struct(setup=TEXTS, test=T.StringType()))
 def setup_and_test_udf(script: pd.Series) -> pd.DataFrame:
     return _structs(map(setup_and_test, script), ["setup", "test"])
 
@@ -400,7 +408,7 @@ def setup_and_test_udf(script: pd.Series) -> pd.DataFrame:
 FAILURE = re.compile(r"^_{3,} (.+?) _{3,}$")
 
 
-@F.pandas_udf("map<string,string>")
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
 def failure_blocks(log: pd.Series) -> pd.Series:
     """Texts of a pytest log's failures by test name."""
 

@@ -173,7 +173,7 @@ def elo(contests: DataFrame, contestants: DataFrame, problems: DataFrame, submis
     at = F.array_position("passed", True) - 1
     hit = F.col("at") >= 0
     solved = solved.withColumn("at", at).groupBy("contest_id").agg(
-        F.sum(F.when(hit, F.coalesce(F.greatest(F.lit(0.0), F.col("points") - 50.0 * F.col("at")), F.lit(1.0))).otherwise(0.0)).alias("score"),
+        F.sum(F.when(hit, F.when(F.col("points").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.col("points") - 50.0 * F.col("at")))).otherwise(0.0)).alias("score"),
         F.sum(F.when(hit & F.col("points").isNull(), 10.0 * F.col("at")).otherwise(0.0)).alias("penalty"))
     rows = contestants.filter("old_rating is not null").join(solved.withColumnsRenamed({"score": "own_score", "penalty": "own_penalty"}).join(contests, "contest_id"), "contest_id")
 
