@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def pinned(df: DataFrame) -> DataFrame:
+    """df checkpointed to the folder of spark.checkpoint.dir; only where none is set a temporary one is made, as in tests."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="trajlake-"))
+    return df.checkpoint()
+
+
 def ranged(df: DataFrame, order: list[str]) -> DataFrame:
-    """df with _part, the number of its range in the order."""
-    return df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id())
+    """df with _part, the number of its range in the order; pinned, as range bounds are sampled anew at each evaluation."""
+    return pinned(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()))
 
 
 def global_index(df: DataFrame, order: list[str], out: str = "row_index") -> DataFrame:
     """df with 0-based ranks over all rows, which order must tell apart.
 
-    Rows are dealt by ranges and numbered inside; the ranges' sizes, one row each, are summed and broadcast. Range bounds are
-    sampled, but ranks don't depend on them.
+    Rows are dealt by ranges and numbered inside; the ranges' sizes, one row each, are summed and broadcast.
     """
     parts = ranged(df, order)
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trajlake.operators.order import pinned
+
 PAIR = "query_id long, index_id long, score double"
 
 
@@ -93,14 +95,16 @@ def greedy_dedupe(df: DataFrame, id_: str, vec: str, cutoff: float = 0.792, k: i
     Exact: a row is settled once all smaller rows that could drop it are. Rounds go over the edge table, which is
     checkpointed; their number is the longest chain of such rows, and no edge reaches the driver.
     """
-    edges = top_k(df, df, id_, vec, k - 1, exclude_self=True, block_rows=block_rows).filter(F.col("score") > cutoff).select(F.col("query_id").alias("u"), F.col("index_id").alias("v")).checkpoint()
-    state = edges.select(F.col("u").alias("x")).union(edges.select("v")).distinct().withColumn("kept", F.lit(None).cast("boolean")).checkpoint()
+    edges = top_k(df, df, id_, vec, k - 1, exclude_self=True, block_rows=block_rows).filter(F.col("score") > cutoff).select(F.col("query_id").alias("u"), F.col("index_id").alias("v"))
+    edges = pinned(edges)
+    state = pinned(edges.select(F.col("u").alias("x")).union(edges.select("v")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
     for _ in range(max_rounds):
         # u drops v if u stays when its turn comes: v's fate waits for the droppers that come before it;
         # a later dropper removes v too, but only after v has had its own turn
         told = edges.join(state.select(F.col("x").alias("u"), F.col("kept").alias("ku")), "u")
         before = told.filter("u < v").groupBy(F.col("v").alias("x")).agg(F.max(F.col("ku")).alias("some_kept"), F.count_if(F.col("ku").isNull()).alias("open"))
-        state = state.join(before, "x", "left").select("x", F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("some_kept", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True).alias("kept")).checkpoint()
+        fate = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("some_kept", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)
+        state = pinned(state.join(before, "x", "left").select("x", fate.alias("kept")))
         if state.filter("kept is null").isEmpty():
             break
     else:
