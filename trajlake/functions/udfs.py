@@ -277,14 +277,19 @@ def diff_lines(patch: str | None) -> Iterator[tuple]:
     A rename, or a line in a hunk that is none of these, is an error.
     """
     file_no, hunk_no, line_no, path, left, right, old, new = -1, -1, 0, None, 0, 0, 0, 0
+    named = False  # the file has begun with a "diff --git" line
     for line in (patch or "").split("\n"):
         if left <= 0 and right <= 0:
             if line.startswith("diff --git"):
-                file_no, hunk_no, path = file_no + 1, -1, line.split(" b/", 1)[-1]
+                file_no, hunk_no, path, named = file_no + 1, -1, line.split(" b/", 1)[-1], True
             elif line.startswith(("rename from", "rename to")):
                 raise ValueError("renames are not parsed")
-            elif line.startswith("--- ") and not line.startswith("--- /dev/null"):
-                path = line[4:].split("\t")[0].removeprefix("a/")
+            elif line.startswith("--- "):
+                if not named:
+                    file_no, hunk_no = file_no + 1, -1
+                named = False
+                if not line.startswith("--- /dev/null"):
+                    path = line[4:].split("\t")[0].removeprefix("a/")
             elif line.startswith("+++ ") and not line.startswith("+++ /dev/null"):
                 path = line[4:].split("\t")[0].removeprefix("b/")
             elif m := HUNK.match(line):
