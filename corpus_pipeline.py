@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from trajlake.llm.common import table, written
 from trajlake.llm.decontaminate import decontaminated
 from trajlake.llm.mixing import mixed
-from trajlake.llm.quality_rules import judge
+from trajlake.llm.quality_rules import quality
 from trajlake.llm.simhash import near_duplicates
 from trajlake.llm.suffix_dedup import suffix_dedup
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return judge(docs).filter("kept").select(docs.columns)
+    return docs.filter(quality(F.col("text"), F.col("lang"))["kept"])
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,9 +26,12 @@ def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the long passages that earlier ones have; what is emptied goes; n_chars is counted anew."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = suffix_dedup(docs, rest=rest, texts=True).filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
-    return out.withColumns({"text": F.col("kept"), "n_chars": F.col("n_kept")}).select([c for c in docs.columns])
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    names = {c: f"_r{i}" for i, c in enumerate(others)}  # names of their own, whatever the table's are
+    out = suffix_dedup(docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in names.items()]), rest=tuple(names.values()), texts=True)
+    out = out.filter((F.col("n_removed") == 0) | F.col("kept").rlike(r"\S"))
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept"), "n_chars": F.col("n_kept")} | {c: F.col(n) for c, n in names.items() if c != "n_chars"}
+    return out.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +41,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says, with rate and copy (from 1); rate zero drops it."""
+    docs = docs.drop("rate", "copy")
     out = mixed(docs, table(spark, sf_dir, "labels")).filter("copies > 0")
-    return out.select(*docs.columns, "rate", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return out.select(*[c for c in docs.columns if c in out.columns], "rate", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
 STAGES = [

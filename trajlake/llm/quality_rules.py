@@ -26,7 +26,7 @@ WORD_REFERENCE = {
     "fr": {"de": 0.048, "la": 0.030, "le": 0.025, "et": 0.022, "les": 0.020, "des": 0.018, "en": 0.014, "un": 0.012, "du": 0.012, "que": 0.010},
     "es": {"de": 0.055, "la": 0.035, "que": 0.028, "el": 0.028, "en": 0.026, "y": 0.025, "a": 0.020, "los": 0.016, "se": 0.012, "del": 0.012},
 }
-ANY = "und"
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
 def let(value: Column, body) -> Column:
@@ -46,7 +46,8 @@ def js_distance(counts: Column, reference: Column) -> Column:
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0) + F.when(q > 0, q * F.log2(q / m)).otherwise(0.0)
 
     shares = let(total, lambda n: F.when(n > 0, F.transform(counts, lambda x: x / n)))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(shares, reference, part), F.lit(0.0), lambda s, x: s + x) / 2))
+    divergence = F.aggregate(F.zip_with(shares, reference, part), F.lit(0.0), lambda s, x: s + x) / 2
+    return let(divergence, lambda d: F.when(d.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), d))))
 
 
 def _by_lang(lang: Column, table: dict[str, list], kind: str) -> Column:
@@ -64,7 +65,9 @@ def repeated_words(words: Column, n: int = 3) -> Column:
     Windows are compared by 64-bit hash. Texts without a repeat stop at a count of distinct hashes; the others sort
     (hash, place) pairs, so that the cost stays n log n however repetitive a text is.
     """
-    windows = F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+    def windows(w: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(n)]))
+        return F.when(F.size(w) >= n, hashes).otherwise(F.array().cast("array<bigint>"))
 
     def covered(h: Column) -> Column:
         pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
@@ -79,59 +82,58 @@ def repeated_words(words: Column, n: int = 3) -> Column:
 
         return let(let(pairs, places), length)
 
-    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))).cast("long")
+    return let(let(words, windows), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))).cast("long")
 
 
-def measure(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), class_distance and word_distance.
+def quality(text: Column, lang: Column, min_words: int = 50, max_repeat_percent: int = 50, max_class_distance: float = 0.20, max_word_distance: float = 0.45,
+            min_chars: int = 200, min_list_words: int = 50) -> Column:
+    """struct of the measures and verdicts of a text.
 
-    Words are maximal runs of characters other than ASCII white space, taken from the whole text; a null text has none.
-    Distances are null where there is nothing to compare: no characters, or no word list for the language. Columns of
-    docs pass through; those of the measures' names are replaced.
-    """
-    t = F.coalesce(F.col(text), F.lit(""))
-    lines = let(F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    df = docs.withColumns({"_words": F.array_remove(F.split(t, SPACE + "+"), ""), "_rest": F.regexp_replace(t, r"\p{L}+", "")})
-    w, rest = F.col("_words"), F.col("_rest")
-    upper, digits = F.regexp_count(t, F.lit(r"\p{Lu}")), F.regexp_count(rest, F.lit(r"\p{Nd}"))
-    marks, symbols = F.regexp_count(rest, F.lit(r"""[.,;:!?'"()¿¡«»…-]""")), F.regexp_count(rest, F.lit(r"[#*$%&|<>]"))
-    df = df.withColumns({
-        "n_words": F.size(w).cast("long"),
-        "word_chars": F.char_length(F.array_join(w, "")).cast("long"),
-        "n_symbols": symbols.cast("long"),
-        "n_dup_lines": lines.cast("long"),
-        "n_repeat_words": repeated_words(w),
-        "_chars": F.char_length(t).cast("long"), "_left": F.char_length(rest).cast("long"),
-        "_upper": upper.cast("long"), "_digits": digits.cast("long"), "_marks": marks.cast("long"),
-    })
-    space = F.col("_chars") - F.col("word_chars")
-    classes = [F.col("_chars") - F.col("_left") - F.col("_upper"), F.col("_upper"), F.col("_digits"), space, F.col("_marks"), F.col("n_symbols"),
-               F.col("_left") - F.col("_digits") - space - F.col("_marks") - F.col("n_symbols")]
-    common = _by_lang(F.col(lang), {k: list(v) for k, v in WORD_REFERENCE.items()}, "array<string>")
-    shares = _by_lang(F.col(lang), {k: [*v.values(), 1 - sum(v.values())] for k, v in WORD_REFERENCE.items()}, "array<double>")
-    shares = F.when(F.col(lang).isin(*WORD_REFERENCE), shares)
-    ranks = let(common, lambda c: F.transform(w, lambda x: F.array_position(c, F.lower(x)).cast("int")))
-    bins = let(ranks, lambda r: F.transform(F.array(*[F.lit(k) for k in [*range(1, 11), 0]]), lambda k: (F.size(r) - F.size(F.array_remove(r, k))).cast("double")))
-    df = df.withColumns({
-        "class_distance": js_distance(F.array(*[F.greatest(x, F.lit(0)).cast("double") for x in classes]), _by_lang(F.col(lang), CLASS_REFERENCE, "array<double>")),
-        "word_distance": F.when(shares.isNotNull(), js_distance(bins, shares)),
-    })
-    return df.drop("_words", "_rest", "_chars", "_left", "_upper", "_digits", "_marks")
-
-
-def judge(docs: DataFrame, text: str = "text", lang: str = "lang", min_words: int = 50, max_repeat_percent: int = 50,
-          max_class_distance: float = 0.20, max_word_distance: float = 0.45, min_chars: int = 200, min_list_words: int = 50) -> DataFrame:
-    """docs with the measures and base_failed, kept.
-
-    base_failed: fewer than min_words words, or over max_repeat_percent per cent of them in repeated windows. kept: the
-    base holds and no distance is over its limit. The class test is silent under min_chars characters and the word
-    test under min_list_words words or for a language without a list; a silent test keeps the document.
+    n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long): words are maximal runs of characters other than
+    ASCII white space, taken from the whole text; a null text has none. class_distance, word_distance: null where there is
+    nothing to compare, no characters or no word list for the language. base_failed: fewer than min_words words, or over
+    max_repeat_percent per cent of them in repeated windows. kept: the base holds and no distance is over its limit. The
+    class test is silent under min_chars characters and the word test under min_list_words words or without a
+    list; a silent test keeps the document.
+
+    All is one expression whose parts are bound by let: however the planner moves it, a part is computed once.
     """
-    m = measure(docs, text, lang)
-    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    far_classes = (F.length(F.coalesce(F.col(text), F.lit(""))) >= min_chars) & (F.col("class_distance") > max_class_distance)
-    far_words = (F.col("n_words") >= min_list_words) & (F.col("word_distance") > max_word_distance)
-    return m.withColumn("base_failed", failed).withColumn("kept", ~failed & ~F.coalesce(far_classes, F.lit(False)) & ~F.coalesce(far_words, F.lit(False)))
+    common = _by_lang(lang, {k: list(v) for k, v in WORD_REFERENCE.items()}, "array<string>")
+    shares = _by_lang(lang, {k: [*v.values(), 1 - sum(v.values())] for k, v in WORD_REFERENCE.items()}, "array<double>")
+
+    def counts(x: Column) -> Column:
+        t, w, rest = x["t"], x["w"], x["rest"]
+        lines = let(F.filter(F.split(t, "\n"), lambda v: v.rlike(r"[^\x20\x09-\x0D]")), lambda v: F.size(v) - F.size(F.array_distinct(v)))
+        ranks = F.transform(w, lambda v: F.array_position(x["common"], F.lower(v)).cast("int"))
+        bins = let(ranks, lambda r: F.transform(F.array(*[F.lit(k) for k in [*range(1, 11), 0]]), lambda k: (F.size(r) - F.size(F.array_remove(r, k))).cast("double")))
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), F.regexp_count(rest, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+            lines.cast("long").alias("n_dup_lines"), repeated_words(w).alias("n_repeat_words"), F.char_length(t).cast("long").alias("chars"), F.char_length(rest).cast("long").alias("left"),
+            F.regexp_count(t, F.lit(r"\p{Lu}")).cast("long").alias("upper"), F.regexp_count(rest, F.lit(r"\p{Nd}")).cast("long").alias("digits"),
+            F.regexp_count(rest, F.lit(r"""[.,;:!?'"()¿¡«»…-]""")).cast("long").alias("marks"), bins.alias("bins"))
+
+    def distances(c: Column) -> Column:
+        space = c["chars"] - c["word_chars"]
+        classes = [c["chars"] - c["left"] - c["upper"], c["upper"], c["digits"], space, c["marks"], c["n_symbols"], c["left"] - c["digits"] - space - c["marks"] - c["n_symbols"]]
+        by_class = js_distance(F.array(*[F.greatest(v, F.lit(0)).cast("double") for v in classes]), _by_lang(lang, CLASS_REFERENCE, "array<double>"))
+        by_word = F.when(lang.isin(*WORD_REFERENCE), js_distance(c["bins"], shares))
+        return F.struct(c.alias("c"), by_class.alias("class_distance"), by_word.alias("word_distance"))
+
+    def verdict(d: Column) -> Column:
+        c = d["c"]
+        failed = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat_percent * c["n_words"])
+        far = ((c["chars"] >= min_chars) & F.coalesce(d["class_distance"] > max_class_distance, F.lit(False))) | ((c["n_words"] >= min_list_words) & F.coalesce(d["word_distance"] > max_word_distance, F.lit(False)))
+        return F.struct(*[c[k].alias(k) for k in MEASURES], d["class_distance"].alias("class_distance"), d["word_distance"].alias("word_distance"), failed.alias("base_failed"), (~failed & ~far).alias("kept"))
+
+    whole = let(F.coalesce(text, F.lit("")), lambda t: F.struct(t.alias("t"), F.array_remove(F.split(t, SPACE + "+"), "").alias("w"), F.regexp_replace(t, r"\p{L}+", "").alias("rest"), common.alias("common")))
+    return let(let(let(whole, counts), distances), verdict)
+
+
+def judge(docs: DataFrame, text: str = "text", lang: str = "lang", **limits) -> DataFrame:
+    """docs with the fields of quality(); columns of docs with these names are replaced."""
+    fields = [*MEASURES, "class_distance", "word_distance", "base_failed", "kept"]
+    q = docs.withColumn("_quality", quality(F.col(text), F.col(lang), **limits))
+    return q.select(*[c for c in docs.columns if c not in fields], "_quality.*")
 
 
 def op5_quality_divergence(spark, sf_dir):
@@ -139,3 +141,35 @@ def op5_quality_divergence(spark, sf_dir):
 
     out = judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
+
+
+def oracle_sql(max_class_distance: float = 0.20, max_word_distance: float = 0.45, min_chars: int = 200, min_list_words: int = 50) -> str:
+    """DuckDB SQL for op5_quality_divergence over the table documents."""
+    numbers = lambda xs: "[" + ", ".join(f"{x!r}::DOUBLE" for x in xs) + "]"
+    mean = [sum(x) / len(CLASS_REFERENCE) for x in zip(*CLASS_REFERENCE.values())]
+    classes = "CASE lang " + " ".join(f"WHEN '{k}' THEN {numbers(v)}" for k, v in CLASS_REFERENCE.items()) + f" ELSE {numbers(mean)} END"
+    shares = "CASE lang " + " ".join(f"WHEN '{k}' THEN {numbers([*v.values(), 1 - sum(v.values())])}" for k, v in WORD_REFERENCE.items()) + " END"
+    common = "CASE lang " + " ".join(f"WHEN '{k}' THEN [" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in WORD_REFERENCE.items()) + " END"
+
+    def distance(counts: str, reference: str) -> str:
+        part = "CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END"
+        return f"CASE WHEN list_sum({counts}) > 0 THEN sqrt(greatest(0, list_sum(list_transform(list_zip(list_transform({counts}, lambda c: c / list_sum({counts})), {reference}), lambda z: {part})) / 2)) END"
+
+    return f"""
+WITH t AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS x FROM documents),
+a AS (SELECT k, doc_id, lang, x, list_filter(string_split_regex(x, '[\\x20\\x09-\\x0D]+'), lambda v: v <> '') AS w, regexp_replace(x, '\\p{{L}}+', '', 'g') AS r,
+  list_filter(string_split(x, chr(10)), lambda v: regexp_matches(v, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+g AS (SELECT k, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS g FROM (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM a)),
+d AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY k, g) AS c FROM g) WHERE c > 1),
+c AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest([i, i + 1, i + 2]) AS p FROM d) GROUP BY k),
+m AS (SELECT a.k, doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(r) - length(regexp_replace(r, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, length(x) AS chars, length(r) AS rest, length(x) - length(regexp_replace(x, '\\p{{Lu}}', '', 'g')) AS upper,
+  length(r) - length(regexp_replace(r, '\\p{{Nd}}', '', 'g')) AS digits, length(r) - length(regexp_replace(r, '[.,;:!?''"()¿¡«»…-]', '', 'g')) AS marks, w FROM a LEFT JOIN c USING (k)),
+h AS (SELECT *, [chars - rest - upper, upper, digits, chars - word_chars, marks, n_symbols, rest - digits - (chars - word_chars) - marks - n_symbols]::DOUBLE[] AS ch, {common} AS cw FROM m),
+i AS (SELECT * EXCLUDE (ch), list_transform(ch, lambda v: greatest(v, 0)) AS ch, list_transform(w, lambda v: coalesce(list_position(cw, lower(v)), 0)) AS ranks FROM h),
+j AS (SELECT *, list_transform([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 0], lambda q: len(list_filter(ranks, lambda v: v = q)))::DOUBLE[] AS wh, {classes} AS cr, {shares} AS sr FROM i),
+e AS (SELECT *, {distance('ch', 'cr')} AS class_distance, CASE WHEN sr IS NOT NULL THEN {distance('wh', 'sr')} END AS word_distance, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce(chars >= {min_chars} AND class_distance > {max_class_distance}, false) AND NOT coalesce(n_words >= {min_list_words} AND word_distance > {max_word_distance}, false) AS kept,
+  round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM e
+"""

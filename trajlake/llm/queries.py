@@ -8,6 +8,7 @@ from trajlake.llm.language_id import op9_language_id_compression
 from trajlake.llm.mixing import op6_mixing_soft_membership
 from trajlake.llm.quality_fm import op3_quality_factorisation_machine
 from trajlake.llm.quality_rules import op5_quality_divergence
+from trajlake.llm.quality_rules import oracle_sql as op5_sql
 from trajlake.llm.simhash import op10_simhash_covering_lsh
 from trajlake.llm.suffix_dedup import op7_suffix_run_length
 from trajlake.llm.token_counts import op8_token_counts
@@ -30,4 +31,5 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op1_warc_round_trip": OP1_SQL,
+    "op5_quality_divergence": op5_sql(),
 }
