@@ -32,7 +32,7 @@ from trajlake.llm.run_index import END, RunLengthIndex
 
 GRAM = 24
 SLAB = 1 << 15
-INDEX_BYTES = 3 << 18
+INDEX_BYTES = 3 << 17
 NO_DOC = np.iinfo(np.int64).max
 
 
@@ -228,7 +228,7 @@ def suffix_dedup(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20,
     bits = int(np.ceil(np.log2(max(64, total // (4 << 20)))))
     buckets = 1 << bits
     # at least as many table buckets as shuffle partitions: with fewer, the planner would rather deal the texts anew
-    table = _block_table(docs, block_bytes, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (24 << 20)), rest)
+    table = _block_table(docs, block_bytes, min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 << 20))), rest)
 
     ask = table.select("block", "ids", "lens", "data").mapInArrow(_ask_anchors(length, bits), "bucket int, block long, n int, data binary")
     shared = _by_bucket(ask, buckets).mapInArrow(_answer_anchors, "block long, bucket int, data binary")
