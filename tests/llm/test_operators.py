@@ -125,8 +125,8 @@ def slow_spans(docs, length):
     return out
 
 
-@pytest.mark.parametrize("length,block", [(50, 1 << 22), (50, 3000), (30, 2000)])
-def test_repeats_against_brute_force(spark, length, block):
+@pytest.mark.parametrize("length,block,hot", [(50, 1 << 22, 4096), (50, 3000, 5), (30, 2000, 0), (30, 1 << 22, 8)])
+def test_repeats_against_brute_force(spark, length, block, hot):
     rng = random.Random(length + block)
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randint(1, 4)))
     passages = [" ".join(word() for _ in range(rng.randint(10, 40))) for _ in range(8)]
@@ -138,7 +138,7 @@ def test_repeats_against_brute_force(spark, length, block):
         if rng.random() < 0.3:
             docs.append((200 + i, text[: rng.randint(0, 200)] + rng.choice(["x", ""]) + text[rng.randint(0, 100) :]))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = [tuple(r) for r in suffix_dedup.suffix_dedup(df, length, block).collect()]
+    got = [tuple(r) for r in suffix_dedup.suffix_dedup(df, length, block, hot=hot).collect()]
     key = lambda r: (r[0] is None, r)
     assert sorted(got, key=str) == sorted(slow_spans([(i, (t or "").encode()) for i, t in docs], length), key=str), key
 

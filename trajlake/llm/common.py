@@ -44,3 +44,11 @@ def crc_split(doc_id: Column, mod: int) -> Column:
 
 def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
+
+
+def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound the bytes of an Arrow batch for rows that hold megabytes; a smaller bound of the session stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = "".join(c for c in spark.conf.get(name) if c.isdigit())
+    if not now or int(now) > most:
+        spark.conf.set(name, str(most))

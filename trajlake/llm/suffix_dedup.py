@@ -9,7 +9,11 @@ that texts never cross the network; what crosses it is
 2. the distinct contexts of shared anchors with the least doc_id of the block that holds them, and back for each the least
    doc_id of all and a mask of the windows that occur in other contexts with a smaller one.
 
-For step 2 a bucket of anchors builds a run-length Burrows-Wheeler index of those contexts that share an anchor and are
+An anchor that occurs very often could gather any number of different contexts in one place. The first answer also tells
+these hot anchors. Their windows are asked for one by one, dealt by the windows' own hashes (128 bits), so that what meets
+in a place is equal windows, one of each block; a minimum answers them.
+
+For step 2 a bucket of the other anchors builds a run-length Burrows-Wheeler index of those contexts that share an anchor and are
 not equal, and streams them through it. Of copies a block sends one, so a passage or a text that a third of all documents
 hold costs a row for each block and not for each document.
 """
@@ -23,17 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import fresh_path, utf8
+from trajlake.llm.common import fresh_path, small_batches, utf8
 from trajlake.llm.run_index import END, RunLengthIndex
 
 GRAM = 24
 SLAB = 1 << 15
 INDEX_BYTES = 3 << 17
 NO_DOC = np.iinfo(np.int64).max
+HOT = 4096  # occurrences from which an anchor is hot
+WINDOWS = 1 << 24  # what tells answers about windows from those about contexts
 
 
 def anchors(buf: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,10 +142,11 @@ class Block:
         named = np.array([i is not None for i in ids], dtype=bool)[d] if len(d) else np.empty(0, bool)
         self.place, self.hash, self.doc = p[named], h[named], d[named]
 
-    def distinct(self) -> np.ndarray:
-        """The anchors' hashes, sorted, each once."""
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """The anchors' hashes, sorted, each once, and how often they occur (65535: at least)."""
         x = np.sort(self.hash)
-        return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+        first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.empty(0, np.int64)
+        return x[first], np.minimum(np.diff(np.append(first, len(x))), 65535).astype("<u2")
 
     def narrow(self, shared: dict[int, bytes], bits: int) -> None:
         """Keep the anchors that another document of the block has or that were answered to be in another block.
@@ -150,9 +158,14 @@ class Block:
         new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
         first = np.flatnonzero(new)
         keep = np.minimum.reduceat(ids, first) != np.maximum.reduceat(ids, first) if len(first) else np.empty(0, bool)
+        hot = np.zeros(len(first), dtype=bool)
         for bucket, (a, b) in spans(h[first], bits):
-            keep[a:b] |= np.unpackbits(np.frombuffer(shared[bucket], dtype=np.uint8), count=b - a).astype(bool)
-        order = order[np.repeat(keep, np.diff(np.append(first, len(h))))]
+            told = np.frombuffer(shared[bucket], dtype=np.uint8)
+            keep[a:b] |= np.unpackbits(told[: len(told) // 2], count=b - a).astype(bool)
+            hot[a:b] = np.unpackbits(told[len(told) // 2 :], count=b - a).astype(bool)
+        size = np.diff(np.append(first, len(h)))
+        chosen = np.repeat(keep, size)
+        order, self.hot = order[chosen], np.repeat(hot, size)[chosen]
         self.place, self.hash, self.doc = self.place[order], self.hash[order], self.doc[order]
 
     def gather(self) -> None:
@@ -163,10 +176,32 @@ class Block:
         by_hash = np.argsort(first, kind="stable")
         rank[by_hash] = np.arange(len(first))
         self.back, first = rank[back], first[by_hash]
-        self.rows, self.row_hash = c[first], self.hash[first]
+        self.rows, self.row_hash, self.row_hot = c[first], self.hash[first], self.hot[first]
         self.row_least = np.full(len(first), NO_DOC)
         np.minimum.at(self.row_least, self.back, self.id_of[self.doc])
 
+    def hot_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, least, at): the distinct windows of hot contexts as sorted (n, 2) hashes, the least id of each, and the
+        place in keys of each window of each hot context, -1 where it leaves the document."""
+        rows, least = self.rows[self.row_hot], self.row_least[self.row_hot]
+        windows = self.rows.shape[1] - self.length + 1
+        at = np.full((len(rows), windows), -1, dtype=np.int64)
+        parts, where = [np.empty((0, 2), np.uint64)], [np.empty((2, 0), np.int64)]
+        for s in range(windows):
+            w = rows[:, s : s + self.length]
+            ok = np.flatnonzero((w[:, 0] != END) & (w[:, -1] != END))
+            padded = np.zeros((len(ok), -(-self.length // 4) * 4), np.uint8)
+            padded[:, : self.length] = w[ok]
+            parts.append(np.stack([row_hash(padded), row_hash(padded[:, ::-1])], axis=1))
+            where.append(np.stack([ok, np.full(len(ok), s)]))
+        keys, where = np.concatenate(parts), np.concatenate(where, axis=1)
+        order = np.lexsort((keys[:, 1], keys[:, 0]))
+        keys, where = keys[order], where[:, order]
+        new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.empty(0, bool)
+        at[where[0], where[1]] = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        return keys[first], np.minimum.reduceat(least[where[0]], first) if len(first) else np.empty(0, np.int64), at
+
 
 def spans(sorted_hashes: np.ndarray, bits: int) -> list[tuple[int, tuple[int, int]]]:
     """(bucket, (from, to)) of the buckets that sorted hashes fall into by their first bits."""
@@ -215,7 +250,7 @@ def compare(rows: np.ndarray, hashes: np.ndarray, least: np.ndarray, length: int
     return label[back], mask[back]
 
 
-def suffix_dedup(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, rest: tuple[str, ...] = (), texts: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, rest: tuple[str, ...] = (), texts: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts, kept (string), n_kept; then rest.
 
     Removed is each byte that is covered by a string of `length` bytes that also starts in a document with a smaller
@@ -224,17 +259,18 @@ def suffix_dedup(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20,
     remove from each other; rows without an id neither remove nor lose. rest: columns to pass through.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(np.ceil(np.log2(max(64, total // (4 << 20)))))
     buckets = 1 << bits
     # at least as many table buckets as shuffle partitions: with fewer, the planner would rather deal the texts anew
     table = _block_table(docs, block_bytes, min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (8 << 20))), rest)
 
-    ask = table.select("block", "ids", "lens", "data").mapInArrow(_ask_anchors(length, bits), "bucket int, block long, n int, data binary")
-    shared = _by_bucket(ask, buckets).mapInArrow(_answer_anchors, "block long, bucket int, data binary")
+    ask = table.select("block", "ids", "lens", "data").mapInArrow(_ask_anchors(length, bits), "bucket int, block long, n int, data binary, often binary")
+    shared = _by_bucket(ask, buckets).mapInArrow(_answer_anchors(hot), "block long, bucket int, data binary")
     shared = shared.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "data"))).alias("shared"))
     known = table.join(shared.hint("shuffle_hash"), "block", "left")
-    asked = known.select("block", "ids", "lens", "data", "shared").mapInArrow(_ask_contexts(length, bits), "bucket int, block long, n int, least binary, data binary")
+    asked = known.select("block", "ids", "lens", "data", "shared").mapInArrow(_ask_contexts(length, bits), "bucket int, block long, kind int, n int, least binary, data binary")
     told = _by_bucket(asked, buckets).mapInArrow(_answer_contexts(length), "block long, bucket int, data binary")
     told = told.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "data"))).alias("told"))
     final = known.join(told.hint("shuffle_hash"), "block", "left")
@@ -300,13 +336,19 @@ def _blocks(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[tuple[pa
             _give_back()
 
 
+def _sparse(counts: np.ndarray) -> bytes:
+    """Places (u32) of the counts over one, and by how much (u16) they are over it."""
+    at = np.flatnonzero(counts > 1)
+    return at.astype("<u4").tobytes() + (counts[at] - 1).astype("<u2").tobytes()
+
+
 def _ask_anchors(length: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, i, x in _blocks(batches, length):
-            distinct = x.distinct()
+            distinct, often = x.distinct()
             parts = spans(distinct, bits)
             short = ((distinct << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]  # 48 bits behind the bucket's
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([b.column(0)[i].as_py()] * len(parts), pa.int64()), pa.array([e - a for _, (a, e) in parts], pa.int32()), pa.array([short[a:e].tobytes() for _, (a, e) in parts], pa.binary())], ["bucket", "block", "n", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([b.column(0)[i].as_py()] * len(parts), pa.int64()), pa.array([e - a for _, (a, e) in parts], pa.int32()), pa.array([short[a:e].tobytes() for _, (a, e) in parts], pa.binary()), pa.array([_sparse(often[a:e]) for _, (a, e) in parts], pa.binary())], ["bucket", "block", "n", "data", "often"])
 
     return run
 
@@ -327,16 +369,24 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t in _grouped(batches):
-        _give_back()
-        sizes, data = t.column("n").to_numpy(), t.column("data").to_pylist()
-        flat = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
-        flat[:, :6] = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, 6)
-        _, back, count = np.unique(flat.view("<u8").ravel(), return_inverse=True, return_counts=True)
-        yes = count[back] > 1
-        out = [np.packbits(x).tobytes() for x in np.split(yes, np.cumsum(sizes)[:-1])]
-        yield pa.RecordBatch.from_arrays([pa.array(t.column("block").to_pylist(), pa.int64()), pa.array(t.column("bucket").to_pylist(), pa.int32()), pa.array(out, pa.binary())], ["block", "bucket", "data"])
+def _answer_anchors(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _grouped(batches):
+            _give_back()
+            sizes, data = t.column("n").to_numpy(), t.column("data").to_pylist()
+            flat = np.zeros((int(sizes.sum()), 8), dtype=np.uint8)
+            flat[:, :6] = np.frombuffer(b"".join(data), dtype=np.uint8).reshape(-1, 6)
+            _, back, count = np.unique(flat.view("<u8").ravel(), return_inverse=True, return_counts=True)
+            cut = np.cumsum(sizes)[:-1]
+            total = count.astype(np.int64)
+            for at, more in zip([0, *cut], t.column("often").to_pylist()):
+                k = len(more) // 6
+                np.add.at(total, back[at + np.frombuffer(more, dtype="<u4", count=k)], np.frombuffer(more, dtype="<u2", offset=4 * k))
+            yes, hot = count[back] > 1, total[back] > most
+            out = [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(yes, cut), np.split(hot, cut))]
+            yield pa.RecordBatch.from_arrays([pa.array(t.column("block").to_pylist(), pa.int64()), pa.array(t.column("bucket").to_pylist(), pa.int32()), pa.array(out, pa.binary())], ["block", "bucket", "data"])
+
+    return run
 
 
 def _ask_contexts(length: int, bits: int):
@@ -344,11 +394,14 @@ def _ask_contexts(length: int, bits: int):
         for b, i, x in _blocks(batches, length):
             x.narrow(dict(b.column(4)[i].as_py() or ()), bits)
             x.gather()
-            parts = spans(x.row_hash, bits)
+            cool = ~x.row_hot
+            rows, least = x.rows[cool], x.row_least[cool]
+            keys, key_least, _ = x.hot_windows()
+            asked = [(k, 0, e - a, least[a:e], rows[a:e]) for k, (a, e) in spans(x.row_hash[cool], bits)] + [(k, 1, e - a, key_least[a:e], keys[a:e]) for k, (a, e) in spans(keys[:, 0], bits)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in parts], pa.int32()), pa.array([b.column(0)[i].as_py()] * len(parts), pa.int64()), pa.array([e - a for _, (a, e) in parts], pa.int32()),
-                 pa.array([x.row_least[a:e].astype("<i8").tobytes() for _, (a, e) in parts], pa.binary()), pa.array([x.rows[a:e].tobytes() for _, (a, e) in parts], pa.binary())],
-                ["bucket", "block", "n", "least", "data"])
+                [pa.array([q[0] for q in asked], pa.int32()), pa.array([b.column(0)[i].as_py()] * len(asked), pa.int64()), pa.array([q[1] for q in asked], pa.int32()), pa.array([q[2] for q in asked], pa.int32()),
+                 pa.array([q[3].astype("<i8").tobytes() for q in asked], pa.binary()), pa.array([q[4].tobytes() for q in asked], pa.binary())],
+                ["bucket", "block", "kind", "n", "least", "data"])
 
     return run
 
@@ -359,17 +412,33 @@ def _answer_contexts(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches):
             _give_back()
-            sizes = t.column("n").to_numpy()
-            rows = np.frombuffer(b"".join(t.column("data").to_pylist()), dtype=np.uint8).reshape(-1, width)
-            least = np.frombuffer(b"".join(t.column("least").to_pylist()), dtype="<i8")
-            low, mask = compare(rows, row_hash(rows[:, left : left + GRAM]), least, length)
-            cut = np.cumsum(sizes)[:-1]
-            out = [a.astype("<i8").tobytes() + m.astype("<u4").tobytes() for a, m in zip(np.split(low, cut), np.split(mask, cut))]
-            yield pa.RecordBatch.from_arrays([pa.array(t.column("block").to_pylist(), pa.int64()), pa.array(t.column("bucket").to_pylist(), pa.int32()), pa.array(out, pa.binary())], ["block", "bucket", "data"])
+            for kind, asked in ((0, t.filter(pc.equal(t.column("kind"), 0))), (1, t.filter(pc.equal(t.column("kind"), 1)))):
+                if not asked.num_rows:
+                    continue
+                cut = np.cumsum(asked.column("n").to_numpy())[:-1]
+                data, least = b"".join(asked.column("data").to_pylist()), np.frombuffer(b"".join(asked.column("least").to_pylist()), dtype="<i8")
+                if kind:
+                    low = _least_of_keys(np.frombuffer(data, dtype="<u8").reshape(-1, 2), least)
+                    out = [a.astype("<i8").tobytes() for a in np.split(low, cut)]
+                else:
+                    rows = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
+                    low, mask = compare(rows, row_hash(rows[:, left : left + GRAM]), least, length)
+                    out = [a.astype("<i8").tobytes() + m.astype("<u4").tobytes() for a, m in zip(np.split(low, cut), np.split(mask, cut))]
+                yield pa.RecordBatch.from_arrays([pa.array(asked.column("block").to_pylist(), pa.int64()), pa.array([k | (WINDOWS * kind) for k in asked.column("bucket").to_pylist()], pa.int32()), pa.array(out, pa.binary())], ["block", "bucket", "data"])
 
     return run
 
 
+def _least_of_keys(keys: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each key the least label of its equals."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    k = keys[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]).any(1)])
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+    return out
+
+
 def _finish(length: int, bits: int, texts: bool, rest: bool):
     left, windows = length - GRAM, length - GRAM + 1
 
@@ -378,17 +447,26 @@ def _finish(length: int, bits: int, texts: bool, rest: bool):
             x.narrow(dict(b.column(4)[i].as_py() or ()), bits)
             x.gather()
             told = dict(b.column(5)[i].as_py() or ())
-            low, mask = np.empty(len(x.rows), np.int64), np.empty(len(x.rows), np.uint32)
-            for bucket, (a, e) in spans(x.row_hash, bits):
+            low, mask = np.full(len(x.rows), NO_DOC), np.zeros(len(x.rows), np.uint32)
+            cool = np.flatnonzero(~x.row_hot)
+            for bucket, (a, e) in spans(x.row_hash[cool], bits):
                 n = e - a
-                low[a:e] = np.frombuffer(told[bucket], dtype="<i8", count=n)
-                mask[a:e] = np.frombuffer(told[bucket], dtype="<u4", offset=8 * n, count=n)
+                low[cool[a:e]] = np.frombuffer(told[bucket], dtype="<i8", count=n)
+                mask[cool[a:e]] = np.frombuffer(told[bucket], dtype="<u4", offset=8 * n, count=n)
+            keys, _, at_key = x.hot_windows()
+            key_low = np.full(len(keys) + 1, NO_DOC)  # the last stands for no window
+            for bucket, (a, e) in spans(keys[:, 0], bits):
+                key_low[a:e] = np.frombuffer(told[bucket | WINDOWS], dtype="<i8", count=e - a)
+            hot_row = np.cumsum(x.row_hot) - 1
+            hot = np.flatnonzero(x.row_hot[x.back])  # occurrences of hot contexts
             starts = np.concatenate([[0], x.ends[:-1]])
             earlier = low[x.back] < x.id_of[x.doc]
             found = np.zeros(len(x.buf), dtype=bool)
             for s in range(windows):
                 at = x.place - left + s
-                found[at[(at >= starts[x.doc]) & (at + length <= x.ends[x.doc]) & (earlier | ((mask >> np.uint32(s)) & np.uint32(1)).astype(bool)[x.back])]] = True
+                hit = earlier | ((mask >> np.uint32(s)) & np.uint32(1)).astype(bool)[x.back]
+                hit[hot] = key_low[at_key[hot_row[x.back[hot]], s]] < x.id_of[x.doc[hot]]
+                found[at[(at >= starts[x.doc]) & (at + length <= x.ends[x.doc]) & hit]] = True
             at = np.flatnonzero(found)
             change = np.zeros(len(x.buf) + 1, dtype=np.int8)
             if len(at):
