@@ -80,6 +80,9 @@ def anchors(buf: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray,
             places.append(p + a)
             hashes.append(h[p])
     p, h = np.concatenate(places), np.concatenate(hashes)
+    for _ in range(2):  # least hashes are small numbers; mixed again, one to one, they fall evenly into buckets
+        h = h * np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
     keep = np.concatenate([[True], p[1:] != p[:-1]]) if len(p) else np.empty(0, bool)
     return p[keep], h[keep]
 
