@@ -16,10 +16,10 @@ TEMPLATES = {
 }
 
 
-def template_for(model_name: str) -> str:
-    """deepseek for its distilled models, qwen for qwen and the r2e family, llama for llama; else qwen."""
+def template_for(model_name: str, distilled: tuple[str, ...] = ("deepseek",)) -> str:
+    """deepseek for models distilled with its template, llama for llama models that aren't qwen too, else qwen."""
     low = model_name.lower()
-    if any(x in low for x in ("deepseek", "deepscaler", "deepcoder")):
+    if any(x in low for x in distilled):
         return "deepseek"
     return "llama" if "llama" in low and "qwen" not in low else "qwen"
 
