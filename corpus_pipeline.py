@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from trajlake.llm.common import table, written
 from trajlake.llm.decontaminate import decontaminated
 from trajlake.llm.mixing import mixed
+from trajlake.llm.near_text import near_texts
 from trajlake.llm.quality_rules import quality
-from trajlake.llm.simhash import near_duplicates
 from trajlake.llm.suffix_dedup import suffix_dedup
 
 
@@ -19,8 +19,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id. Rows without an id stay."""
-    copies = near_duplicates(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id").distinct()
+    """Of each class of texts that share 80 % of their five-word shingles the document with the least id. Rows without an id stay."""
+    copies = near_texts(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
 
 
