@@ -66,13 +66,12 @@ class Matcher:
     def __init__(self, items: list[tuple[int, str]], rate: float):
         self.items = {}
         places: dict[str, list[tuple[int, int]]] = {}
-        for item_id, text in items:
-            t = normalise(text)
-            if t:
-                k = int(rate * len(t))
-                self.items[item_id] = (t, k, [t[i : i + 3] for i in range(len(t) - 2)])
-                for at, piece in pieces(t, k):
-                    places.setdefault(piece, []).append((item_id, at))
+        for row, (item_id, text) in enumerate(dict.fromkeys((i, normalise(x)) for i, x in items)):
+            if text:
+                k = int(rate * len(text))
+                self.items[row] = (item_id, text, k, [text[i : i + 3] for i in range(len(text) - 2)])
+                for at, piece in pieces(text, k):
+                    places.setdefault(piece, []).append((row, at))
         self.found = ahocorasick.Automaton()
         for piece, where in places.items():
             self.found.add_word(piece, (len(piece), where))
@@ -80,17 +79,20 @@ class Matcher:
             self.found.make_automaton()
 
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(item_id, distance, start, end) of the best place of each item within its budget in the normalised text."""
+        """(item_id, distance, start, end) of the best place of each item within its budget in the normalised text.
+
+        Of an item_id with several texts the best match of them all.
+        """
         t = normalise(text)
         starts: dict[int, set[int]] = {}
         if not t or not self.items:
             return []
         for last, (n, where) in self.found.iter(t):
-            for item_id, at in where:
-                starts.setdefault(item_id, set()).add(last + 1 - n - at)
-        out = []
-        for item_id, at in starts.items():
-            item, k, grams = self.items[item_id]
+            for row, at in where:
+                starts.setdefault(row, set()).add(last + 1 - n - at)
+        out: dict[int, tuple[int, int, int, int]] = {}
+        for row, at in starts.items():
+            item_id, item, k, grams = self.items[row]
             best, todo = None, sorted(at)
             while todo:
                 low = todo[0]
@@ -104,11 +106,11 @@ class Matcher:
                 d, end = myers(item, window)
                 if d <= k and (best is None or d < best[0]):
                     best = (d, a, end)
-            if best:
+            if best and (item_id not in out or best[0] < out[item_id][1]):
                 d, a, end = best
                 _, back = myers(item[::-1], t[a : a + end][::-1], anchored=True)
-                out.append((item_id, d, a + end - back, a + end))
-        return out
+                out[item_id] = (item_id, d, a + end - back, a + end)
+        return list(out.values())
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_bytes: int = 32 << 20) -> DataFrame:
