@@ -89,10 +89,11 @@ def _inputs(docs: DataFrame, *more: Column) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, keep: Column, bound: int = 6000) -> FactorisationMachine:
     """Fit on at most bound labelled documents of each quality. With no labelled row the machine gives 0.5 throughout.
 
-    Features of the sample are made on the executors; bound * (BUCKETS + N_STATS) half floats per label at most
+    Ids are learned from as labelled_sample says: one row of each, none that is null or labelled both ways. Features of the sample are made on the executors; bound * (BUCKETS + N_STATS) half floats per label at most
     reach the driver.
     """
-    sample, weights = labelled_sample(docs, labels, "quality", keep, {0: bound // 2, 1: bound})
+    columns = ("text", "n_chars") if "n_chars" in docs.columns else ("text",)
+    sample, weights = labelled_sample(docs, labels, "quality", keep, {0: bound // 2, 1: bound}, columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
