@@ -3,13 +3,16 @@
 The last token of the encoding of a prefix is the one suffix piece that stands validly behind the last token before it, so
 the encoder needs but the pieces that may still be going on: a finite state. States are made when first met
 (lazy determinisation); each transition carries the change of the token count. Between two characters that no piece
-holds side by side the transducer is back at its start, whatever came before. A chunk of text is therefore a state map
-(head, body, tail): the count between its first and last such place is fixed, and only its head waits for the state the
-chunk is entered in. State maps compose associatively, and a long text is the prefix scan of its chunks' maps.
+holds side by side the transducer is back at its start, whatever came before. A chunk of a long text is a state map: for
+the state it is entered in, the state it is left in and the tokens counted. Behind its first reset a map is constant;
+before it, the map is worked out for the state that the characters before the chunk lead to, and for any other state when
+that is asked for. Maps compose associatively, and a long text is the scan of its chunks' maps, none of which holds text of
+its own.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,16 +23,29 @@ from pyspark.sql import functions as F
 from trajlake.llm.common import utf8
 
 BAR = "▁"  # the vocabulary's stand-in for a blank
+RESET = re.compile(f"[^{BAR}]{BAR}")
 CHUNK = 1 << 16
-KEPT_WORDS, KEPT_STATES = 600_000, 200_000
+WARM = 64  # characters before a chunk that tell the state it is likely entered in
+KEPT_WORDS, KEPT_CHARS, KEPT_STATES, KEPT_HOPS = 600_000, 32, 150_000, 500_000
+START = (("", None, 0),)
 
 
 class ChunkMap(NamedTuple):
-    """What a chunk does: text up to its first reset, tokens up to its last one, text after it. No reset: all is head."""
+    """(entry state) -> (exit state, tokens): text before the first reset, what stands behind it, and answers known so far."""
 
+    before: str
     head: str
     body: int
-    tail: str | None
+    exit: tuple | None  # None: there is no reset
+    known: dict
+
+
+class Composed(NamedTuple):
+    """First the one map, then the other."""
+
+    first: "ChunkMap | Composed"
+    then: "ChunkMap | Composed"
+    known: dict
 
 
 class Transducer:
@@ -39,22 +55,24 @@ class Transducer:
         self.joined = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
         if any(x[1] == BAR != x[0] for x in self.joined):
             raise ValueError("a piece has a blank behind another character; words are not separable")
-        self._valid: dict[tuple[str | None, str], bool] = {}
         self._clear()
         outer = self
 
         class Words(dict):
             def __missing__(self, word: str) -> int:
-                if len(self) >= KEPT_WORDS:
-                    self.clear()
-                self[word] = n = outer.segment(BAR + word)
+                n = outer.run(BAR + word)[1]
+                if len(word) <= KEPT_CHARS:
+                    if len(self) >= KEPT_WORDS:
+                        self.clear()
+                    self[word] = n
                 return n
 
         self.words = Words()
 
     def _clear(self) -> None:
-        self.ids, self.states, self.delta = {}, [], []
-        self._state((("", None, 0),))
+        self.ids, self.states, self.delta, self.hops = {}, [], [], 0
+        self._valid: dict[tuple[str | None, str], bool] = {}
+        self._state(START)
 
     def _state(self, entries: tuple) -> int:
         at = self.ids.setdefault(entries, len(self.states))
@@ -99,70 +117,106 @@ class Transducer:
         nxt = tuple((g + c, b, r - emitted) for g, b, r in entries if g + c in self.prefixes)
         return self._state((*nxt, ("", token, 0))), emitted
 
-    def segment(self, text: str) -> int:
-        """Tokens of a text that is entered in the start state."""
-        if len(self.states) > KEPT_STATES:
-            self._clear()
-        state, total, prev, delta, joined = 0, 0, "", self.delta, self.joined
+    def run(self, text: str, entries: tuple = START, before: str = "") -> tuple[tuple, int]:
+        """(exit state, tokens) of a text that is entered in a state, behind the character before.
+
+        What the transducer keeps is dropped when it is too much, also inside a text.
+        """
+        state, total, prev, delta, joined = self._state(entries), 0, before, self.delta, self.joined
         for c in text:
             if prev and prev + c not in joined:
                 state = 0
             hop = delta[state].get(c)
             if hop is None:
+                if len(self.states) > KEPT_STATES or self.hops > KEPT_HOPS:
+                    here = self.states[state]
+                    self._clear()
+                    delta = self.delta
+                    state = self._state(here)
+                self.hops += 1
                 hop = delta[state][c] = self._step(state, c)
             state = hop[0]
             total += hop[1]
             prev = c
-        return total
+        return self.states[state], total
+
+    def segment(self, text: str) -> int:
+        """Tokens of a text that is entered in the start state."""
+        return self.run(text)[1]
 
-    def chunk_map(self, chunk: str) -> ChunkMap:
-        """chunk with blanks as BAR. The resets used are blanks behind other characters."""
-        words = chunk.split(BAR)
+    def _count(self, text: str) -> int:
+        """Tokens of a text that begins with a blank and is entered in the start state, word by word."""
+        words = text.split(BAR)
         if "" not in words[1:]:
-            head, rest = (words[0], words[1:]) if words[0] or len(words) == 1 else (BAR + words[1], words[2:])  # the last chunk's blanks may go on
-            return ChunkMap(head, sum(map(self.words.__getitem__, rest[:-1])), BAR + rest[-1]) if rest else ChunkMap(head, 0, None)
-        runs, blanks = [], 0  # runs of blanks stay with the word behind them
-        head = words[0]
+            return sum(map(self.words.__getitem__, words[1:]))
+        total, blanks = 0, -1  # runs of blanks stay with the word behind them
         for w in words[1:]:
             blanks += 1
             if w:
-                runs.append(BAR * blanks + w)
-                blanks = 0
-        if blanks:
-            runs.append(BAR * blanks)
-        if not head:
-            head, runs = runs[0], runs[1:]
-        return ChunkMap(head, sum(self.words[r[1:]] for r in runs[:-1]), runs[-1]) if runs else ChunkMap(head, 0, None)
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        """First a, then b. Where a leaves off inside a word or a run of blanks, b's head goes on with it."""
-        open_end = a.head if a.tail is None else a.tail
-        if b.head[:1] == BAR and open_end[-1:] not in ("", BAR):  # a reset between the two
-            whole = [open_end, b.head]
+                total += self.words[BAR * blanks + w]
+                blanks = -1
+        return total + (self.words[BAR * blanks] if blanks >= 0 else 0)
+
+    def chunk_map(self, chunk: str, before: str = "", warm: str = "") -> ChunkMap:
+        """The map of a chunk with blanks as BAR. before: the character in front of it; warm: some characters in front."""
+        if chunk[:1] == BAR and before != BAR:
+            first = 0
+        else:
+            found = RESET.search(chunk)
+            first = found.start() + 1 if found else len(chunk)
+        if first == len(chunk):
+            made = ChunkMap(before, chunk, 0, None, {})
         else:
-            whole = [open_end + b.head]
-        # whole, then b's body and tail, are what stands behind a's fixed part
-        texts = [*([] if a.tail is None else [a.head]), *whole, *([] if b.tail is None else [b.tail])]
-        body = a.body + b.body + sum(self.words[x[1:]] for x in texts[1:-1])
-        return ChunkMap(texts[0], body, texts[-1] if len(texts) > 1 else None)
+            last = len(chunk)
+            while True:
+                last = chunk.rfind(BAR, first, last)
+                if last == first or chunk[last - 1] != BAR:
+                    break
+            exit, n = self.run(chunk[last:])
+            made = ChunkMap(before, chunk[:first], n + (self._count(chunk[first:last]) if last > first else 0), exit, {})
+        if made.head:
+            self.apply(made, self.run(warm)[0])
+        return made
+
+    def compose(self, a: "ChunkMap | Composed", b: "ChunkMap | Composed") -> Composed:
+        """First a, then b, worked out for the states that a is known for."""
+        made = Composed(a, b, {})
+        for entry in list(a.known):
+            self.apply(made, entry)
+        return made
+
+    def apply(self, m: "ChunkMap | Composed", entry: tuple) -> tuple[tuple, int]:
+        """(exit state, tokens) of a map for the state that it is entered in."""
+        if isinstance(m, ChunkMap) and not m.head:
+            return (entry if m.exit is None else m.exit), m.body
+        got = m.known.get(entry)
+        if got is None:
+            if isinstance(m, Composed):
+                middle, n = self.apply(m.first, entry)
+                exit, more = self.apply(m.then, middle)
+                got = exit, n + more
+            else:
+                exit, n = self.run(m.head, entry, m.before)
+                got = (exit if m.exit is None else m.exit), n + m.body
+            m.known[entry] = got
+        return got
 
     def count(self, text: str) -> int:
         """Tokens of a whole text, with the blank that the vocabulary puts before it."""
         if not text:
             return 0
         s = BAR + text.replace(" ", BAR)
-        maps = [self.chunk_map(s[i : i + CHUNK]) for i in range(0, len(s), CHUNK)]
-        last = prefix_scan(maps, self.compose)[-1]
-        return self.segment(last.head) + last.body + (self.segment(last.tail) if last.tail else 0)
+        if len(s) <= CHUNK:
+            return self._count(s)
+        maps = [self.chunk_map(s[i : i + CHUNK], s[i - 1 : i], s[max(0, i - WARM) : i]) for i in range(0, len(s), CHUNK)]
+        return self.apply(scanned(maps, self.compose), START)[1]
 
 
-def prefix_scan(maps: list, compose) -> list:
-    """Inclusive scan by doubling: in round r every place takes in the one 2^r before it."""
-    out, step = list(maps), 1
-    while step < len(out):
-        out = [compose(out[i - step], x) if i >= step else x for i, x in enumerate(out)]
-        step *= 2
-    return out
+def scanned(maps: list, compose):
+    """The composition of all maps, by pairs of neighbours, pairs of pairs and so on."""
+    while len(maps) > 1:
+        maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 def load_pieces(model_path: str) -> dict[str, float]:
@@ -191,7 +245,8 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
 
     No begin, end or special tokens are added and their strings in a text are ordinary text. Null counts as empty: no
     bytes, no tokens. Every row has a result, repeated ids too; other columns are not read. model_path is opened on the
-    executors and has to be there on each.
+    executors and has to be there on each. A text takes memory in proportion to its length, whether it has blanks or not;
+    what is kept of words and states between texts is bounded.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,6 +260,7 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def op8_token_counts(spark, sf_dir, limit: int = 4096):
+    """Bytes and tokens of every whole document, null counting as empty, and whether it has over limit tokens."""
     import public_tokenizers
 
     from trajlake.llm.common import table
