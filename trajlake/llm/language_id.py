@@ -6,44 +6,58 @@ A text is coded in blocks, each with the dictionary afresh, so that long texts l
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.llm.common import crc_split, utf8
 
 OTHER = re.compile(r"[\W\d_]+")
+NUMBERS = {c: " " for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha()}  # what \w has beside letters
+TO_BLANK = str.maketrans(NUMBERS)
 BLOCK = 1024
 LEVEL = 6
 
 
 def letters(text: bytes) -> bytes:
     """What of a text tells its language: lower-case letters, a blank for all between them."""
-    return OTHER.sub(" ", text.decode("utf-8", "replace").lower()).encode()
+    t = text.decode("utf-8", "replace").lower()
+    if not t.isascii() and not NUMBERS.keys().isdisjoint(t):
+        t = t.translate(TO_BLANK)
+    return OTHER.sub(" ", t).encode()
 
 
-def dictionaries(docs: DataFrame, keep: Column, texts: int = 128, text_bytes: int = 2048) -> dict[str, bytes]:
-    """Raw dictionary content for each language: pieces of at most text_bytes of at most texts of its documents.
+def dictionaries(docs: DataFrame, keep: Column, texts: int = 128, usual_bytes: int = 1 << 15, content_bytes: int = 1 << 20) -> dict[str, bytes]:
+    """Raw dictionary content for each language: whole texts of a sample of at most `texts` of its documents.
 
-    keep: condition on doc_id that lets a row be learned from; a null lang is never learned from. The documents come
-    first by a hash of doc_id. The rank limit is applied in each task before rows of a language meet, so that a language
-    that holds most rows sends no more than the others. Languages stand in the order of their number of documents.
+    keep: condition on doc_id that lets a row be learned from; rows with a null doc_id, lang or text are never learned from.
+    A hash of doc_id deals a language's documents to `texts` classes, and of each class the document with the least hash is
+    taken, one of at most usual_bytes if there is any. That is a minimum that tasks work out beforehand, so a language
+    that holds most rows sends no more than the others, and a repeated id counts once: of its rows the one with the
+    least hash of its text is taken. Texts are added whole in the order of their hashes as long as content_bytes is not
+    exceeded; the first always is. Languages stand in the order of their number of rows, then by name.
     """
-    known = docs.filter(keep & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = known.select("doc_id", "lang", F.row_number().over(order).alias("rank")).filter(F.col("rank") <= texts)
-    some = [(r[0], r[1]) for r in ids.select("doc_id", "lang").collect() if r[0] is not None]
-    chosen = docs.sparkSession.createDataFrame(some, "doc_id long, lang string")
-    got = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", F.xxhash64("doc_id").alias("h"), F.substring(utf8(F.col("text")), 1, text_bytes).alias("t"))
-    counted = known.groupBy("lang").agg(F.count("*").alias("n")).collect()
-    out: dict[str, bytes] = {r["lang"]: b"" for r in sorted(counted, key=lambda r: (-r["n"], r["lang"]))}
-    for r in sorted(got.collect(), key=lambda r: (r["lang"], r["h"], bytes(r["t"]))):
-        out[r["lang"]] += letters(bytes(r["t"])) + b" "
-    return {k: v for k, v in out.items() if v}
+    h = F.xxhash64(F.col("doc_id").cast("long"))
+    over = F.when(F.octet_length("text") > usual_bytes, F.lit(1 << 62)).otherwise(F.lit(0).cast("long"))
+    known = docs.filter(keep & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = known.select("lang", "text", F.pmod(h, F.lit(texts)).alias("k"), (F.shiftrightunsigned(h, 2) + over).alias("h"))
+    least = known.groupBy("lang", "k").agg(F.min("h").alias("h"), F.count("*").alias("n")).collect()
+    rows: dict[str, int] = {}
+    for r in least:
+        rows[r["lang"]] = rows.get(r["lang"], 0) + r["n"]
+    chosen = docs.sparkSession.createDataFrame([(r["lang"], r["h"]) for r in least], "lang string, h long")
+    got = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.struct(F.xxhash64("text").alias("x"), "text")).alias("row"))
+    out: dict[str, bytes] = {x: b"" for x in sorted(rows, key=lambda x: (-rows[x], x))}
+    for r in sorted(got.select("lang", "h", utf8(F.col("row.text")).alias("t")).collect(), key=lambda r: (r["lang"], r["h"])):
+        more = letters(bytes(r["t"])) + b" "
+        if not out[r["lang"]].strip() or len(out[r["lang"]]) + len(more) <= content_bytes:
+            out[r["lang"]] += more
+    return {k: v for k, v in out.items() if v.strip()}
 
 
 class Classifier:
@@ -89,6 +103,7 @@ def identified(docs: DataFrame, content: dict[str, bytes], min_margin: float = 0
 
 
 def op9_language_id_compression(spark, sf_dir):
+    """doc_id, held_out, lang_pred, score and rejected of every document; learned from ids whose crc32 mod 5 is not 0."""
     from trajlake.llm.common import table
 
     docs = table(spark, sf_dir, "documents")
