@@ -1,10 +1,14 @@
-"""A run-length compressed Burrows-Wheeler index of many equally long strings, with samples at the run ends."""
+"""A run-length compressed Burrows-Wheeler index of many equally long strings, with samples at the run ends.
+
+Of the sorted suffixes only the runs of the transform are kept: where a run starts, its byte, where its first row goes under the
+last-to-first step, and the suffixes at its two ends. Matching statistics of other strings are streamed through the runs.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 
-END = 0xFF  # no byte of UTF-8; ends each string and pads short ones
+END = 0xFF  # no byte of UTF-8; ends each string
 
 
 def _ranks(keys: np.ndarray) -> np.ndarray:
@@ -20,127 +24,102 @@ def _ranks(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-class RunLengthIndex:
-    """Index of the rows of an (m, width) byte matrix, all different; END behind a row's last byte makes up its width.
+def sorted_suffixes(pad: np.ndarray) -> np.ndarray:
+    """Places row * n + column of all suffixes of the rows of an (m, n) matrix in order, by prefix doubling.
 
-    The suffixes of all rows are sorted, ends of rows in the order of the rows. Of the transform only its runs are kept:
-    where a run starts, its byte, where the run's first row goes under the last-to-first step, and the suffix at
-    the run's end. Classes of suffixes that agree in their first `length` bytes are kept by their first rows, with the
-    least of the rows' labels for each.
+    Every row ends with END, which is nowhere else and ends a suffix; equal suffixes stand in the order of their rows.
     """
+    m, n = pad.shape
+    wide = np.zeros((m, n + 8), dtype=np.uint8)
+    wide[:, :n] = pad
+    keys = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(wide, 8, axis=1)[:, :n]).view(">u8").reshape(m, n).astype(np.uint64)
+    rank, reach = _ranks(keys.ravel()).reshape(m, n), 8
+    while reach < n:
+        after = np.zeros((m, n), dtype=np.uint64)
+        after[:, : n - reach] = rank[:, reach:]
+        rank = _ranks(((rank << np.uint64(32)) | after).ravel()).reshape(m, n)
+        reach *= 2
+    return np.argsort((rank << np.uint64(32) | np.arange(m, dtype=np.uint64)[:, None]).ravel())
+
 
-    def __init__(self, rows: np.ndarray, labels: np.ndarray, length: int):
+class RunLengthIndex:
+    """Index of the rows of an (m, width) byte matrix without END."""
+
+    def __init__(self, rows: np.ndarray):
         m, width = rows.shape
-        n = width + 1
-        pad = np.zeros((m, n + 8), dtype=np.uint8)
-        pad[:, :width], pad[:, width] = rows, END
-        lens = np.argmax(pad == END, axis=1)
-        places = np.arange(n)[None, :]
-        real = places <= lens[:, None]  # what stands behind a row's first END is not part of it
-        pad[:, :n][~real] = 0
-        self.m, self.n, self.length, self.lens = m, n, length, lens
-        wide = np.lib.stride_tricks.sliding_window_view(pad, 8, axis=1)[:, :n]
-        keys = np.ascontiguousarray(wide).view(">u8").reshape(m, n).astype(np.uint64)
-        del wide
-        rank, reach, halves = _ranks(keys.ravel()).reshape(m, n), 8, {}
-        rank[~real] = 0
-        while reach < n:
-            if 2 * reach > length >= reach:
-                halves = {"rank": rank, "reach": reach}
-            after = np.zeros((m, n), dtype=np.uint64)
-            after[:, : n - reach] = rank[:, reach:]
-            rank = _ranks(((rank << np.uint64(32)) | after).ravel()).reshape(m, n)
-            rank[~real] = 0  # behind an END all is alike, inside the matrix and beyond it
-            reach *= 2
-        row_of = np.arange(m, dtype=np.uint64)[:, None]
-        inside = np.flatnonzero(real.ravel())
-        sa = inside[np.argsort(((rank << np.uint64(32)) | row_of).ravel()[inside])]
-        self.rows_total = len(sa)
-        row, at = sa // n, sa % n
-        # the classes of the first `length` bytes, from two overlapping halves
-        r, k = halves["rank"], halves["reach"]
-        second = np.zeros((m, n), dtype=np.uint64)
-        second[:, : n - (length - k)] = r[:, length - k :]
-        pair = ((r << np.uint64(32)) | second).ravel()[sa]
-        new = np.concatenate([[True], pair[1:] != pair[:-1]])
-        self.class_start = np.flatnonzero(new)
-        self.class_least = np.minimum.reduceat(labels[row], self.class_start)
-        # the transform and its runs
-        last = np.where(at > 0, pad[row, at - 1], END)
+        self.n = width + 1
+        self.text = np.full((m, self.n), END, dtype=np.uint8)
+        self.text[:, :width] = rows
+        sa = sorted_suffixes(self.text)
+        row, at = sa // self.n, sa % self.n
+        last = np.where(at > 0, self.text[row, at - 1], END)
         starts = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
-        sizes = np.diff(np.append(starts, len(last)))
+        self.total = len(sa)
+        sizes = np.diff(np.append(starts, self.total))
         chars = last[starts]
         order = np.argsort(chars, kind="stable")
         first = np.zeros(len(starts), dtype=np.int64)
         first[order] = np.cumsum(sizes[order]) - sizes[order]  # bytes are sorted as first bytes of suffixes are
-        self.run_start, self.run_char, self.run_first = starts, chars, first
-        ends = np.append(starts[1:], len(last)) - 1
-        self.run_end_row, self.run_end_at = row[ends], at[ends]
-        self.of_char = {int(c): np.flatnonzero(chars == c) for c in np.unique(chars)}
-        self.total = {c: int(sizes[i].sum()) for c, i in self.of_char.items()}
-
-    def step(self, q: np.ndarray) -> np.ndarray:
-        """From the ranks of suffixes to those of the suffixes that begin one byte earlier."""
-        run = np.searchsorted(self.run_start, q, side="right") - 1
-        return self.run_first[run] + q - self.run_start[run]
-
-    def least_labels(self, windows: int) -> np.ndarray:
-        """(m, windows): the least label of all rows that hold the bytes of [s, s + length) of a row, for s under windows.
-
-        All rows are streamed at once from their ends to their beginnings; the rank reached at s tells the class of what
-        matches there.
-        """
-        out = np.zeros((self.m, windows), dtype=self.class_least.dtype)
-        q = np.arange(self.rows_total - self.m, self.rows_total)  # the ends, greatest of all, in the order of rows
-        going, at = np.arange(self.m), self.lens.copy()
-        # ranks in the bit vectors of run and class starts, spelt out while all rows stream
-        run_of = np.repeat(np.arange(len(self.run_start), dtype=np.int32), np.diff(np.append(self.run_start, self.rows_total)))
-        least = np.repeat(self.class_least, np.diff(np.append(self.class_start, self.rows_total)))
-        shift = self.run_first - self.run_start
-        for _ in range(self.n - 1):
-            if (at == 0).any():
-                going, q, at = going[at > 0], q[at > 0], at[at > 0]
-            q = q + shift[run_of[q]]
-            at = at - 1
-            if len(at) and at.min() < windows:
-                now = at < windows
-                out[going[now], at[now]] = least[q[now]]
+        self.run_start, self.run_size, self.run_char, self.run_first = starts, sizes, chars, first
+        ends = starts + sizes - 1
+        self.head_row, self.head_at, self.end_row, self.end_at = row[starts], at[starts], row[ends], at[ends]
+        self.by_char = order  # runs by byte, then by place
+        self.char_keys = (chars[order].astype(np.int64) << 40) | starts[order]
+
+    def run_of(self, q: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.run_start, q, side="right") - 1
+
+    def neighbours(self, c: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(last run of byte c that starts before rank q, first that starts at or behind it); -1 where there is none."""
+        k = np.searchsorted(self.char_keys, (c.astype(np.int64) << 40) | q)
+        before, behind = self.by_char[np.maximum(k - 1, 0)], self.by_char[np.minimum(k, len(self.by_char) - 1)]
+        before = np.where((k > 0) & (self.run_char[before] == c), before, -1)
+        return before, np.where((k < len(self.by_char)) & (self.run_char[behind] == c), behind, -1)
+
+    def common(self, own: np.ndarray, row: np.ndarray, at: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """How many bytes, at most `most`, the rows of `own` have in common with the indexed suffixes (row, at)."""
+        out, going = np.zeros(len(own), np.int64), np.arange(len(own))
+        for j in range(own.shape[1]):
+            going = going[(j < most[going]) & (at[going] + j < self.n)]
+            if not len(going):
+                break
+            going = going[own[going, j] == self.text[row[going], at[going] + j]]
+            out[going] += 1
         return out
 
-    def _before(self, c: int, q: int) -> tuple[int, int]:
-        """Number of bytes c before rank q, and the last run of c that begins before q (or -1)."""
-        runs = self.of_char.get(c)
-        if runs is None:
-            return 0, -1
-        k = int(np.searchsorted(self.run_start[runs], q)) - 1
-        if k < 0:
-            return 0, -1
-        run = int(runs[k])
-        size = (self.run_start[run + 1] if run + 1 < len(self.run_start) else self.rows_total) - self.run_start[run]
-        base = int(self.run_first[run] - self.run_first[runs[0]])
-        return base + int(min(size, q - self.run_start[run])), run
-
-    def find(self, pattern: bytes) -> tuple[int, int, int]:
-        """(count, row, place) of a pattern: how often it occurs, and one occurrence, from the run-end samples alone."""
-        lo, hi, row, at = 0, self.rows_total, int(self.run_end_row[-1]), int(self.run_end_at[-1])
-        for c in reversed(pattern):
-            a, _ = self._before(c, lo)
-            b, run = self._before(c, hi)
-            if c == END or b <= a:
-                return 0, -1, -1
-            end = (int(self.run_start[run + 1]) if run + 1 < len(self.run_start) else self.rows_total) - 1
-            row, at = (row, at - 1) if end >= hi - 1 and self.run_start[run] <= hi - 1 else (int(self.run_end_row[run]), int(self.run_end_at[run]) - 1)
-            first = int(self.run_first[self.of_char[c][0]])
-            lo, hi = first + a, first + b
-        return hi - lo, row, at
-
-    def matching_statistics(self, text: bytes) -> list[int]:
-        """For each place of a text the length of the longest match with an indexed row that begins there."""
-        out = []
-        end = len(text)
-        for start in range(len(text) - 1, -1, -1):
-            end = min(len(text), max(end, start + 1))
-            while end > start and not self.find(text[start:end])[0]:
-                end -= 1
-            out.append(end - start)
-        return out[::-1]
+    def matching_statistics(self, queries: np.ndarray, most: int, pivot: int | None = None) -> np.ndarray:
+        """(k, width): for each place of each query the length of the longest match with an indexed row that begins there,
+        `most` for any longer one.
+
+        All queries are streamed from their ends to their beginnings. Where the byte in front of a match is not that of its
+        rank in the transform, the match goes on from the end of the nearest run of that byte before or behind,
+        whichever suffix sampled there has more in common. pivot: a query whose match doesn't reach this place is done.
+        """
+        k, width = queries.shape
+        out = np.zeros((k, width), dtype=np.int64)
+        padded = np.full((k, width + most), END, dtype=np.uint8)
+        padded[:, :width] = queries
+        going, q, length = np.arange(k), np.zeros(k, np.int64), np.zeros(k, np.int64)
+        for col in range(width - 1, -1, -1):
+            c = queries[going, col]
+            run = self.run_of(q)
+            same = (self.run_char[run] == c) & (length > 0)
+            to = self.run_first[run] + q - self.run_start[run]
+            length = np.minimum(length + 1, most)
+            other = np.flatnonzero(~same)
+            if len(other):
+                before, behind = self.neighbours(c[other], q[other])
+                own, known = padded[going[other], col + 1 : col + 1 + most], np.where(same, 0, length - 1)[other]
+                a = np.where(before >= 0, self.common(own, self.end_row[before], self.end_at[before], known), -1)
+                b = np.where(behind >= 0, self.common(own, self.head_row[behind], self.head_at[behind], known), -1)
+                take = np.where(a >= b, before, behind)
+                to[other] = self.run_first[take] + np.where(a >= b, self.run_size[take] - 1, 0)
+                length[other] = np.where(take >= 0, np.minimum(np.maximum(a, b) + 1, most), 0)
+                to[other[take < 0]] = 0
+            q = to
+            out[going, col] = length
+            if pivot is not None and col <= pivot:
+                on = col + length > pivot
+                if not on.all():
+                    going, q, length = going[on], q[on], length[on]
+        return out

@@ -10,11 +10,11 @@ that texts never cross the network; what crosses it is
    doc_id of all and a mask of the windows that occur in other contexts with a smaller one.
 
 An anchor that occurs very often could gather any number of different contexts in one place. The first answer also tells
-these hot anchors. Their windows are asked for one by one, dealt by the windows' own hashes (128 bits), so that what meets
-in a place is equal windows, one of each block; a minimum answers them.
+these hot anchors. Their windows are asked for one by one, dealt by the windows' own hashes, so that what meets
+in a place is equal windows, one of each block; they are compared byte by byte, and a minimum answers them.
 
-For step 2 a bucket of the other anchors builds a run-length Burrows-Wheeler index of those contexts that share an anchor and are
-not equal, and streams them through it. Of copies a block sends one, so a passage or a text that a third of all documents
+For step 2 a bucket of the other anchors builds run-length Burrows-Wheeler indexes with sampled run ends of contexts that share an
+anchor and are not equal, and streams the matching statistics of those with greater labels through them. Of copies a block sends one, so a passage or a text that a third of all documents
 hold costs a row for each block and not for each document.
 """
 
@@ -40,6 +40,8 @@ SLAB = 1 << 15
 INDEX_BYTES = 3 << 17
 NO_DOC = np.iinfo(np.int64).max
 HOT = 4096  # occurrences from which an anchor is hot
+TAG = 4  # bytes, of base 240
+OUTSIDE = (0xFE, 0xFD)
 WINDOWS = 1 << 24  # what tells answers about windows from those about contexts
 
 
@@ -183,27 +185,31 @@ class Block:
         self.row_least = np.full(len(first), NO_DOC)
         np.minimum.at(self.row_least, self.back, self.id_of[self.doc])
 
-    def hot_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, least, at): the distinct windows of hot contexts as sorted (n, 2) hashes, the least id of each, and the
-        place in keys of each window of each hot context, -1 where it leaves the document."""
+    def hot_windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, hashes, least, at): the distinct windows of hot contexts in the order of their hashes, bytes padded to a multiple
+        of four, the least id of each, and the place in keys of each window of each hot context, -1 where it leaves the document."""
         rows, least = self.rows[self.row_hot], self.row_least[self.row_hot]
         windows = self.rows.shape[1] - self.length + 1
         at = np.full((len(rows), windows), -1, dtype=np.int64)
-        parts, where = [np.empty((0, 2), np.uint64)], [np.empty((2, 0), np.int64)]
+        padded = -(-self.length // 4) * 4
+        parts, where = [np.empty((0, padded), np.uint8)], [np.empty((2, 0), np.int64)]
         for s in range(windows):
             w = rows[:, s : s + self.length]
             ok = np.flatnonzero((w[:, 0] != END) & (w[:, -1] != END))
-            padded = np.zeros((len(ok), -(-self.length // 4) * 4), np.uint8)
-            padded[:, : self.length] = w[ok]
-            parts.append(np.stack([row_hash(padded), row_hash(padded[:, ::-1])], axis=1))
+            part = np.zeros((len(ok), padded), np.uint8)
+            part[:, : self.length] = w[ok]
+            parts.append(part)
             where.append(np.stack([ok, np.full(len(ok), s)]))
         keys, where = np.concatenate(parts), np.concatenate(where, axis=1)
-        order = np.lexsort((keys[:, 1], keys[:, 0]))
-        keys, where = keys[order], where[:, order]
-        new = np.concatenate([[True], (keys[1:] != keys[:-1]).any(1)]) if len(keys) else np.empty(0, bool)
-        at[where[0], where[1]] = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        return keys[first], np.minimum.reduceat(least[where[0]], first) if len(first) else np.empty(0, np.int64), at
+        first, back = equal_rows(keys)
+        hashes = row_hash(keys[first])
+        by_hash = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(first), np.int64)
+        rank[by_hash] = np.arange(len(first))
+        at[where[0], where[1]] = rank[back]
+        low = np.full(len(first), NO_DOC)
+        np.minimum.at(low, rank[back], least[where[0]])
+        return keys[first[by_hash]], hashes[by_hash], low, at
 
 
 def spans(sorted_hashes: np.ndarray, bits: int) -> list[tuple[int, tuple[int, int]]]:
@@ -215,44 +221,65 @@ def spans(sorted_hashes: np.ndarray, bits: int) -> list[tuple[int, tuple[int, in
     return [(int(bucket[a]), (int(a), int(b))) for a, b in zip(cut, cut[1:])]
 
 
-def compare(rows: np.ndarray, hashes: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def compare(rows: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """For contexts (equal ones may repeat) the least label of equal ones, and the mask of windows that occur in another
-    context with a smaller label. Contexts with an anchor of their own, or all equal for an anchor, need no index."""
-    width = rows.shape[1]
-    windows = width - length + 1
+    context with a smaller label.
+
+    Contexts of one anchor are put in the order of their labels and halved again and again: at each level the second halves
+    are streamed through an index of the first ones. In place of the anchor, which every window holds, stands a number of
+    the halved group, so that nothing matches but what belongs together. Contexts with an anchor of their own, or all
+    equal for an anchor, need no index.
+    """
+    left, windows = length - GRAM, length - GRAM + 1
     first, back = equal_rows(rows)
     label = np.full(len(first), NO_DOC)
     np.minimum.at(label, back, least)
     mask = np.zeros(len(first), dtype=np.uint32)
-    _, group, size = np.unique(hashes[first], return_inverse=True, return_counts=True)
-    mixed = np.flatnonzero(size[group] > 1)
-    if len(mixed):
-        order = np.argsort(group[mixed], kind="stable")
-        mixed = mixed[order]
-        per = max(1, INDEX_BYTES // width)  # an index of bounded size; all contexts of an anchor are in one
-        edges = np.concatenate([[0], np.flatnonzero(np.diff(group[mixed])) + 1, [len(mixed)]])
+    _, group = equal_rows(np.ascontiguousarray(rows[first][:, left : left + GRAM]))
+    order = np.lexsort((label, group))
+    g, x = group[order], label[order]
+    new = np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.empty(0, bool)
+    place = np.cumsum(new | np.concatenate([[True], x[1:] != x[:-1]])) if len(g) else np.empty(0, np.int64)  # of the label among all
+    rank = np.empty(len(first), np.int64)
+    rank[order] = place - place[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))] if len(g) else place
+    deepest = int(rank.max(initial=0)).bit_length()
+    for level in range(deepest - 1, -1, -1):
+        half = rank >> level
+        key = group * (1 + (int(rank.max()) >> level)) + (half >> 1)
+        second = (half & 1).astype(bool)
+        _, tag = np.unique(key, return_inverse=True)
+        split = np.zeros(tag.max() + 1, bool)
+        split[tag[second]] = True  # the first halves always have something
+        asked = np.flatnonzero(second & (mask != np.uint32((1 << windows) - 1)))
+        held = np.flatnonzero(~second & split[tag])
+        held = held[np.argsort(tag[held], kind="stable")]
+        asked = asked[np.argsort(tag[asked], kind="stable")]
+        per = max(1, INDEX_BYTES // rows.shape[1])
+        cut = [0, *(np.flatnonzero(np.diff(tag[held])) + 1), len(held)]
         a = 0
-        while a < len(mixed):
-            k = int(np.searchsorted(edges, a + per, side="right")) - 1
-            b = int(edges[k]) if edges[k] > a else int(edges[k + 1])
-            part = mixed[a:b]
-            text = rows[first[part]]
-            blank = np.argmax(text != END, axis=1)  # contexts at the start of a document begin with END
-            turned = np.take_along_axis(text, (np.arange(width)[None, :] + blank[:, None]) % width, axis=1)
-            one, of = equal_rows(turned)
-            merged = np.full(len(one), NO_DOC)
-            np.minimum.at(merged, of, label[part])
-            low = RunLengthIndex(turned[one], merged, length).least_labels(windows)[of]
-            inside = length + np.arange(windows)[None, :] <= (turned != END).sum(1)[:, None]
-            hit = (low < label[part][:, None]) & inside
-            shifted = np.zeros_like(hit)
-            r, s = np.nonzero(hit)
-            shifted[r, s + blank[r]] = True
-            mask[part] = shifted @ (np.uint32(1) << np.arange(windows, dtype=np.uint32))
+        while a < len(held):
+            at = int(np.searchsorted(cut, a + per, side="right")) - 1
+            b = cut[at] if cut[at] > a else cut[at + 1]  # all of a group are in one index
+            lo, hi = np.searchsorted(tag[asked], [tag[held[a]], tag[held[b - 1]] + 1])
+            if hi > lo:
+                some = asked[lo:hi]
+                index = RunLengthIndex(_tagged(rows[first[held[a:b]]], tag[held[a:b]], length, 0))
+                found = index.matching_statistics(_tagged(rows[first[some]], tag[some], length, 1), left + TAG, pivot=left + TAG - 1)
+                mask[some] |= (found[:, :windows] >= left + TAG) @ (np.uint32(1) << np.arange(windows, dtype=np.uint32))
             a = b
     return label[back], mask[back]
 
 
+def _tagged(rows: np.ndarray, tag: np.ndarray, length: int, side: int) -> np.ndarray:
+    """Contexts with the number tag in TAG bytes in place of their anchor, and with bytes that match nothing of the other side where
+    they leave their documents. None of these bytes is one of UTF-8 or END, but for those of numbers, which stand alone."""
+    left = length - GRAM
+    before, behind = rows[:, :left].copy(), rows[:, left + GRAM :].copy()
+    before[before == END], behind[behind == END] = OUTSIDE[side], OUTSIDE[side]
+    digits = np.stack([tag // 240**i % 240 for i in range(TAG)], axis=1).astype(np.uint8)
+    return np.concatenate([before, digits, behind], axis=1)
+
+
 def suffix_dedup(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20, rest: tuple[str, ...] = (), texts: bool = False, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts, kept (string), n_kept; then rest.
 
@@ -322,7 +349,9 @@ def _block_table(docs: DataFrame, block_bytes: int, buckets: int, rest: tuple[st
     path = fresh_path(docs.sparkSession, "blocks")
     name = f"trajlake_{path.rsplit('-', 1)[1]}"
     blocks.write.format("parquet").bucketBy(buckets, "block").option("path", path).saveAsTable(name)
-    return docs.sparkSession.table(name)
+    table = docs.sparkSession.table(name)
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # the files stay, and the frame knows of their buckets
+    return table
 
 
 def _give_back() -> None:
@@ -399,8 +428,8 @@ def _ask_contexts(length: int, bits: int):
             x.gather()
             cool = ~x.row_hot
             rows, least = x.rows[cool], x.row_least[cool]
-            keys, key_least, _ = x.hot_windows()
-            asked = [(k, 0, e - a, least[a:e], rows[a:e]) for k, (a, e) in spans(x.row_hash[cool], bits)] + [(k, 1, e - a, key_least[a:e], keys[a:e]) for k, (a, e) in spans(keys[:, 0], bits)]
+            keys, hashes, key_least, _ = x.hot_windows()
+            asked = [(k, 0, e - a, least[a:e], rows[a:e]) for k, (a, e) in spans(x.row_hash[cool], bits)] + [(k, 1, e - a, key_least[a:e], keys[a:e]) for k, (a, e) in spans(hashes, bits)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([q[0] for q in asked], pa.int32()), pa.array([b.column(0)[i].as_py()] * len(asked), pa.int64()), pa.array([q[1] for q in asked], pa.int32()), pa.array([q[2] for q in asked], pa.int32()),
                  pa.array([q[3].astype("<i8").tobytes() for q in asked], pa.binary()), pa.array([q[4].tobytes() for q in asked], pa.binary())],
@@ -410,7 +439,7 @@ def _ask_contexts(length: int, bits: int):
 
 
 def _answer_contexts(length: int):
-    width, left = 2 * length - GRAM, length - GRAM
+    width, key = 2 * length - GRAM, -(-length // 4) * 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _grouped(batches):
@@ -421,11 +450,11 @@ def _answer_contexts(length: int):
                 cut = np.cumsum(asked.column("n").to_numpy())[:-1]
                 data, least = b"".join(asked.column("data").to_pylist()), np.frombuffer(b"".join(asked.column("least").to_pylist()), dtype="<i8")
                 if kind:
-                    low = _least_of_keys(np.frombuffer(data, dtype="<u8").reshape(-1, 2), least)
+                    low = _least_of_keys(np.frombuffer(data, dtype=np.uint8).reshape(-1, key), least)
                     out = [a.astype("<i8").tobytes() for a in np.split(low, cut)]
                 else:
                     rows = np.frombuffer(data, dtype=np.uint8).reshape(-1, width)
-                    low, mask = compare(rows, row_hash(rows[:, left : left + GRAM]), least, length)
+                    low, mask = compare(rows, least, length)
                     out = [a.astype("<i8").tobytes() + m.astype("<u4").tobytes() for a, m in zip(np.split(low, cut), np.split(mask, cut))]
                 yield pa.RecordBatch.from_arrays([pa.array(asked.column("block").to_pylist(), pa.int64()), pa.array([k | (WINDOWS * kind) for k in asked.column("bucket").to_pylist()], pa.int32()), pa.array(out, pa.binary())], ["block", "bucket", "data"])
 
@@ -434,12 +463,10 @@ def _answer_contexts(length: int):
 
 def _least_of_keys(keys: np.ndarray, least: np.ndarray) -> np.ndarray:
     """For each key the least label of its equals."""
-    order = np.lexsort((keys[:, 1], keys[:, 0]))
-    k = keys[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]).any(1)])
-    out = np.empty(len(keys), np.int64)
-    out[order] = np.minimum.reduceat(least[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-    return out
+    first, back = equal_rows(keys)
+    low = np.full(len(first), NO_DOC)
+    np.minimum.at(low, back, least)
+    return low[back]
 
 
 def _finish(length: int, bits: int, texts: bool, rest: bool):
@@ -456,9 +483,9 @@ def _finish(length: int, bits: int, texts: bool, rest: bool):
                 n = e - a
                 low[cool[a:e]] = np.frombuffer(told[bucket], dtype="<i8", count=n)
                 mask[cool[a:e]] = np.frombuffer(told[bucket], dtype="<u4", offset=8 * n, count=n)
-            keys, _, at_key = x.hot_windows()
+            keys, hashes, _, at_key = x.hot_windows()
             key_low = np.full(len(keys) + 1, NO_DOC)  # the last stands for no window
-            for bucket, (a, e) in spans(keys[:, 0], bits):
+            for bucket, (a, e) in spans(hashes, bits):
                 key_low[a:e] = np.frombuffer(told[bucket | WINDOWS], dtype="<i8", count=e - a)
             hot_row = np.cumsum(x.row_hot) - 1
             hot = np.flatnonzero(x.row_hot[x.back])  # occurrences of hot contexts
