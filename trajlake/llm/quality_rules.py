@@ -1,7 +1,8 @@
 """Quality rules by distribution divergence, with DataFrame functions only.
 
-A text passes if the histogram of its character classes and that of its language's commonest words lie within a
-Jensen-Shannon distance of the language's reference. Both tests have a minimum length, under which they say nothing.
+A text passes if the histogram of its character classes and that of common words lie within a Jensen-Shannon distance
+of its language's reference. The common words are those of all languages with a reference, so that prose in another
+language than the one it is tagged with is told as well as text without such words. Both tests have a minimum length, under which they say nothing.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ WORD_REFERENCE = {
     "fr": {"de": 0.048, "la": 0.030, "le": 0.025, "et": 0.022, "les": 0.020, "des": 0.018, "en": 0.014, "un": 0.012, "du": 0.012, "que": 0.010},
     "es": {"de": 0.055, "la": 0.035, "que": 0.028, "el": 0.028, "en": 0.026, "y": 0.025, "a": 0.020, "los": 0.016, "se": 0.012, "del": 0.012},
 }
+COMMON = sorted({w for row in WORD_REFERENCE.values() for w in row})  # a bin for each of all languages' words; the last bin is for all else
+WORD_SHARES = {k: [*(row.get(w, 0.0) for w in COMMON), 1 - sum(row.values())] for k, row in WORD_REFERENCE.items()}
+# Word distances over which a text is rejected. Below that of a text without any common word, above that of prose.
+MAX_WORD_DISTANCE = {"en": 0.32, "de": 0.292, "fr": 0.275, "es": 0.318}
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -50,13 +55,13 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return let(divergence, lambda d: F.when(d.isNotNull(), F.sqrt(F.greatest(F.lit(0.0), d))))
 
 
-def _by_lang(lang: Column, table: dict[str, list], kind: str) -> Column:
-    """The row of the table for a language; any other language, or null, has none for words and the mean for classes."""
-    made = None
+def _by_lang(lang: Column, table: dict[str, list[float]], other: list[float] | None) -> Column:
+    """The row of the table for a language; any other language, or null, has the row `other`."""
+    numbers = lambda row: F.array(*[F.lit(float(x)) for x in row])
+    made = F.when(F.lit(False), F.lit(None).cast("array<double>"))
     for name, row in table.items():
-        made = (F.when if made is None else made.when)(lang == name, F.array(*[F.lit(x) for x in row]).cast(kind))
-    mean = [sum(x) / len(table) for x in zip(*table.values())] if kind == "array<double>" else None
-    return made.otherwise(F.array(*[F.lit(x) for x in mean]).cast(kind)) if mean else made
+        made = made.when(lang == name, numbers(row))
+    return made.otherwise(numbers(other)) if other else made
 
 
 def repeated_words(words: Column, n: int = 3) -> Column:
@@ -85,7 +90,7 @@ def repeated_words(words: Column, n: int = 3) -> Column:
     return let(let(words, windows), lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))).cast("long")
 
 
-def quality(text: Column, lang: Column, min_words: int = 50, max_repeat_percent: int = 50, max_class_distance: float = 0.20, max_word_distance: float = 0.45,
+def quality(text: Column, lang: Column, min_words: int = 50, max_repeat_percent: int = 50, max_class_distance: float = 0.20, max_word_distance: dict[str, float] = MAX_WORD_DISTANCE,
             min_chars: int = 200, min_list_words: int = 50) -> Column:
     """struct of the measures and verdicts of a text.
 
@@ -98,14 +103,16 @@ def quality(text: Column, lang: Column, min_words: int = 50, max_repeat_percent:
 
     All is one expression whose parts are bound by let: however the planner moves it, a part is computed once.
     """
-    common = _by_lang(lang, {k: list(v) for k, v in WORD_REFERENCE.items()}, "array<string>")
-    shares = _by_lang(lang, {k: [*v.values(), 1 - sum(v.values())] for k, v in WORD_REFERENCE.items()}, "array<double>")
+    common = F.array(*map(F.lit, COMMON))
+    shares = _by_lang(lang, WORD_SHARES, None)
+    limit = _by_lang(lang, {k: [v] for k, v in max_word_distance.items()}, None)
 
     def counts(x: Column) -> Column:
         t, w, rest = x["t"], x["w"], x["rest"]
         lines = let(F.filter(F.split(t, "\n"), lambda v: v.rlike(r"[^\x20\x09-\x0D]")), lambda v: F.size(v) - F.size(F.array_distinct(v)))
-        ranks = F.transform(w, lambda v: F.array_position(x["common"], F.lower(v)).cast("int"))
-        bins = let(ranks, lambda r: F.transform(F.array(*[F.lit(k) for k in [*range(1, 11), 0]]), lambda k: (F.size(r) - F.size(F.array_remove(r, k))).cast("double")))
+        hits = F.filter(F.transform(w, lambda v: F.array_position(x["common"], F.lower(v)).cast("int")), lambda r: r > 0)
+        places = F.array(*[F.lit(k) for k in range(1, len(COMMON) + 1)])
+        bins = let(hits, lambda r: F.array_append(F.transform(places, lambda k: (F.size(r) - F.size(F.array_remove(r, k))).cast("double")), (F.size(w) - F.size(r)).cast("double")))
         return F.struct(
             F.size(w).cast("long").alias("n_words"), F.char_length(F.array_join(w, "")).cast("long").alias("word_chars"), F.regexp_count(rest, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
             lines.cast("long").alias("n_dup_lines"), repeated_words(w).alias("n_repeat_words"), F.char_length(t).cast("long").alias("chars"), F.char_length(rest).cast("long").alias("left"),
@@ -115,14 +122,14 @@ def quality(text: Column, lang: Column, min_words: int = 50, max_repeat_percent:
     def distances(c: Column) -> Column:
         space = c["chars"] - c["word_chars"]
         classes = [c["chars"] - c["left"] - c["upper"], c["upper"], c["digits"], space, c["marks"], c["n_symbols"], c["left"] - c["digits"] - space - c["marks"] - c["n_symbols"]]
-        by_class = js_distance(F.array(*[F.greatest(v, F.lit(0)).cast("double") for v in classes]), _by_lang(lang, CLASS_REFERENCE, "array<double>"))
+        by_class = js_distance(F.array(*[F.greatest(v, F.lit(0)).cast("double") for v in classes]), _by_lang(lang, CLASS_REFERENCE, [sum(x) / len(CLASS_REFERENCE) for x in zip(*CLASS_REFERENCE.values())]))
         by_word = F.when(lang.isin(*WORD_REFERENCE), js_distance(c["bins"], shares))
         return F.struct(c.alias("c"), by_class.alias("class_distance"), by_word.alias("word_distance"))
 
     def verdict(d: Column) -> Column:
         c = d["c"]
         failed = (c["n_words"] < min_words) | (100 * c["n_repeat_words"] > max_repeat_percent * c["n_words"])
-        far = ((c["chars"] >= min_chars) & F.coalesce(d["class_distance"] > max_class_distance, F.lit(False))) | ((c["n_words"] >= min_list_words) & F.coalesce(d["word_distance"] > max_word_distance, F.lit(False)))
+        far = ((c["chars"] >= min_chars) & F.coalesce(d["class_distance"] > max_class_distance, F.lit(False))) | ((c["n_words"] >= min_list_words) & F.coalesce(d["word_distance"] > F.get(limit, F.lit(0)), F.lit(False)))
         return F.struct(*[c[k].alias(k) for k in MEASURES], d["class_distance"].alias("class_distance"), d["word_distance"].alias("word_distance"), failed.alias("base_failed"), (~failed & ~far).alias("kept"))
 
     whole = let(F.coalesce(text, F.lit("")), lambda t: F.struct(t.alias("t"), F.array_remove(F.split(t, SPACE + "+"), "").alias("w"), F.regexp_replace(t, r"\p{L}+", "").alias("rest"), common.alias("common")))
@@ -143,13 +150,14 @@ def op5_quality_divergence(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("class_distance", 6).alias("class_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
-def oracle_sql(max_class_distance: float = 0.20, max_word_distance: float = 0.45, min_chars: int = 200, min_list_words: int = 50) -> str:
+def oracle_sql(max_class_distance: float = 0.20, max_word_distance: dict[str, float] = MAX_WORD_DISTANCE, min_chars: int = 200, min_list_words: int = 50) -> str:
     """DuckDB SQL for op5_quality_divergence over the table documents."""
     numbers = lambda xs: "[" + ", ".join(f"{x!r}::DOUBLE" for x in xs) + "]"
     mean = [sum(x) / len(CLASS_REFERENCE) for x in zip(*CLASS_REFERENCE.values())]
     classes = "CASE lang " + " ".join(f"WHEN '{k}' THEN {numbers(v)}" for k, v in CLASS_REFERENCE.items()) + f" ELSE {numbers(mean)} END"
-    shares = "CASE lang " + " ".join(f"WHEN '{k}' THEN {numbers([*v.values(), 1 - sum(v.values())])}" for k, v in WORD_REFERENCE.items()) + " END"
-    common = "CASE lang " + " ".join(f"WHEN '{k}' THEN [" + ", ".join(f"'{w}'" for w in v) + "]" for k, v in WORD_REFERENCE.items()) + " END"
+    shares = "CASE lang " + " ".join(f"WHEN '{k}' THEN {numbers(v)}" for k, v in WORD_SHARES.items()) + " END"
+    limit = "CASE lang " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in max_word_distance.items()) + " END"
+    common, bins = "[" + ", ".join(f"'{w}'" for w in COMMON) + "]", ", ".join(map(str, [*range(1, len(COMMON) + 1), 0]))
 
     def distance(counts: str, reference: str) -> str:
         part = "CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END"
@@ -167,9 +175,9 @@ m AS (SELECT a.k, doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_strin
   length(r) - length(regexp_replace(r, '\\p{{Nd}}', '', 'g')) AS digits, length(r) - length(regexp_replace(r, '[.,;:!?''"()¿¡«»…-]', '', 'g')) AS marks, w FROM a LEFT JOIN c USING (k)),
 h AS (SELECT *, [chars - rest - upper, upper, digits, chars - word_chars, marks, n_symbols, rest - digits - (chars - word_chars) - marks - n_symbols]::DOUBLE[] AS ch, {common} AS cw FROM m),
 i AS (SELECT * EXCLUDE (ch), list_transform(ch, lambda v: greatest(v, 0)) AS ch, list_transform(w, lambda v: coalesce(list_position(cw, lower(v)), 0)) AS ranks FROM h),
-j AS (SELECT *, list_transform([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 0], lambda q: len(list_filter(ranks, lambda v: v = q)))::DOUBLE[] AS wh, {classes} AS cr, {shares} AS sr FROM i),
+j AS (SELECT *, list_transform([{bins}], lambda q: len(list_filter(ranks, lambda v: v = q)))::DOUBLE[] AS wh, {classes} AS cr, {shares} AS sr FROM i),
 e AS (SELECT *, {distance('ch', 'cr')} AS class_distance, CASE WHEN sr IS NOT NULL THEN {distance('wh', 'sr')} END AS word_distance, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM j)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(chars >= {min_chars} AND class_distance > {max_class_distance}, false) AND NOT coalesce(n_words >= {min_list_words} AND word_distance > {max_word_distance}, false) AS kept,
+  NOT base_failed AND NOT coalesce(chars >= {min_chars} AND class_distance > {max_class_distance}, false) AND NOT coalesce(n_words >= {min_list_words} AND word_distance > {limit}, false) AS kept,
   round(class_distance, 6) AS class_distance, round(word_distance, 6) AS word_distance FROM e
 """
