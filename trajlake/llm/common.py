@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
@@ -16,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (unit tests on one machine) a folder is made and set.
+    Only where the session names none and runs in one process (local mode, as in tests) a folder is made and set; on a
+    cluster that is an error, as a folder of one machine is no shared folder.
     """
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = "file://" + tempfile.mkdtemp(prefix="trajlake-")
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)
@@ -30,11 +34,57 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Remove folders of the shared folder that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """On leaving, removes what was written to the shared folder inside, but for written tables that the body adds to the list it
+    gets.
+
+    For steps whose result is written before the end: what they read on the way is then of no more use.
+    """
+    first, tables = len(_made), []
+    yield tables
+    kept = [t.folder for t in tables]
+    gone = [p for p in _made[first:] if p not in kept]
+    _made[first:] = kept
+    remove(spark, gone)
+
+
+HOT_ROWS, HOT_KEYS = 1024, 1000
+
+
+def spread_join(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
+    """big joined (inner) with small, which has one row for a key, where a key may hold any share of big's rows.
+
+    The HOT_KEYS most frequent keys of big that have over HOT_ROWS rows are told by partial counts; their rows of small, at
+    most HOT_KEYS, are broadcast. All other keys hold less than a thousandth of big each and meet by a shuffle. big is
+    read three times and should be a written table. Null keys join nothing.
+    """
+    hot = big.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
+    hot = hot.orderBy(F.desc("_rows"), on).limit(HOT_KEYS).select(on)
+    told = small.join(F.broadcast(hot), on)
+    often = big.join(F.broadcast(told), on)
+    return often.unionByName(big.join(F.broadcast(hot), on, "left_anti").join(small, on))
 
 
 def crc_split(doc_id: Column, mod: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import written
+from trajlake.llm.common import remove, spread_join, written
 
 
 def _stats(e: DataFrame) -> tuple[int, int]:
@@ -18,7 +18,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
     Each round is two group-by-minimum steps and two equi-joins on distributed tables, written to the shared
     folder; nothing but a count and a checksum reaches the driver. A node with very many neighbours is a
-    partially aggregated minimum on one side and a sort-merge join that adaptive execution can split on the other.
+    partially aggregated minimum on one side and a row sent to all tasks on the other.
     Null ends and self links carry no information and are ignored; an empty list gives an empty result.
     """
     e = edges.filter("u is not null and v is not null and u <> v")
@@ -27,12 +27,15 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
+        old = [e.folder]
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = spread_join(both.filter("v > u"), least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(large, "cc")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        hung = spread_join(large, low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(low.select("u", F.col("m").alias("v")).union(hung).distinct(), "cc")
+        remove(e.sparkSession, [*old, large.folder])
         after = _stats(e)
         if after == before:
             break

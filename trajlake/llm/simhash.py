@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import utf8, written
+from trajlake.llm.common import spread_join, utf8, written
 from trajlake.llm.components import connected_components
 
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -56,10 +56,10 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), utf8(F.col("text")).alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
-def covering_masks(radius: int, turn: int = 0) -> np.ndarray:
-    """2^(radius+1)-1 masks of 64 bits; turn deals the vectors m(i) to the bits in another order."""
+def covering_masks(radius: int, turn: int = 0, width: int = 64) -> np.ndarray:
+    """2^(radius+1)-1 masks of width bits; turn deals the vectors m(i) to the bits in another order."""
     size = 2 ** (radius + 1)
-    order = np.random.default_rng(turn).permutation(64) if turn else np.arange(64)
+    order = np.random.default_rng(turn).permutation(width) if turn else np.arange(width)
     m = 1 + order % (size - 1)
     odd = [[bin(int(x) & v).count("1") & 1 for x in m] for v in range(1, size)]
     return np.array([sum(1 << i for i, o in enumerate(row) if o) for row in odd], dtype=np.uint64)
@@ -159,11 +159,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
     """
     by_doc = written(fingerprints(docs, shingle), "fp")
     distinct = by_doc.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    star = written(connected_components(links(distinct.select("fp"), radius)), "star")
-    member = distinct.join(star.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = member.groupBy("root").agg(F.min("rep").alias("component_id"))
-    known = member.join(least, "root").select("fp", "component_id")
-    return by_doc.join(known, "fp").select("doc_id", "fp", "component_id")
+    star = written(connected_components(links(distinct.select("fp"), radius)), "star").withColumnRenamed("node", "fp")
+    linked = written(distinct.join(star, "fp"), "linked")
+    least = linked.groupBy("root").agg(F.min("rep").alias("least"))
+    known = spread_join(linked, least, "root").select("fp", "least").withColumn("joined", F.lit(True))
+    known = distinct.join(known, "fp", "left").select("fp", F.when(F.col("joined"), F.col("least")).otherwise(F.col("rep")).alias("component_id"))
+    return spread_join(by_doc, written(known, "known"), "fp").select("doc_id", "fp", "component_id")
 
 
 def op10_simhash_covering_lsh(spark, sf_dir):
