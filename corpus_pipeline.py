@@ -5,23 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import table, written
+from trajlake.llm.common import remove, scratch, table, written
 from trajlake.llm.decontaminate import decontaminated
 from trajlake.llm.mixing import mixed
-from trajlake.llm.near_text import near_texts
+from trajlake.llm.near_text import one_of_each
 from trajlake.llm.quality_rules import quality
 from trajlake.llm.suffix_dedup import suffix_dedup
 
 
+#: What mixing makes of the tokens that each domain still has; the rest is clean text, scaled so that the corpus keeps its size.
+FACTORS = {"low": 0.5, "clean": 1.0, "toxic": 0.5}
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
+    """Documents that the rules keep. Null, empty and short texts go; repeated rows are judged alike."""
     return docs.filter(quality(F.col("text"), F.col("lang"))["kept"])
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of texts that share 80 % of their five-word shingles the document with the least id. Rows without an id stay."""
-    copies = near_texts(docs.select("doc_id", "text")).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """Of each class of texts linked by at least 80 % of common five-word shingles the document with the least id.
+
+    Rows without an id are judged too and give way to rows with one; of repeated rows one stays.
+    """
+    return one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +41,18 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no benchmark item is found."""
+    """Documents in which no benchmark item is found, whether they have an id or not."""
     return decontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says, with rate and copy (from 1); rate zero drops it."""
+    """Each document as often as its rate says, with rate and copy (from 1).
+
+    Targets follow from what the stages before have kept: a domain's tokens times its factor, scaled to the size of the
+    corpus. No rate exceeds mixing.BOUND; a rate below one is the chance to stay, by a hash of the id.
+    """
     docs = docs.drop("rate", "copy")
-    out = mixed(docs, table(spark, sf_dir, "labels")).filter("copies > 0")
+    out = mixed(docs, table(spark, sf_dir, "labels"), FACTORS, relative=True).filter("copies > 0")
     return out.select(*[c for c in docs.columns if c in out.columns], "rate", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
 
 
@@ -59,7 +69,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What stages write on the way is removed from the shared folder."""
+    docs = before = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark) as kept:
+            docs = written(stage(spark, docs, sf_dir), name)
+            kept.append(docs)
+        remove(spark, [before.folder] if hasattr(before, "folder") else [])
+        before = docs
     return docs
