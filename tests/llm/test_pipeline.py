@@ -3,8 +3,10 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
+from tests.llm.test_near_text import slow_classes
 from tests.llm.test_operators import ODD, odd_docs, slow_spans
-from trajlake.llm import decontaminate, mixing, quality_rules, simhash
+from trajlake.llm import decontaminate, mixing, quality_rules
+from trajlake.llm.common import written
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,14 +23,8 @@ def test_stages_against_plain_versions(spark):
 
     two = by_name["near_duplicates"](spark, one, SF)
     rows = {r["doc_id"]: r["text"] for r in one.collect()}
-    fp = {i: simhash.simhash64(t.encode()) for i, t in rows.items()}
-    root = dict(zip(sorted(fp), sorted(fp)))
-    for a in sorted(fp):
-        for b in sorted(fp):
-            if a < b and (fp[a] ^ fp[b]).bit_count() <= 4 and root[a] != root[b]:
-                lo, hi = sorted((root[a], root[b]))
-                root = {k: lo if v == hi else v for k, v in root.items()}
-    assert {r["doc_id"] for r in two.collect()} == {i for i in fp if root[i] == i}
+    root = slow_classes(list(rows.items()))
+    assert {r["doc_id"] for r in two.collect()} == {i for i in root if root[i] == i}
 
     two_rows = two.collect()
     three = by_name["repeats"](spark, two, SF)
@@ -44,14 +40,31 @@ def test_stages_against_plain_versions(spark):
     assert {r["doc_id"] for r in four.collect()} == {r["doc_id"] for r in three.collect() if not m.search(r["text"])}
 
     five = by_name["mixing"](spark, four, SF)
-    rates = {r["doc_id"]: r["copies"] for r in mixing.mixed(four, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    rates = {r["doc_id"]: r["copies"] for r in mixing.mixed(four, labels, corpus_pipeline.FACTORS, relative=True).collect()}
     counted = {r["doc_id"]: r["n"] for r in five.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
     assert counted == {i: c for i, c in rates.items() if c}
 
 
+def test_run_keeps_documents_and_size(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, "/root/testdata/sf0.01"), "stage")
+    out = written(corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.01"), "mixed")
+    assert {"doc_id", "text", "rate", "copy"} <= set(out.columns)
+    words = lambda df: sum(len(r["text"].split()) for r in df.select("text").collect())
+    n = docs.count()
+    assert n > 600 and out.select("doc_id").distinct().count() >= 0.9 * n and 0.9 * n < out.count() < 1.2 * n
+    assert 0.9 < words(out) / words(docs) < 1.1
+    top = out.agg(F.max("copy"), F.max("rate")).first()
+    assert top[0] <= mixing.BOUND and top[1] <= mixing.BOUND
+    clean = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1 and toxic = 0")
+    lost = docs.join(clean, "doc_id", "left_semi").join(out, "doc_id", "left_anti").collect()
+    assert len(lost) < 5 and all(len(r["text"].split()) < 50 for r in lost)  # what the stage before has left of a few says little
+
+
 def test_run_gives_rows(spark):
-    out = corpus_pipeline.run(spark, SF)
-    assert out.count() > 50 and {"doc_id", "text", "rate", "copy"} <= set(out.columns)
+    assert corpus_pipeline.run(spark, SF).count() > 50
 
 
 def test_stages_on_odd_and_empty_tables(spark):
