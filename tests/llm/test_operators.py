@@ -584,7 +584,7 @@ def test_warc_round_trip_is_exact_and_repeatable(spark):
         if i is not None:
             first[h or ""] = min(i, first.get(h or "", i))
     want, seen = [], set()
-    for i, _, h in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
+    for i, _, h in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
         b, m = (h or "").encode(), first.get(h or "")
         again = i is not None and (i != m or (i, h) in seen)
         seen.add((i, h))
@@ -600,6 +600,16 @@ def test_shard_bounds_divide_clustered_ids(spark):
     assert max(sizes) <= 500 and len(bounds) < 80
 
 
+def test_pages_without_an_id_are_dealt_to_shards(spark):
+    rows = [(None, f"u{i}", f"{i:04d}" * 50) for i in range(300)] + [(i, "u", "x" * 100) for i in range(20)]
+    path = fresh_path(spark, "warc-test")
+    manifest = warc.write_warcs(spark.createDataFrame(rows, "page_id long, url string, html string"), path, shard_bytes=20_000)
+    files = manifest.groupBy("shard").agg(F.sum("records").alias("n")).collect()
+    assert len(files) > 8 and max(r["n"] for r in files) < 100
+    read = warc.read_warcs(spark, path, manifest).collect()
+    assert len(read) == 320 and sum(r["record_type"] == "response" for r in read) == 301
+
+
 # ---- every operator on odd and empty tables ----
 
 

@@ -19,17 +19,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import fresh_path, utf8, written
+from trajlake.llm.common import fresh_path, spread_join, utf8, written
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 NAMESPACE = uuid.UUID("6f1d3c1e-9a55-4a6b-8a0e-3d5a1c0f7b21")
 MANIFEST = "shard long, seq int, temp string, name string, records long, bytes long, sha256 string"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 BAD = re.compile(r"[\x00-\x20\x7f]")
-CELLS = 1024
+CELLS, CELL_SHARE = 1024, 8
+MOST_TASKS = 100_000
 
 
 def sha1_base32(payload: bytes) -> str:
@@ -71,47 +72,57 @@ def _info(name: str, date: str) -> bytes:
 
 
 def shard_bounds(sized: DataFrame, shard_bytes: int) -> list[int]:
-    """Increasing first ids of the shards 1, 2, ... so that a shard holds about shard_bytes, from (id long, bytes long).
+    """Increasing first ids of the shards 1, 2, ... so that a shard holds at most shard_bytes, from (id long, bytes long).
 
-    A histogram over equal cells of the id range, eight for each shard, is summed exactly; cells that are too full and
-    hold more than one id are divided again, by CELLS. So bounds depend on the data alone, and the driver sees cell
-    totals, whose number goes with that of the shards, and never the ids.
+    A histogram over equal cells of the id range, CELL_SHARE for each shard, is summed exactly; cells that are too full and
+    hold more than one id are divided again, by CELLS. The cells stay distributed: the driver sees the totals of groups of
+    CELLS cells, from which each group's cells are added up where they are, and then the bounds, one long for a shard. So
+    bounds depend on the data alone. An id whose pages alone exceed a cell makes its shard
+    that much larger. Null ids are ignored.
     """
+    sized = sized.filter("id is not null")
     low, high, total = sized.agg(F.min("id"), F.max("id"), F.sum("bytes")).first()
     if low is None:
         return []
     kind = "long" if high - low < 2**62 else "decimal(38,0)"
-    cells = max(CELLS, 8 * (total // shard_bytes))
-    width = max(1, -(-(high - low + 1) // cells))
-    cur = sized.filter("id is not null").select("id", "bytes", F.array().cast("array<long>").alias("key"))
-    closed: list[tuple[int, int]] = []  # first id, bytes
+    cells, most = max(CELLS, CELL_SHARE * (total // shard_bytes)), shard_bytes // CELL_SHARE
+    width = top = max(1, -(-(high - low + 1) // cells))
+    cur, closed = sized.select("id", "bytes", F.array().cast("array<long>").alias("key")), None
     while True:
         child = F.expr(f"(cast(id as {kind}) - cast({low} as {kind})) div cast({width} as {kind})").cast("long")
         cur = cur.withColumn("key", F.concat("key", F.array(child)))
-        got = cur.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.sum("bytes").alias("n")).collect()
-        closed += [(r["a"], r["n"]) for r in got if r["n"] <= shard_bytes or r["a"] == r["z"]]
-        over = [(r["key"],) for r in got if r["n"] > shard_bytes and r["a"] != r["z"]]  # fewer than there will be shards
-        if not over:
+        got = written(cur.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.sum("bytes").alias("n")), "cells")
+        full = (F.col("n") > most) & (F.col("a") != F.col("z"))
+        part = got.filter(~full).select("a", "n")
+        closed = part if closed is None else closed.unionByName(part)
+        over = got.filter(full).select("key")
+        if over.isEmpty():
             break
         width = max(1, -(-width // CELLS))
-        cur = cur.join(F.broadcast(sized.sparkSession.createDataFrame(over, "key array<long>")), "key", "left_semi")
-    bounds, held = [], 0
-    for a, n in sorted(closed):
-        if held and held + n > shard_bytes:
-            bounds.append(a)
-            held = 0
-        held += n
-    return bounds
+        cur = cur.join(over, "key", "left_semi")
+    group = F.expr(f"(cast(a as {kind}) - cast({low} as {kind})) div cast({top * CELLS} as {kind})").cast("long")
+    closed = written(closed.withColumn("g", group), "cells")
+    before, held = [], 0
+    for r in closed.groupBy("g").agg(F.sum("n").alias("n")).orderBy("g").toLocalIterator():
+        before.append((r["g"], held))
+        held += r["n"]
+    offsets = sized.sparkSession.createDataFrame(before, "g long, before long")
+    ahead = F.sum("n").over(Window.partitionBy("g").orderBy("a")) - F.col("n")
+    placed = closed.select("a", "g", "n", ahead.alias("ahead")).join(F.broadcast(offsets), "g")
+    # a cell is at most a CELL_SHARE-th of a shard, so that one that starts anew at each multiple of the rest isn't over-full
+    shard = F.expr(f"(before + ahead) div {shard_bytes - most}")
+    firsts = placed.groupBy(shard.alias("k")).agg(F.min("a").alias("a"))
+    return sorted(r["a"] for r in firsts.select("a").toLocalIterator())[1:]
 
 
 def revisits(sized: DataFrame, min_bytes: int) -> DataFrame:
     """(page_id, digest, first) of the pages whose payload another page with a smaller id has: first is the smallest.
 
     Groups are counted with partial aggregation, so a payload that a third of all pages share costs a row for each
-    task; the join back is one that adaptive execution may split.
+    task, and what is told of it goes to all tasks.
     """
     groups = sized.filter((F.col("bytes") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    return sized.filter("page_id is not null").join(groups, "digest").filter("page_id > first").select("page_id", "digest", "first").distinct()
+    return spread_join(sized.filter("page_id is not null"), groups, "digest").filter("page_id > first").select("page_id", "digest", "first").distinct()
 
 
 def write_warcs(pages: DataFrame, path: str, shard_bytes: int = 32 << 20, roll_bytes: int = 16 << 20, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
@@ -120,19 +131,25 @@ def write_warcs(pages: DataFrame, path: str, shard_bytes: int = 32 << 20, roll_b
     Of equal payloads of at least min_bytes the one with the smallest page_id is a response and the others are revisits of
     it; shorter payloads are all responses. Equal rows with the smallest id: one is the response, the others revisit
     it. A null html is the empty payload, a null url a record of urn:page:<id>; pages without an id are responses of their
-    own at the start of shard 0. Other columns are ignored. The payload crosses the network once, in the range sort.
+    own in shards behind the others, dealt by their digests. Other columns are ignored. The payload crosses the network
+    once, in the range sort; a task takes one shard, or several neighbours if there are over MOST_TASKS.
     """
     spark = pages.sparkSession
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), utf8(F.col("html")).alias("payload"))
     sized = src.select("page_id", F.octet_length("payload").cast("long").alias("bytes"), F.unhex(F.sha1("payload")).alias("digest"))
     sized = written(sized, "sized")
     bounds = shard_bounds(sized.select(F.col("page_id").alias("id"), (F.col("bytes") + 600).alias("bytes")), shard_bytes)
-    shard = _shard_of(F.col("page_id"), bounds)
+    nameless = sized.filter("page_id is null").agg(F.sum(F.col("bytes") + 600)).first()[0] or 0
+    more = max(1, -(-nameless // shard_bytes))
+    apart = F.lit(len(bounds) + 1) + F.pmod(F.xxhash64("digest", "url"), F.lit(more))
+    shard = F.when(F.col("page_id").isNull(), apart).otherwise(_shard_of(F.col("page_id"), bounds))
     rows = src.select("page_id", F.unhex(F.sha1("payload")).alias("digest"), F.lit(None).cast("long").alias("first"), "url", "payload")
     told = revisits(sized, min_bytes).select("page_id", "digest", "first", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"))
     dealt = rows.unionByName(told).withColumn("shard", shard)
-    n = len(bounds) + 1
-    dealt = dealt.repartitionById(n, F.col("shard").cast("int")) if hasattr(dealt, "repartitionById") else dealt.repartition(n, "shard")
+    shards = len(bounds) + 1 + (more if nameless else 0)
+    n = min(shards, MOST_TASKS)
+    task = F.expr(f"cast(shard as long) * {n} div {shards}").cast("int")
+    dealt = dealt.repartitionById(n, task) if hasattr(dealt, "repartitionById") else dealt.repartition(n, task)
     # what was told of a page comes first, then its rows
     dealt = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_first(), "digest", F.col("first").asc_nulls_last(), F.col("url").asc_nulls_first())
     out = dealt.select("shard", "page_id", "digest", "first", "url", "payload").mapInArrow(_writer(path, roll_bytes, min_bytes, date), MANIFEST)
@@ -145,7 +162,7 @@ def write_warcs(pages: DataFrame, path: str, shard_bytes: int = 32 << 20, roll_b
 
 
 def _shard_of(page_id: Column, bounds: list[int]) -> Column:
-    """Number of bounds at most page_id: a tree of comparisons, or a search in Arrow batches for many. A null id: 0."""
+    """Number of bounds at most page_id: a tree of comparisons, or a search in Arrow batches for many."""
     if not bounds:
         return F.lit(0).cast("long")
     if len(bounds) > 256:
@@ -287,11 +304,12 @@ def read_warcs(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame
                             rows = []
                 yield packed(rows)
 
-    files = manifest.select("name").repartition(max(1, manifest.count()), "name")
+    files = manifest.select("name").repartition(min(MOST_TASKS, max(1, manifest.count())), "name")
     return files.mapInArrow(run, RECORD)
 
 
 def op1_warc_round_trip(spark, sf_dir):
+    """What reading gives of the archives written of pages: one row per page."""
     from trajlake.llm.common import table
 
     path = fresh_path(spark, "warc")
