@@ -15,6 +15,14 @@ TEMPLATES = {
     "llama": {"bos": "<|begin_of_text|>", "system": ("<|start_header_id|>system<|end_header_id|>\n\n", "<|eot_id|>"), "user": ("<|start_header_id|>user<|end_header_id|>\n\n", "<|eot_id|>"), "assistant": ("<|start_header_id|>assistant<|end_header_id|>\n\n", "<|eot_id|>"), "tool": ("<|start_header_id|>user<|end_header_id|>\n\n<|start_header_id|>tool_response<|end_header_id|>\n\n", "<|eot_id|><|eot_id|>"), "open": "<|start_header_id|>assistant<|end_header_id|>\n\n", "default_system": None},
 }
 
+# What stands before and behind the tool schemas in the system message.
+TOOL_NOTES = {
+    "qwen": (
+        "\n\n# Tools\n\nYou may call one or more functions to assist with the user query.\n\nYou are provided with function signatures within <tools></tools> XML tags:\n<tools>",
+        "\n</tools>\n\nFor each function call, return a json object with function name and arguments within <tool_call></tool_call> XML tags:\n<tool_call>\n{\"name\": <function-name>, \"arguments\": <args-json-object>}\n</tool_call>",
+    )
+}
+
 
 def template_for(model_name: str, distilled: tuple[str, ...] = ("deepseek",)) -> str:
     """deepseek for models distilled with its template, llama for llama models that aren't qwen too, else qwen."""
@@ -24,22 +32,41 @@ def template_for(model_name: str, distilled: tuple[str, ...] = ("deepseek",)) ->
     return "llama" if "llama" in low and "qwen" not in low else "qwen"
 
 
-def render(messages: Column, template: str = "qwen", add_generation_prompt: bool = False, first: bool = True) -> Column:
-    """One text of array<role, content>. first: the messages begin the chat (start text, default system message)."""
-    t = TEMPLATES[template]
+def turn_texts(messages: Column, template: str = "qwen", first: bool = True, tools: list[str] | None = None) -> Column:
+    """array<role, text>: the pieces of a rendered chat, in order. What opens an assistant's turn is a piece of its own with
+    role "open", so that pieces with role assistant are what the model has to say.
 
-    def one(m: Column) -> Column:
-        out = None
-        for role in ("system", "user", "assistant", "tool"):
-            text = F.concat(F.lit(t[role][0]), m["content"], F.lit(t[role][1]))
-            out = F.when(m["role"] == role, text) if out is None else out.when(m["role"] == role, text)
-        return out.otherwise(F.raise_error(F.concat(F.lit("no such role: "), F.coalesce(m["role"], F.lit("null")))))
-
-    body = F.array_join(F.transform(messages, one), "")
-    head = F.lit(t["bos"] if first else "")
-    if first and t["default_system"]:
-        head = F.when(F.coalesce(F.get(messages, F.lit(0))["role"], F.lit("")) == "system", head).otherwise(F.concat(head, F.lit(t["system"][0] + t["default_system"] + t["system"][1])))
-    return F.concat(head, body, F.lit(t["open"] if add_generation_prompt else ""))
+    first: the messages begin the chat (start text, default system message). tools: schemas as JSON texts, which follow the system
+    message's content, if the template has a place for them.
+    """
+    t = TEMPLATES[template]
+    if tools and template not in TOOL_NOTES:
+        raise ValueError(f"the template {template} has no place for tools")
+    notes = TOOL_NOTES[template][0] + "".join("\n" + x for x in tools) + TOOL_NOTES[template][1] if tools else ""
+    piece = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("text"))
+    starts = F.coalesce(F.get(messages, F.lit(0))["role"], F.lit("")) == "system"
+
+    def one(m: Column, i: Column) -> Column:
+        out = F.when(m["role"] == "assistant", F.array(piece("open", F.lit(t["assistant"][0])), piece("assistant", F.concat(m["content"], F.lit(t["assistant"][1])))))
+        for role in ("system", "user", "tool"):
+            content = F.concat(m["content"], F.when(i == 0, notes).otherwise("")) if role == "system" and notes and first else m["content"]
+            out = out.when(m["role"] == role, F.array(piece(role, F.concat(F.lit(t[role][0]), content, F.lit(t[role][1])))))
+        unknown = F.raise_error(F.concat(F.lit("no such role: "), F.coalesce(m["role"], F.lit("null")))).cast("array<struct<role:string,text:string>>")
+        return out.otherwise(unknown)
+
+    body = F.flatten(F.transform(messages, one))
+    if not first:
+        return body
+    begin = F.array(piece("bos", F.lit(t["bos"]))) if t["bos"] else F.array().cast("array<struct<role:string,text:string>>")
+    default = (t["default_system"] or "") + notes
+    head = F.array(piece("system", F.lit(t["system"][0] + default + t["system"][1]))) if default else F.array().cast("array<struct<role:string,text:string>>")
+    return F.concat(begin, F.when(starts, F.array().cast("array<struct<role:string,text:string>>")).otherwise(head), body)
+
+
+def render(messages: Column, template: str = "qwen", add_generation_prompt: bool = False, first: bool = True, tools: list[str] | None = None) -> Column:
+    """One text of array<role, content>; first and tools as of turn_texts."""
+    pieces = F.transform(turn_texts(messages, template, first, tools), lambda x: x["text"])
+    return F.concat(F.array_join(pieces, ""), F.lit(TEMPLATES[template]["open"] if add_generation_prompt else ""))
 
 
 def response_ranges(roles: Column, lengths: Column) -> Column:
@@ -89,7 +116,7 @@ def padded(tokens: Column, length: int, pad: int, left: bool = False) -> Column:
         n = length - F.size(c)
         ones = F.transform(c, lambda x: F.lit(1))
         mask = F.concat(fill(0, n), ones) if left else F.concat(ones, fill(0, n))
-        positions = F.transform(mask, lambda x, i: F.greatest(F.lit(0), F.aggregate(F.slice(mask, 1, i + 1), F.lit(0), lambda s, v: s + v) - 1))
+        positions = F.transform(mask, lambda x, i: F.greatest(F.lit(0), i - n if left else F.least(i, F.size(c) - 1)))
         return F.struct((F.concat(fill(pad, n), c) if left else F.concat(c, fill(pad, n))).alias("ids"), mask.alias("mask"), positions.alias("positions"))
 
     return let(cut, made)

@@ -23,3 +23,20 @@ def present(*columns: Column) -> Column:
 
 def fold_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def last_wins(entries: Column, key: str = "k") -> Column:
+    """Entries of an array of structs, which must be sortable and begin with (key, place), less those with a later equal key.
+
+    Equal keys meet by sorting, so that long lists take no more than n log n.
+    """
+    return let(F.array_sort(entries), lambda es: F.filter(es, lambda e, j: F.coalesce(F.get(es, j + 1)[key] != e[key], F.lit(True))))
+
+
+def first_wins(entries: Column, key: str = "k") -> Column:
+    """As last_wins, less those with an earlier equal key."""
+    return let(F.array_sort(entries), lambda es: F.filter(es, lambda e, j: F.when(j > 0, F.get(es, j - 1)[key] != e[key]).otherwise(True)))
+
+
+def as_map(entries: Column, key: str = "k", value: str = "v") -> Column:
+    return F.map_from_entries(F.transform(entries, lambda e: F.struct(e[key], e[value])))

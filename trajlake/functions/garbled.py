@@ -28,20 +28,31 @@ WEIRD = r"[{}\[\]()<>|\\/@`~^$*=+_]{3,}"
 
 
 def garbled_facts(text: Column) -> Column:
-    """struct<n, scripts, symbol_ratio, control_ratio, replacements, weird>: what the verdict rests on."""
+    """struct<n, scripts, symbol_ratio, control_ratio, replacements, weird>: what the verdict rests on.
+
+    Most texts have letters of one script and no control characters: one search for any other settles that, and only what it
+    finds is counted script by script.
+    """
     bare = F.regexp_replace(text, r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]+", "")
-    letters = F.regexp_replace(bare, r"\P{L}+", "")
 
-    def facts(x: Column) -> Column:
-        size, n_letters = F.greatest(F.lit(1), F.length(x["bare"])), F.greatest(F.lit(1), F.length(x["letters"]))
+    def facts(b: Column) -> Column:
+        size = F.greatest(F.lit(1), F.length(b))
         count = lambda s, p: F.length(s) - F.length(F.regexp_replace(s, p, ""))
-        per = F.array(*[count(x["letters"], f"[{r}]+") for r in SCRIPTS.values()])
+        if_any = lambda s, one, p: F.when(s.rlike(one), count(s, p)).otherwise(0)
+
+        def by_script(letters: Column) -> Column:
+            n = F.greatest(F.lit(1), F.length(letters))
+            per = F.array(*[count(letters, f"[{r}]+") for r in SCRIPTS.values()])
+            return F.size(F.filter(per, lambda c: (c >= MIN_SCRIPT_CHARS) & (c / n >= MIN_SCRIPT_SHARE)))
+
+        only_latin = F.when(b.rlike(f"(?:[{SCRIPTS['Latin']}&&\\p{{L}}][^\\p{{L}}]*){{{MIN_SCRIPT_CHARS}}}"), 1).otherwise(0)
+        other = b.rlike(f"[\\p{{L}}&&[^{SCRIPTS['Latin']}]]")
         return F.struct(
-            F.length(text).alias("n"), F.size(F.filter(per, lambda c: (c >= MIN_SCRIPT_CHARS) & (c / n_letters >= MIN_SCRIPT_SHARE))).alias("scripts"),
-            (count(x["bare"], r"[\p{S}\p{P}]+") / size).alias("symbol_ratio"), (count(x["bare"], r"\p{C}+") / size).alias("control_ratio"),
-            count(text, "�").alias("replacements"), (count(text, WEIRD) / size).alias("weird"))
+            F.length(text).alias("n"), F.when(other, let(F.regexp_replace(b, r"\P{L}+", ""), by_script)).otherwise(only_latin).alias("scripts"),
+            (count(b, r"[\p{S}\p{P}]+") / size).alias("symbol_ratio"), (if_any(b, r"\p{C}", r"\p{C}+") / size).alias("control_ratio"),
+            F.when(F.contains(text, F.lit("�")), count(text, "�")).otherwise(0).alias("replacements"), (if_any(text, WEIRD, WEIRD) / size).alias("weird"))
 
-    return let(F.struct(bare.alias("bare"), letters.alias("letters")), facts)
+    return let(bare, facts)
 
 
 def is_garbled(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trajlake.functions.core import let
+from trajlake.functions.core import as_map, first_wins, last_wins, let
 
 # The marker lines and tags of the log and transcript formats.
 SUMMARY_MARKER = "short test summary info"
@@ -60,18 +60,14 @@ def status_entries(log: Column) -> Column:
 
 def status_map(log: Column) -> Column:
     """map test name -> status; of repeated names the last line counts."""
-
-    def last_only(es: Column) -> Column:
-        return F.filter(es, lambda e: ~F.exists(es, lambda o: (o["name"] == e["name"]) & (o["i"] > e["i"])))
-
-    return F.map_from_entries(F.transform(let(status_entries(log), last_only), lambda e: F.struct(e["name"], e["status"])))
+    entries = F.transform(status_entries(log), lambda e: F.struct(e["name"].alias("k"), e["i"].alias("i"), e["status"].alias("v")))
+    return as_map(last_wins(entries))
 
 
 def clean_status_map(m: Column) -> Column:
-    """Keys without colour codes and without the part from " - " on; empty keys go."""
-    entries = F.transform(F.map_entries(m), lambda e: F.struct(F.substring_index(strip_ansi(e["key"]), " - ", 1).alias("key"), e["value"].alias("value")))
-    firsts = let(F.filter(entries, lambda e: e["key"] != ""), lambda es: F.filter(es, lambda e, i: F.array_position(F.transform(es, lambda x: x["key"]), e["key"]) == i + 1))
-    return F.map_from_entries(firsts)
+    """Keys without colour codes and without the part from " - " on; empty keys go, of keys that become equal the first counts."""
+    entries = F.transform(F.map_entries(m), lambda e, i: F.struct(F.substring_index(strip_ansi(e["key"]), " - ", 1).alias("k"), i.alias("i"), e["value"].alias("v")))
+    return as_map(first_wins(F.filter(entries, lambda e: e["k"] != "")))
 
 
 def out_and_err(s: Column) -> Column:
@@ -87,9 +83,8 @@ def action_params(s: Column) -> Column:
     fn = F.regexp_extract(s, r"(?s)<function\s*=\s*([^>]+)>", 1)
     keys = F.transform(F.regexp_extract_all(s, F.lit(r"(?s)<parameter\s*=\s*([^>]+)>(.*?)</parameter>"), F.lit(1)), strip)
     values = F.transform(F.regexp_extract_all(s, F.lit(r"(?s)<parameter\s*=\s*([^>]+)>(.*?)</parameter>"), F.lit(2)), strip)
-    pairs = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = let(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda o: o["k"] == p["k"])))
-    return F.struct(strip(fn).alias("fn"), F.map_from_entries(last).alias("params"))
+    pairs = F.transform(F.arrays_zip(keys.alias("k"), values.alias("v")), lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))
+    return F.struct(strip(fn).alias("fn"), as_map(last_wins(pairs)).alias("params"))
 
 
 def thought_and_action(s: Column) -> Column:
@@ -248,10 +243,82 @@ def rating_of_tags(tags: Column) -> Column:
     return F.coalesce(F.get(numbers, F.lit(0)), F.lit(0))
 
 
-def answer_cascade(s: Column) -> Column:
-    """An answer to a question from free text: boxed, bold, a date, a name, a number, else the first sentence or 100 characters."""
-    found = lambda p, g=1: F.nullif(strip(F.regexp_extract(s, p, g)), F.lit(""))
-    return F.coalesce(
-        found(r"\\boxed\{([^{}]*)\}"), found(r"\*\*([^*]+)\*\*"), found(r"\b((?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, \d{4}|\d{4}-\d{2}-\d{2})\b"),
-        found(r"(?:answer is|is|was|by)\s+([A-Z][a-z]+(?: [A-Z][a-z]+)+)"), found(r"\b(\d+(?:,\d{3})*(?:\.\d+)?)\b"), found(r"(?s)^\s*([^.!?]+[.!?])"), F.substring(strip(s), 1, 100),
-    )
+# Patterns that tell an answer in free text, in the order in which they are tried, and phrases that are no names.
+BOLD = [r"\*\*([^*]+)\*\*", r"\*([^*]+)\*"]
+DATES = [
+    r"(?i)\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b",
+    r"\b\d{1,2}[/-]\d{1,2}[/-]\d{4}\b",
+    r"(?i)\b(?:March|April|May|June|July|August|September|October|November|December)\s+\d{4}\b",
+    r"\b\d{4}\b",
+]
+NAMES = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b"
+NO_NAMES = ["United States", "New York", "Los Angeles", "Great Britain", "Middle East", "South Africa"]
+NUMBERS = [r"\b(\d+(?:,\d{3})*(?:\.\d+)?)\s*(?:votes?|dollars?|years?|months?|days?|people|million|billion|percent|%)\b", r"\b(\d+(?:,\d{3})*(?:\.\d+)?)\b"]
+PHRASES = [
+    r"(?im)(?:the\s+)?(?:correct\s+)?answer\s+is\s*:?\s*([^.!?]+)",
+    r"(?im)(?:therefore|thus|so|hence)\s*,?\s*([^.!?]+)",
+    r"(?im)(?:in\s+conclusion|to\s+summarize|in\s+summary)\s*,?\s*([^.!?]+)",
+    r"(?im)(?:^|\.\s+)([A-Z][^.!?]*(?:was|is|are|were)\s+[^.!?]+)",
+    r"(?im)(?:the\s+answer\s+would\s+be|it\s+(?:is|was))\s*:?\s*([^.!?]+)",
+]
+
+
+def boxed_content(s: Column) -> Column:
+    """Text of the first boxed{...}, with braces inside it up to three deep; null without one or if its braces don't close."""
+    inner = r"[^{}]"
+    for _ in range(3):
+        inner = rf"(?:[^{{}}]|\{{{inner}*\}})"
+    rest = after_first(s, "boxed{")
+    return F.when(rest.rlike(rf"(?s)^{inner}*\}}"), strip(F.regexp_extract(rest, rf"(?s)^({inner}*)\}}", 1)))
+
+
+def sentence_score(s: Column) -> Column:
+    """How much a sentence tells: 3 for a year, 2 for a name, 1 for a plain statement, 1 for under 15 words."""
+    points = [(3, s.rlike(r"\b\d{4}\b")), (2, s.rlike(NAMES)), (1, s.rlike(r"(?i)\b(?:was|is|are|were)\b")), (1, F.size(F.split(s, " ")) < 15)]
+    return sum(F.when(c, n).otherwise(0) for n, c in points)
+
+
+def answer_cascade(response: Column) -> Column:
+    """An answer to a question from free text, by the first rule that finds one.
+
+    Thinking is cut and white space made single. Then: boxed text, bold text, a date, a name, a number, what follows an answering
+    phrase, the sentence that tells most, the first sentence, the first 100 characters. An empty response gives "".
+    """
+    text = strip(F.regexp_replace(F.regexp_replace(strip(F.coalesce(response, F.lit(""))), r"(?s)<think>.*?</think>", ""), r"\s+", " "))
+
+    def found(s: Column) -> Column:
+        every = lambda p, g: F.regexp_extract_all(s, F.lit(p), F.lit(g))
+        first = lambda xs: F.get(xs, F.lit(0))
+        bold = [first(F.filter(F.transform(every(p, 1), strip), lambda x: (F.length(x) > 2) & x.rlike(r"\w"))) for p in BOLD]
+        names = F.filter(every(NAMES, 0), lambda x: ~x.isin(*NO_NAMES) & (F.size(F.split(x, r"\s+")) <= 4))
+        phrases = [F.nullif(F.regexp_replace(strip(F.regexp_extract(s, p, 1)), r"^\W+|\W+$", ""), F.lit("")) for p in PHRASES]
+        sentences = F.transform(F.split(s, r"[.!?]+"), strip)
+        scored = F.transform(F.filter(sentences, lambda x: F.length(x) > 10), lambda x, i: F.struct((-sentence_score(x)).alias("least"), i.alias("i"), x.alias("x")))
+        best = let(F.array_min(scored), lambda b: F.when(b["least"] < 0, b["x"]))
+        return F.coalesce(
+            boxed_content(s), *bold, *[first(every(p, 0)) for p in DATES], first(names), *[first(every(p, 1)) for p in NUMBERS], *[F.when(F.length(x) > 3, x) for x in phrases],
+            best, first(F.filter(sentences, lambda x: F.length(x) > 5)), strip(F.substring(s, 1, 100)),
+        )
+
+    return let(text, found)
+
+
+def prompt_text(s: Column, messages: Column) -> Column:
+    """The prompt for deduplication: the text itself, or the first message's content if the prompt is a chat; "" for an empty chat."""
+    return F.coalesce(s, F.get(messages, F.lit(0))["content"], F.lit(""))
+
+
+def header_test_path(path: Column) -> Column:
+    """A file that a patch header names as a test: test_ or tests/ in the path, or an end _test.py."""
+    return F.contains(path, F.lit("test_")) | F.contains(path, F.lit("tests/")) | F.endswith(path, F.lit("_test.py"))
+
+
+def replaced_once(s: Column, old: Column, new: Column) -> Column:
+    """exact_once_replace for an old and a new text in columns; an empty old text is no match."""
+    tabs = lambda x: F.regexp_replace(x, "\t", "        ")
+
+    def made(x: Column) -> Column:
+        n = F.when(F.length(x["o"]) > 0, (F.length(x["s"]) - F.length(F.replace(x["s"], x["o"], F.lit("")))) / F.length(x["o"])).otherwise(0).cast("int")
+        return F.struct((n == 1).alias("ok"), n.alias("n"), F.when(n == 1, F.replace(x["s"], x["o"], x["w"])).otherwise(x["s"]).alias("text"))
+
+    return let(F.struct(tabs(s).alias("s"), tabs(old).alias("o"), tabs(new).alias("w")), made)

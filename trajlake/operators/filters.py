@@ -162,3 +162,38 @@ def repeated_window_share(words: Column, n: int) -> Column:
     """Share of n-word windows that a text has more than once."""
     grams = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
     return let(grams, lambda g: 1 - F.size(F.array_distinct(g)) / F.size(g))
+
+
+# The reply to commands that install packages.
+INSTALL, INSTALLED = "pip install", "Successfully installed packages."
+
+
+def command_reply(command: Column, tokens: list[str], substrings: list[str]) -> Column:
+    """struct<output, exit_code> that stands for running a command: installs succeed at once, forbidden commands are refused by
+    name; null: the command is to be run. A token needs a blank behind it, and the first that fits is named."""
+    reply = F.when(F.contains(command, F.lit(INSTALL)), INSTALLED)
+    for word, needle in [*((t, t + " ") for t in tokens), *((x, x) for x in substrings)]:
+        reply = reply.when(F.contains(command, F.lit(needle)), f"This command {word} is not allowed. Please try other approaches.")
+    return let(reply, lambda r: F.when(r.isNotNull(), F.struct(r.alias("output"), F.lit(0).alias("exit_code"))))
+
+
+def from_sources(source: Column, names: list[str]) -> Column:
+    """Rows of these data sources, by their exact names."""
+    return F.coalesce(source.isin(*names), F.lit(False))
+
+
+def context_type(context: Column, kind: str = "reward_calculation") -> Column:
+    """Rows of one type of context."""
+    return F.coalesce(context == kind, F.lit(False))
+
+
+def without_rows(df: DataFrame, order: list[str], excluded: list[int]) -> DataFrame:
+    """df less the rows at these places (from 0) in the order; the list is a parameter of bounded size."""
+    from trajlake.operators.order import global_index
+
+    return global_index(df, order).filter(~F.col("row_index").isin(*excluded) if excluded else F.lit(True)).drop("row_index")
+
+
+def entity_sets(old: Column, new: Column) -> Column:
+    """struct<both, added, removed> of two arrays of entity names, each sorted and without repeats."""
+    return F.struct(F.sort_array(F.array_union(old, new)).alias("both"), F.sort_array(F.array_except(new, old)).alias("added"), F.sort_array(F.array_except(old, new)).alias("removed"))

@@ -21,6 +21,11 @@ def resume(todo: DataFrame, done: DataFrame, key: str, error: str | None = None)
     return todo.join(d.select(key).distinct(), key, "left_anti")
 
 
+def resume_unsolved(todo: DataFrame, outputs: DataFrame, key: str, reward: str = "reward") -> DataFrame:
+    """Rows that no output, of whatever run, has solved (reward 1)."""
+    return resume(todo, outputs.filter(F.col(reward) == 1), key)
+
+
 def compare_status(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, old_status, new_status, change) for tests (keys, status) of two runs.
 

@@ -6,10 +6,11 @@ Everything is a group-by with map-side combine; no operator brings rows to the d
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.functions.core import ratio
+from trajlake.operators.order import pinned
 
 
 def problem_key(row: Column) -> Column:
@@ -62,17 +63,58 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
     return out.limit(top) if top else out
 
 
+CELLS, FEW = 4096, 1 << 20
+
+
+def _ranked_values(values: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(_k, _r, _v): the value at each wanted rank (from 0) of each key, from values (_k, _v) and ranks (_k, _r, _lo, _hi), where _lo
+    and _hi are the key's least and greatest value.
+
+    Values are counted in CELLS equal cells between the two, which tells the cell of a rank; a cell with over FEW values is
+    divided again. What is left of a key is sorted, which is never more than FEW values or one value's copies.
+    """
+    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(CELLS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS))).otherwise(0).alias("_c")
+    state = ranks.select("_k", "_r", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.lit(None).cast("long").alias("_n"))
+    edges, first = ranks.select("_k", "_lo", "_hi").distinct(), True
+    while True:
+        inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
+        on = ["_k"] if first else ["_k", "_r"]
+        asked = edges if first else state.filter(F.coalesce(F.col("_n"), F.lit(FEW + 1)) > FEW).filter("_lo < _hi").select("_k", "_r", "_lo", "_hi")
+        cells = values.join(asked, "_k").filter(inside).groupBy(*on, cell).agg(F.count("*").alias("_in"), F.min("_v").alias("_a"), F.max("_v").alias("_z"))
+        ahead = F.sum("_in").over(Window.partitionBy(*on).orderBy("_c")) - F.col("_in")
+        cells = cells.withColumn("_ahead", ahead).drop("_c")
+        found = state.join(cells, on).filter((F.col("_r") >= F.col("_below") + F.col("_ahead")) & (F.col("_r") < F.col("_below") + F.col("_ahead") + F.col("_in")))
+        found = found.select("_k", "_r", F.col("_a").alias("_lo"), F.col("_z").alias("_hi"), (F.col("_below") + F.col("_ahead")).alias("_below"), F.col("_in").alias("_n"))
+        state = pinned(found if first else found.unionByName(state.join(found, ["_k", "_r"], "left_anti")))
+        first = False
+        if state.filter((F.col("_n") > FEW) & (F.col("_lo") < F.col("_hi"))).isEmpty():
+            break
+    rest = values.join(state, "_k").filter(inside).groupBy("_k", "_r", "_below", "_v").agg(F.count("*").alias("_in"))
+    ahead = F.col("_below") + F.sum("_in").over(Window.partitionBy("_k", "_r").orderBy("_v")) - F.col("_in")
+    return rest.withColumn("_ahead", ahead).filter((F.col("_r") >= F.col("_ahead")) & (F.col("_r") < F.col("_ahead") + F.col("_in"))).select("_k", "_r", "_v")
+
+
 def describe(df: DataFrame, columns: list[str], percentiles: tuple[float, ...] = (0.25, 0.5, 0.75), by: list[str] | None = None) -> DataFrame:
     """One row for each column (and group): n, mean, sample deviation, min, exact percentiles by linear interpolation, max.
 
-    Nulls and NaN don't count. All columns are described in one pass over the input.
+    Nulls and NaN don't count. Percentiles are found by rank (_ranked_values), so that no task holds all of a column's values.
     """
     by = by or []
     num = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns}
-    stats = [F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"),
-                      *[F.percentile(x, F.lit(p)).alias(f"p{round(p * 100)}") for p in percentiles], F.max(x).alias("max")) for c, x in num.items()]
+    stats = [F.struct(F.lit(c).alias("column"), F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max")) for c, x in num.items()]
     one = df.groupBy(*by).agg(*[s.alias(f"s{i}") for i, s in enumerate(stats)])
-    return one.select(*by, F.inline(F.array(*[F.col(f"s{i}") for i in range(len(stats))])))
+    told = one.select(*by, F.inline(F.array(*[F.col(f"s{i}") for i in range(len(stats))])))
+    place = F.array_position(F.array(*map(F.lit, columns)), F.col("column")).cast("int")
+    told = pinned(told.withColumn("_k", F.struct(*by, place.alias("_column")) if by else place))
+    values = df.select(*by, F.inline(F.array(*[F.struct(F.lit(i + 1).alias("_column"), x.alias("_v")) for i, x in enumerate(num.values())]))).filter("_v is not null")
+    values = values.select((F.struct(*by, "_column") if by else F.col("_column")).alias("_k"), "_v")
+    at = [F.lit(p) * (F.col("n") - 1) for p in percentiles]
+    wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(x), F.ceil(x)) for x in at])))
+    ranks = told.filter("n > 0").select("_k", F.explode(wanted).alias("_r"), F.col("min").alias("_lo"), F.col("max").alias("_hi"))
+    found = _ranked_values(values, ranks).join(told.select("_k", "n"), "_k")
+    ends = [F.max(F.when(F.col("_r") == f(x), F.col("_v"))).alias(f"_{name}{i}") for i, x in enumerate(at) for name, f in (("a", F.floor), ("b", F.ceil))]
+    found = found.groupBy("_k", "n").agg(*ends).select("_k", *[(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (x - F.floor(x))).alias(f"p{round(p * 100)}") for i, (p, x) in enumerate(zip(percentiles, at))])
+    return told.join(found, "_k", "left").select(*by, "column", "n", "mean", "std", "min", *[f"p{round(p * 100)}" for p in percentiles], "max")
 
 
 def classifier_metrics(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -122,8 +164,8 @@ def difficulty(scores: Column) -> Column:
 def label_shares(df: DataFrame, label: str, known: tuple[str, ...] = ("Yes", "No")) -> DataFrame:
     """(label, n, percent); whatever isn't known is Error."""
     kind = F.when(F.col(label).isin(*known), F.col(label)).otherwise("Error").alias("label")
-    counted = df.groupBy(kind).agg(F.count("*").alias("n"))
-    return counted.crossJoin(counted.agg(F.sum("n").alias("_all"))).select("label", "n", (100.0 * F.col("n") / F.col("_all")).alias("percent"))
+    counted = df.groupBy(kind).agg(F.count("*").alias("n"))  # a handful of rows
+    return counted.select("label", "n", (100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(F.lit(1)))).alias("percent"))
 
 
 def search_hits(df: DataFrame, path: str, text: str, term: str, most: int = 100) -> DataFrame:
@@ -192,10 +234,13 @@ def elo(contests: DataFrame, contestants: DataFrame, problems: DataFrame, submis
         return pd.DataFrame({"contest_id": [g.contest_id[0]], "score": [float(score)], "penalty": [float(penalty)], "rank": [rank], "rating": [lo]})
 
     found = rows.groupBy("contest_id").applyInPandas(rated, "contest_id long, score double, penalty double, rank long, rating long")
-    counted = ratings.groupBy("rating").agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("all"))
-    below = found.select("contest_id", "rating").join(counted.withColumnsRenamed({"rating": "r"}), F.col("r") < F.col("rating"), "left").groupBy("contest_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("k"))
-    return found.join(below, "contest_id").crossJoin(F.broadcast(total)).select("contest_id", "score", "penalty", "rank", "rating", F.round(100.0 * F.col("k") / F.col("all"), 1).alias("percentile"))
+    # ratings are whole numbers in a narrow range: their counts and the contests, a row each, are added up in one order
+    counted = ratings.groupBy("rating").agg(F.count("*").alias("n")).select("rating", "n", F.lit(None).cast("long").alias("contest_id"))
+    line = counted.unionByName(found.select("rating", F.lit(0).cast("long").alias("n"), "contest_id"))
+    everyone = Window.partitionBy(F.lit(1))
+    below = F.sum("n").over(everyone.orderBy("rating").rangeBetween(Window.unboundedPreceding, -1))
+    share = line.select("contest_id", F.round(100.0 * F.coalesce(below, F.lit(0)) / F.sum("n").over(everyone), 1).alias("percentile")).filter("contest_id is not null")
+    return found.join(share, "contest_id").select("contest_id", "score", "penalty", "rank", "rating", "percentile")
 
 
 def garbled_ratio(df: DataFrame, file: str, text: str) -> DataFrame:

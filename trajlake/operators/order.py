@@ -4,15 +4,27 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def pinned(df: DataFrame) -> DataFrame:
-    """df checkpointed to the folder of spark.checkpoint.dir; only where none is set a temporary one is made, as in tests."""
-    sc = df.sparkSession.sparkContext
+def pinned_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where none is set a temporary one is made in local mode, as in tests; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir")
+    if not where and sc.getCheckpointDir() is None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="trajlake-"))
+        sc.setCheckpointDir(where or "file://" + tempfile.mkdtemp(prefix="trajlake-"))
+    return (where or sc.getCheckpointDir()).rstrip("/")
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """df checkpointed to the shared folder."""
+    pinned_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -45,8 +57,8 @@ def row_slice(df: DataFrame, order: list[str], start: int, stop: int | None = No
 
 
 def shuffle_key(id_: Column, seed: int) -> Column:
-    """Order by this for a repeatable shuffle."""
-    return F.xxhash64(id_, F.lit(seed))
+    """Order by this for a repeatable shuffle that any engine can repeat: the md5 of seed and id as text."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), id_.cast("string")))
 
 
 def shuffled_slice(df: DataFrame, id_: str, start: int, k: int, seed: int = 42) -> DataFrame:
@@ -63,12 +75,19 @@ def sample_per_group(df: DataFrame, group: str, id_: str, n: int, seed: int = 42
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def train_test_cut(df: DataFrame, id_: str, train_share: float, seed: int = 42) -> DataFrame:
+def hash_split(df: DataFrame, id_: str, train_share: float, seed: int = 42) -> DataFrame:
     """df with split: the first train_share of the hash range trains. A row's split doesn't depend on the other rows."""
-    u = F.pmod(shuffle_key(F.col(id_), seed), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    u = F.conv(F.substring(shuffle_key(F.col(id_), seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
     return df.withColumn("split", F.when(u < train_share, "train").otherwise("test"))
 
 
+def train_test_cut(df: DataFrame, id_: str, train_share: float, seed: int = 42) -> DataFrame:
+    """df with split: a seeded shuffle cut by position, so that floor(train_share * n) rows train. Ids must differ."""
+    n = df.agg(F.floor(F.count("*") * train_share).alias("_cut"))
+    rows = global_index(df.withColumn("_key", shuffle_key(F.col(id_), seed)), ["_key", id_], "_at").crossJoin(F.broadcast(n))
+    return rows.withColumn("split", F.when(F.col("_at") < F.col("_cut"), "train").otherwise("test")).drop("_key", "_at", "_cut")
+
+
 def drop_to_multiple(df: DataFrame, order: list[str], r: int) -> DataFrame:
     """The first floor(n / r) * r rows in the order."""
     n = df.agg(F.count("*").alias("_all"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,9 +111,26 @@ def running(df: DataFrame, flag: str, order: list[str], by: list[str] | None = N
 
 
 def mc_return(rewards: Column, gamma: float = 0.95) -> Column:
-    """array<double> of returns G_t = r_t + gamma * G_(t+1) of an array of rewards, by one fold from the end."""
-    folded = F.aggregate(F.reverse(rewards), F.array().cast("array<double>"), lambda acc, r: F.concat(F.array(r + gamma * F.coalesce(F.get(acc, F.lit(0)), F.lit(0.0))), acc))
-    return folded
+    """array<double> of returns G_t = r_t + gamma * G_(t+1) of an array of rewards, in one walk from the end.
+
+    An Arrow function, as a fold that appends to an array copies it at each step. A null reward makes the returns up to it null.
+    """
+
+    @F.pandas_udf("array<double>")
+    def returns(rows: pd.Series) -> pd.Series:
+        def one(r):
+            if r is None:
+                return None
+            out, g = [None] * len(r), 0.0
+            for i in range(len(r) - 1, -1, -1):
+                x = r[i]
+                g = None if x is None or x != x or g is None else x + gamma * g
+                out[i] = g
+            return out
+
+        return rows.map(one)
+
+    return returns(rewards.cast("array<double>"))
 
 
 def mc_return_rows(df: DataFrame, trajectory: str, order: list[str], reward: str, gamma: float = 0.95) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.functions.core import let, present
-from trajlake.functions.text import strip
+from trajlake.functions.core import as_map, last_wins, let, present
+from trajlake.functions.text import action_params, file_extension, strip
 
 
 def message(role: str, content: Column) -> Column:
@@ -102,8 +102,8 @@ def zipped_map(names: Column, codes: Column) -> Column:
     """struct<m, mismatch>: a map of two arrays as far as the shorter one reaches; the last of repeated names counts."""
     n = F.least(F.size(names), F.size(codes))
     pairs = F.slice(F.arrays_zip(names.alias("k"), codes.alias("v")), 1, F.greatest(n, F.lit(0)))
-    last = let(pairs, lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, i + 2, F.size(ps)), lambda o: o["k"] == p["k"])))
-    return F.struct(F.map_from_entries(last).alias("m"), (F.size(names) != F.size(codes)).alias("mismatch"))
+    placed = F.transform(pairs, lambda p, i: F.struct(p["k"].alias("k"), i.alias("i"), p["v"].alias("v")))
+    return F.struct(as_map(last_wins(placed)).alias("m"), (F.size(names) != F.size(codes)).alias("mismatch"))
 
 
 def merged_tests(public: Column, private: Column) -> Column:
@@ -164,6 +164,46 @@ def trajectory_facts(steps: Column) -> Column:
         F.size(F.filter(steps, lambda x: F.contains(x["action"], F.lit("<function=submit>")))).alias("submits"), F.get(steps, F.size(steps) - 1)["done"].alias("done"))
 
 
+def step_files(steps: Column, functions: tuple[str, ...], command: str | None = None, root: str = "") -> Column:
+    """array<string>: the path of each step's action whose function is one of these (and whose command is this one), in order,
+    if its last part has a dot. root is cut from the paths. Paths come as often as steps name them."""
+    called = F.transform(steps, lambda s: action_params(s["action"]))
+    hit = F.filter(called, lambda a: a["fn"].isin(*functions) & ((a["params"]["command"] == command) if command else F.lit(True)) & F.contains(F.substring_index(a["params"]["path"], "/", -1), F.lit(".")))
+    return F.transform(hit, lambda a: F.replace(a["params"]["path"], F.lit(root), F.lit("")) if root else a["params"]["path"])
+
+
+def created_files(steps: Column, root: str = "/testbed/") -> Column:
+    return step_files(steps, ("file_editor",), "create", root)
+
+
+def edited_files(steps: Column, root: str = "/testbed/") -> Column:
+    return step_files(steps, ("file_editor",), "str_replace", root)
+
+
+def viewed_files(steps: Column) -> Column:
+    return step_files(steps, ("file_viewer",))
+
+
+def extensions(paths: Column) -> Column:
+    """The different extensions of paths, sorted, without their dots."""
+    return F.sort_array(F.array_distinct(F.transform(paths, lambda p: F.substring(file_extension(p), 2, 1000))))
+
+
+def trajectory_metrics(df: DataFrame, steps: str, image: str, reward: str, patch: str, true_patch: str, edited_lines: str, p2p: str, regression: str) -> DataFrame:
+    """One row of derived fields for each trajectory.
+
+    patch is the true patch, or if that is missing the agent's; its size goes by the same rule. Without a count of edited
+    lines there are 100 of them, without a list of P2P tests one. regression: a map of test to status.
+    """
+    s, text = F.col(steps), F.coalesce(true_patch, patch)
+    rows = df.select(
+        F.col(image).alias("docker_image"), F.col(reward).alias("pass_at_1"), F.size(s).alias("step_count"), F.col(true_patch).alias("patch"), F.length(text).alias("patch_size"),
+        F.coalesce(edited_lines, F.lit(100)).alias("patch_num_lines"), created_files(s).alias("created_files"), edited_files(s).alias("edited_files"), viewed_files(s).alias("viewer_files"),
+        F.coalesce(F.size(p2p), F.lit(1)).alias("p2p_rate"), F.size(F.filter(F.map_values(regression), lambda v: v == "PASSED")).alias("regression_pass_count"), trajectory_facts(s).alias("_f"))
+    rows = rows.withColumn("num_created_files", F.size("created_files")).withColumn("edited_extensions", extensions(F.col("edited_files"))).withColumn("viewer_extensions", extensions(F.col("viewer_files")))
+    return rows.select(*[c for c in rows.columns if c != "_f"], "_f.*")
+
+
 def trace_text(steps: Column) -> Column:
     """A readable trace."""
     return F.array_join(F.transform(steps, lambda s, i: F.concat_ws("\n", F.concat(F.lit("=== step "), (i + 1).cast("string"), F.lit(" ===")), F.concat(F.lit("thought: "), F.coalesce(s["thought"], F.lit(""))), F.concat(F.lit("action: "), F.coalesce(s["action"], F.lit(""))), F.concat(F.lit("observation: "), F.coalesce(s["observation"], F.lit(""))))), "\n\n")
@@ -187,6 +227,35 @@ def task_type(source: Column, metadata: Column, by_source: dict[str, list[str]],
     return out.otherwise("unknown")
 
 
+# Words of image names that tell the family of an instance, and the family's folder.
+IMAGE_FAMILIES = [("xingyaoww", "swe_gym"), ("swebench", "swe_bench_verified"), ("epoch-research", "swe_bench_verified"), ("swerebench", "swe_rebench")]
+
+
+def spec_path(root: str, image: Column, instance: Column) -> Column:
+    """Cache path of an instance's test specification: <root>/<family of its image>/<instance>.json."""
+    return F.concat(F.lit(root.rstrip("/") + "/"), ordered_case(image, IMAGE_FAMILIES, "others"), F.lit("/"), instance, F.lit(".json"))
+
+
+def task_row(df: DataFrame, source: str, system: str, user: str, statement: str = "problem_statement") -> DataFrame:
+    """Rows of agent tasks: a system and a user message, whose {problem_statement} is filled, an empty truth, and the row as JSON."""
+    filled = F.replace(F.lit(user), F.lit("{problem_statement}"), F.coalesce(F.col(statement), F.lit("")))
+    return df.select(
+        F.lit(source).alias("data_source"), F.array(message("system", F.lit(system)), message("user", filled)).alias("prompt"), F.lit(source).alias("ability"),
+        F.struct(F.lit("rule").alias("style"), F.lit("").alias("ground_truth")).alias("reward_model"), F.to_json(F.struct(*df.columns)).alias("extra_info"))
+
+
+def repeated_batches(df: DataFrame, order: list[str], n: int, interleave: bool = True) -> DataFrame:
+    """A batch of rows n times, with at, the place in the new batch: each row's copies side by side if interleaved, else the
+    whole batch again and again."""
+    from trajlake.operators.order import global_index
+
+    ranked = global_index(df, order, "_at").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    if interleave:
+        return ranked.withColumn("at", F.col("_at") * n + F.col("copy")).drop("_at")
+    size = df.agg(F.count("*").alias("_all"))
+    return ranked.crossJoin(F.broadcast(size)).withColumn("at", F.col("copy") * F.col("_all") + F.col("_at")).drop("_at", "_all")
+
+
 def io_tests(inputs: Column, outputs: Column) -> Column:
     """array<input, output> of two lists; the shorter one goes on with its first element."""
     n = F.greatest(F.size(inputs), F.size(outputs))

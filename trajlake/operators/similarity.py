@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlake.operators.order import pinned
+from trajlake.operators.order import pinned, pinned_folder
 
 PAIR = "query_id long, index_id long, score double"
 
@@ -81,6 +84,18 @@ def drop_similar_to(a: DataFrame, b: DataFrame, id_: str, vec: str, cutoff: floa
     return a.join(hit.select(F.col("index_id").alias(id_)).distinct(), id_, "left_anti")
 
 
+def drop_similar_or_named(a: DataFrame, b: DataFrame, id_: str, vec: str, text: str, words: list[str], cutoff: float = 0.9, block_rows: int = 4096) -> DataFrame:
+    """Rows of a whose nearest row of b scores at most the cutoff and whose text has none of the words.
+
+    Each row of a asks for one neighbour in b, a set of stated size, which goes against all rows of a in blocks.
+    """
+    near = scores(b, a, id_, vec, cutoff=cutoff, block_rows=block_rows).select(F.col("index_id").alias(id_)).distinct()
+    named = F.lit(False)
+    for w in words:
+        named = named | F.contains(F.col(text), F.lit(w))
+    return a.filter(~F.coalesce(named, F.lit(False))).join(near, id_, "left_anti")
+
+
 def known_bad(a: DataFrame, bad: DataFrame, id_: str, vec: str, at_least: float = 0.99, block_rows: int = 4096) -> DataFrame:
     """Rows of a without the nearest row of each bad one; an error if a bad row has no neighbour that near."""
     best = top_k(bad, a, id_, vec, 1, block_rows=block_rows)
@@ -88,14 +103,57 @@ def known_bad(a: DataFrame, bad: DataFrame, id_: str, vec: str, at_least: float
     return a.join(sure.select(F.col("index_id").alias(id_)).distinct(), id_, "left_anti")
 
 
-def greedy_dedupe(df: DataFrame, id_: str, vec: str, cutoff: float = 0.792, k: int = 5, block_rows: int = 4096, max_rounds: int = 100) -> DataFrame:
+def nearest_of_all(df: DataFrame, id_: str, vec: str, k: int, block_rows: int = 2048) -> DataFrame:
+    """(query_id, index_id, score): the k nearest other rows of every row; of equal scores the smaller id first.
+
+    A blocked matrix product over files: the vectors are written to the shared folder, and the task of a file holds blocks of
+    its rows against all files, one block at a time, with the best k so far. Nothing goes through the driver but file names.
+    """
+    spark = df.sparkSession
+    path = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or pinned_folder(spark)}/vectors-{uuid.uuid4().hex}"
+    rows = df.select(F.col(id_).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).filter("id is not null and v is not null")
+    rows.write.parquet(path)
+    files = sorted(spark.read.parquet(path).inputFiles()) if not rows.isEmpty() else []
+
+    def blocks(file: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        fs, at = pafs.FileSystem.from_uri(file)
+        with fs.open_input_file(at) as f:
+            for b in pq.ParquetFile(f).iter_batches(batch_size=block_rows, columns=["id", "v"]):
+                if b.num_rows:
+                    yield b.column(0).to_numpy(), _unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file in batch.column(0).to_pylist():
+                for ids, q in blocks(file):
+                    row, index, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+                    for other in files:
+                        for others, v in blocks(other):
+                            s = np.round(q @ v.T, 9)
+                            s[ids[:, None] == others[None, :]] = -np.inf
+                            edge = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
+                            i, j = np.nonzero((s >= edge[:, None]) & np.isfinite(s))  # ties at the edge are settled by id
+                            row, index, score = np.concatenate([row, i]), np.concatenate([index, others[j]]), np.concatenate([score, s[i, j]])
+                            order = np.lexsort((index, -score, row))
+                            row, index, score = row[order], index[order], score[order]
+                            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+                            row, index, score = row[keep], index[keep], score[keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(index), pa.array(score)], ["query_id", "index_id", "score"])
+
+    if not files:
+        return spark.createDataFrame([], PAIR)
+    names = spark.createDataFrame([(f,) for f in files], "file string")
+    return names.repartition(len(files), "file").mapInArrow(run, PAIR)
+
+
+def greedy_dedupe(df: DataFrame, id_: str, vec: str, cutoff: float = 0.792, k: int = 5, block_rows: int = 2048, max_rounds: int = 100) -> DataFrame:
     """Rows that stay if rows are taken in the order of ids and each that still stays drops those of its k - 1 nearest others
     that score over the cutoff.
 
     Exact: a row is settled once all smaller rows that could drop it are. Rounds go over the edge table, which is
     checkpointed; their number is the longest chain of such rows, and no edge reaches the driver.
     """
-    edges = top_k(df, df, id_, vec, k - 1, exclude_self=True, block_rows=block_rows).filter(F.col("score") > cutoff).select(F.col("query_id").alias("u"), F.col("index_id").alias("v"))
+    edges = nearest_of_all(df, id_, vec, k - 1, block_rows).filter(F.col("score") > cutoff).select(F.col("query_id").alias("u"), F.col("index_id").alias("v"))
     edges = pinned(edges)
     state = pinned(edges.select(F.col("u").alias("x")).union(edges.select("v")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
     for _ in range(max_rounds):

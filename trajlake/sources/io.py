@@ -36,16 +36,32 @@ def read_json_or_lines(spark: SparkSession, path: str, schema: StructType | str)
     return df.withColumn("eval_reward", F.col("real_reward")) if "real_reward" in df.columns else df
 
 
-def read_lines(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejects) of JSON lines; blank lines are skipped, rejects are (file, place, value) of what isn't JSON.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value): the lines of text files with their numbers, from 1, blank ones included.
 
-    place is the order of the line in its file (increasing, not consecutive across splits).
+    A file's splits are counted where they are read and added up in the order in which they stand in the file.
     """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_i"), "value")
+    split = Window.partitionBy("file", "_at")
+    before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = text.groupBy("file", "_at").agg(F.count("*").alias("_n"))
+    base = sizes.select("file", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return text.withColumn("_k", F.row_number().over(split.orderBy("_i"))).join(F.broadcast(base), ["file", "_at"]).select("file", (F.col("_base") + F.col("_k")).alias("line"), "value")
+
+
+def read_lines(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejects) of JSON lines; blank lines are skipped, rejects are (file, line, value) of what isn't JSON, line the
+    line's number in its file."""
     ddl = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
-    text = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("place"), "value").filter("trim(value) <> ''")
+    text = numbered_lines(spark, path).filter("trim(value) <> ''")
     got = text.withColumn("r", F.from_json("value", f"{ddl}, {BAD} string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
     good = F.col(f"r.{BAD}").isNull() & F.col("r").isNotNull()
-    return got.filter(good).select("file", "place", "r.*").drop(BAD), got.filter(~good).select("file", "place", "value")
+    return got.filter(good).select("file", "line", "r.*").drop(BAD), got.filter(~good).select("file", "line", "value")
+
+
+def first_files(spark: SparkSession, path: str, n: int, glob: str = "*.json*") -> DataFrame:
+    """(path, length) of the first n files under a folder in the order of their paths."""
+    return discover(spark, path, glob).limit(n)
 
 
 def read_root(spark: SparkSession, path: str, schema: StructType | str, list_key: str | None = None) -> DataFrame:
@@ -65,7 +81,7 @@ def read_tree(spark: SparkSession, path: str, schema: StructType | str, suffix:
     return spark.read.schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{suffix}").json(path).withColumn("file", F.input_file_name())
 
 
-def last_of_file(df: DataFrame, file: str = "file", place: str = "place") -> DataFrame:
+def last_of_file(df: DataFrame, file: str = "file", place: str = "line") -> DataFrame:
     """The last record of each file."""
     row = F.struct(*[c for c in df.columns if c != file])
     return df.groupBy(file).agg(F.max_by(row, F.col(place)).alias("r")).select(file, "r.*")
@@ -89,8 +105,35 @@ def write_sharded(df: DataFrame, path: str, shard: str = "shard") -> None:
     df.repartition(F.col(shard)).write.mode("overwrite").partitionBy(shard).parquet(path)
 
 
-def write_trajectories(df: DataFrame, path: str, step: str = "global_step") -> None:
+def write_trajectories(df: DataFrame, path: str, step: str = "global_step", needed: tuple[str, ...] = ()) -> DataFrame:
+    """JSON lines in a folder for each training step; gives (step, rows, aligned).
+
+    aligned: all `needed` columns have a value in every row of the step. A step that isn't aligned is written too.
+    """
     write_jsonl(df, path, by=[step])
+    whole = F.lit(True)
+    for c in needed:
+        whole = whole & F.col(c).isNotNull()
+    return df.groupBy(step).agg(F.count("*").alias("rows"), F.bool_and(whole).alias("aligned"))
+
+
+def rewrite_without(spark: SparkSession, path: str, schema: StructType | str, condition) -> int:
+    """Rewrites a folder of JSON lines without the rows of a condition (a null condition keeps the row); gives how many went.
+
+    The new files are written beside the old ones and take their place by renaming, so that readers never see half of them.
+    """
+    df = spark.read.schema(schema).json(path)
+    bad = F.coalesce(condition, F.lit(False))
+    gone = df.filter(bad).count()
+    if gone:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        old, new, away = (hadoop(f"{path.rstrip('/')}{end}") for end in ("", ".new", ".old"))
+        fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        df.filter(~bad).write.mode("overwrite").json(str(new.toString()))
+        if not (fs.rename(old, away) and fs.rename(new, old)):
+            raise OSError(f"{path} could not be replaced")
+        fs.delete(away, True)
+    return gone
 
 
 def builtin_path(root: str, split: str, kind: str, name: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,6 +58,39 @@ def append_new(target: str, key: str):
     return write
 
 
+def with_retry(df: DataFrame, call, result: str, attempts: int = 3, timeout: float = 7200.0) -> DataFrame:
+    """df with result (a DDL type), attempts (tries used) and error (text of the last one, null on success).
+
+    call(row as a dict) runs once for a row and again after an error or after `timeout` seconds, up to `attempts` times. What
+    fails throughout has a null result; it isn't lost, and `error is not null` tells it. A call has to bear being repeated,
+    as a task that is lost begins anew.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for row in f.to_dict("records"):
+                value, error, used = None, None, 0
+                while used < attempts:
+                    used += 1
+                    pool = ThreadPoolExecutor(1)
+                    try:
+                        value, error = pool.submit(call, row).result(timeout), None
+                        break
+                    except Exception as e:  # whatever a call may raise is its row's error
+                        error = f"{type(e).__name__}: {e}"
+                    finally:
+                        pool.shutdown(wait=False)
+                out.append((value, used, error))
+            yield f.assign(result=[x[0] for x in out], attempts=[x[1] for x in out], error=[x[2] for x in out])
+
+    from pyspark.sql import types as T
+
+    kind = T._parse_datatype_string(f"result {result}").fields[0].dataType
+    more = [T.StructField("result", kind), T.StructField("attempts", T.IntegerType()), T.StructField("error", T.StringType())]
+    return df.mapInPandas(run, T.StructType([*df.schema.fields, *more]))
+
+
 def windowed_rates(stream: DataFrame, ts: str, reward: str, window: str = "1 hour", late: str = "2 hours", by: list[str] | None = None) -> DataFrame:
     """Rows and success share in tumbling windows of event time, with a watermark."""
     t = stream.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", late)
