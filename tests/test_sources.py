@@ -1,9 +1,13 @@
 from __future__ import annotations
 
 import json
+import random
+
+import numpy as np
 
 from pyspark.sql import functions as F
 
+from trajlake.operators import metrics, similarity
 from trajlake.operators.order import round_robin_shards
 from trajlake.sources import io
 from trajlake.streaming import groups
@@ -78,3 +82,76 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("w").agg(F.sum("n")).first()[0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_line_numbers_across_splits(spark, tmp_path):
+    lines = [f'{{"id": {i}}}' if i % 7 else ("" if i % 2 else f"bad {i}") for i in range(1, 4001)]
+    (tmp_path / "n.jsonl").write_text("\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = io.numbered_lines(spark, f"{tmp_path}/n.jsonl")
+        assert spark.read.text(f"{tmp_path}/n.jsonl").select("_metadata.file_block_start").distinct().count() > 5
+        assert {r["line"]: r["value"] for r in got.collect()} == dict(enumerate(lines, 1))
+        rows, rejects = io.read_lines(spark, f"{tmp_path}/n.jsonl", "id int")
+        assert all(r["line"] == r["id"] for r in rows.collect())
+        assert {(r["line"], r["value"]) for r in rejects.collect()} == {(i, f"bad {i}") for i in range(14, 4001, 14)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_rewrite_in_place_and_alignment(spark, tmp_path):
+    path = f"{tmp_path}/log"
+    spark.createDataFrame([(1, "agent"), (2, "traj_time_limit"), (3, None)], "id int, reason string").write.json(path)
+    assert io.rewrite_without(spark, path, "id int, reason string", F.col("reason") == "traj_time_limit") == 1
+    assert sorted(r["id"] for r in spark.read.schema("id int").json(path).collect()) == [1, 3]
+    assert io.rewrite_without(spark, path, "id int, reason string", F.col("reason") == "traj_time_limit") == 0
+    rows = spark.createDataFrame([(0, "a", 1.0), (0, "b", 2.0), (1, "c", None)], "global_step int, chat string, score double")
+    told = {r["global_step"]: (r["rows"], r["aligned"]) for r in io.write_trajectories(rows, f"{tmp_path}/steps", needed=("chat", "score")).collect()}
+    assert told == {0: (2, True), 1: (1, False)} and spark.read.json(f"{tmp_path}/steps").count() == 3
+
+
+def test_first_files(spark, tmp_path):
+    for n in ("b", "a", "c"):
+        (tmp_path / f"{n}.json").write_text("{}")
+    assert [r["path"].rsplit("/", 1)[1] for r in io.first_files(spark, str(tmp_path), 2).collect()] == ["a.json", "b.json"]
+
+
+def test_retry_counts_attempts(spark):
+    def call(row):
+        if row["id"] == 1:
+            raise ValueError("never")
+        if row["id"] == 2:
+            import time
+
+            time.sleep(3)
+        return row["id"] * 10
+
+    df = spark.createDataFrame([(0,), (1,), (2,)], "id long")
+    got = {r["id"]: (r["result"], r["attempts"], r["error"]) for r in groups.with_retry(df, call, "long", attempts=2, timeout=0.5).collect()}
+    assert got[0] == (0, 1, None) and got[1] == (None, 2, "ValueError: never") and got[2][:2] == (None, 2) and "Timeout" in got[2][2]
+
+
+def test_nearest_of_all_is_top_k(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").select("vec_id", "embedding")
+    key = lambda x: {(r["query_id"], r["index_id"]): r["score"] for r in x.collect()}
+    got, want = key(similarity.nearest_of_all(df.repartition(3), "vec_id", "embedding", 4, block_rows=37)), key(similarity.top_k(df, df, "vec_id", "embedding", 4, exclude_self=True))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in got)
+
+
+def test_describe_divides_full_cells(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "FEW", 3)
+    monkeypatch.setattr(metrics, "CELLS", 4)
+    rng = random.Random(2)
+    rows = [(g, rng.choice([0.0, 1.0, 1e9, rng.random(), -rng.random() * 1e-6, None, float("nan")])) for g in ("a", "b", None) for _ in range(120)] + [("c", None), ("d", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: r for r in metrics.describe(df, ["v"], (0.1, 0.5, 0.99), by=["g"]).collect()}
+    for g in ("a", "b", None, "d"):
+        x = np.array([v for k, v in rows if k == g and v is not None and v == v])
+        assert got[g]["n"] == len(x) and np.allclose([got[g]["p10"], got[g]["p50"], got[g]["p99"]], np.percentile(x, [10, 50, 99]), rtol=1e-12)
+    assert got["c"]["n"] == 0 and got["c"]["p50"] is None
+
+
+def test_similar_or_named_rows_go(spark):
+    a = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.0, 1.0], "an AIME problem"), (3, [0.0, 1.0], "y"), (4, [0.6, 0.8], None)], "id long, v array<double>, text string")
+    b = spark.createDataFrame([(9, [2.0, 0.1])], "id long, v array<double>")
+    assert sorted(r["id"] for r in similarity.drop_similar_or_named(a, b, "id", "v", "text", ["AIME", "aime"]).collect()) == [3, 4]

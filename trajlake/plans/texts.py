@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajlake.functions import chat, text
-from trajlake.functions.garbled import is_garbled
+from trajlake.functions.garbled import SCRIPTS, WEIRD, is_garbled
 from trajlake.functions.lang import detect_language, is_test_command
 from trajlake.operators import filters, joins, metrics, order, shape
 from trajlake.plans.registry import Tables, query, rounded
@@ -103,21 +103,26 @@ def language_of_repo(t):
     return t.supplier.select("s_suppkey", detect_language(repo, F.when(k == 2, "npm test").otherwise("ls")).alias("language"))
 
 
-NORMAL_SQL = "trim(regexp_replace(regexp_replace(regexp_replace(lower({c}), '[!-/:-@\\[-`{{-~]', '', 'g'), '\\b(a|an|the)\\b', ' ', 'g'), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+def _normal(c: str) -> str:
+    """SQL of normalise_answer; words are taken apart first, as this engine's \\b knows ASCII letters only."""
+    bare = f"regexp_replace(lower({c}), '[!-/:-@\\[-`{{-~]', '', 'g')"
+    words = f"list_transform(regexp_extract_all({bare}, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+'), lambda r: CASE WHEN r IN ('a', 'an', 'the') THEN ' ' ELSE r END)"
+    return f"trim(regexp_replace(array_to_string({words}, ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
 
 
-@query("answer_normalize", f"SELECT item_id, {NORMAL_SQL.format(c='text')} AS answer FROM benchmark WHERE regexp_matches(text, '^[ -~\\n]*$')")
+@query("answer_normalize", f"SELECT item_id, {_normal('text')} AS answer FROM benchmark")
 def answer_normalize(t):
-    return t.benchmark.filter(F.col("text").rlike(r"^[ -~\n]*$")).select("item_id", text.normalise_answer(F.col("text")).alias("answer"))
+    return t.benchmark.select("item_id", text.normalise_answer(F.col("text")).alias("answer"))
 
 
-@query("token_f1", f"""WITH b AS (SELECT item_id, {NORMAL_SQL.format(c="text")} AS t, {NORMAL_SQL.format(c="substr(text, 1, 60)")} AS p FROM benchmark WHERE regexp_matches(text, '^[ -~\\n]*$')),
+@query("token_f1", f"""WITH b AS (SELECT b.item_id, {_normal("b.text")} AS t, {_normal("coalesce(p.text, '')")} AS p FROM benchmark b LEFT JOIN benchmark p ON p.item_id = b.item_id + 1),
 x AS (SELECT item_id, list_filter(string_split(p, ' '), lambda w: w <> '') AS a, list_filter(string_split(t, ' '), lambda w: w <> '') AS b FROM b),
 y AS (SELECT item_id, a, b, list_sum(list_transform(list_distinct(a), lambda w: least(len(list_filter(a, lambda v: v = w)), len(list_filter(b, lambda v: v = w))))) AS s FROM x)
 SELECT item_id, round(coalesce(CASE WHEN s > 0 THEN 2 * (s / len(a)) * (s / len(b)) / (s / len(a) + s / len(b)) ELSE 0 END, 0), 6) AS f1 FROM y""")
 def token_f1(t):
-    b = t.benchmark.filter(F.col("text").rlike(r"^[ -~\n]*$"))
-    return b.select("item_id", F.round(text.token_f1(F.substring("text", 1, 60), F.col("text"))["f1"], 6).alias("f1"))
+    """Each item's text as an answer against the text of the item before it."""
+    b = t.benchmark.join(t.benchmark.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next")), "item_id", "left")
+    return b.select("item_id", F.round(text.token_f1(F.coalesce("next", F.lit("")), F.col("text"))["f1"], 6).alias("f1"))
 
 
 @query("dedup_key_counts", "SELECT lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))) AS k, count(*) AS n FROM benchmark GROUP BY 1")
@@ -133,12 +138,22 @@ def judge_labels(t):
     return t.conversations.select("conv_id", "turn", text.judge_label(x).alias("label"))
 
 
-@query("garbled_flag")
+def _garbled_sql() -> str:
+    gone = lambda c, p: f"(length({c}) - length(regexp_replace({c}, '{p}', '', 'g')))"
+    scripts = ", ".join(gone("letters", f"[{r}]+") for r in SCRIPTS.values())
+    return f"""b AS (SELECT doc_id, source, text, regexp_replace(text, '[ \\t\\n\\r\\f\\v\\x{{1C}}-\\x{{1F}}\\x{{85}}\\p{{Z}}]+', '', 'g') AS bare FROM documents),
+l AS (SELECT *, regexp_replace(bare, '\\P{{L}}+', '', 'g') AS letters FROM b),
+f AS (SELECT *, length(text) AS n, len(list_filter([{scripts}], lambda c: c >= 6 AND c / greatest(1, length(letters)) >= 0.01)) AS scripts, {gone("bare", chr(92).join(["[", "p{S}", "p{P}]+"]))} / greatest(1, length(bare)) AS symbols,
+  {gone("bare", chr(92) + "p{C}+")} / greatest(1, length(bare)) AS controls, {gone("text", "�")} AS replaced, {gone("text", WEIRD)} / greatest(1, length(bare)) AS weird FROM l),
+g AS (SELECT doc_id, source, text, n >= 10 AND (replaced >= 1 OR controls >= 0.02 OR scripts >= 3 OR symbols >= 0.4) AND ((scripts >= 2 AND (symbols >= 0.22 OR weird >= 0.08)) OR (symbols >= 0.35 AND weird >= 0.1) OR scripts >= 3) AS garbled FROM f)"""
+
+
+@query("garbled_flag", f"WITH {_garbled_sql()} SELECT doc_id, garbled FROM g")
 def garbled_flag(t):
     return t.documents.select("doc_id", is_garbled(F.col("text")).alias("garbled"))
 
 
-@query("garbled_ratio")
+@query("garbled_ratio", f"WITH {_garbled_sql()} SELECT source AS source, count(*) AS seen, CAST(sum(CAST(text IS NULL OR garbled AS INT)) AS BIGINT) AS garbled, round(sum(CAST(text IS NULL OR garbled AS INT)) / count(*), 6) AS ratio FROM g GROUP BY source")
 def garbled_ratio(t):
     return rounded(metrics.garbled_ratio(t.documents, "source", "text"))
 
@@ -277,15 +292,16 @@ def resume_error_free(t):
     return joins.resume(t.documents.select("doc_id"), t.labels.withColumn("error", F.when(F.col("toxic") == 1, "bad")), "doc_id", "error")
 
 
-STATUS = """o AS (SELECT doc_id % 50 AS grp, doc_id AS test, CASE WHEN quality = 1 THEN 'PASSED' ELSE 'FAILED' END AS status FROM labels WHERE doc_id % 11 <> 0),
-n AS (SELECT doc_id % 50 AS grp, doc_id AS test, CASE WHEN toxic = 1 THEN 'FAILED' ELSE 'PASSED' END AS status FROM labels WHERE doc_id % 13 <> 0),
+STATUS = """o AS (SELECT doc_id % 50 AS grp, doc_id AS test, CASE WHEN quality = 1 THEN 'PASSED' ELSE 'FAILED' END AS status FROM labels WHERE quality = 1 OR toxic = 0),
+n AS (SELECT doc_id % 50 AS grp, doc_id AS test, CASE WHEN toxic = 1 THEN 'FAILED' ELSE 'PASSED' END AS status FROM labels WHERE quality = 0 OR toxic = 0),
 c AS (SELECT grp, test, o.status AS old_status, n.status AS new_status, CASE WHEN o.status IS NULL THEN 'NEW' WHEN o.status = 'PASSED' AND n.status = 'PASSED' THEN 'P2P' WHEN o.status = 'PASSED' THEN 'P2F' WHEN n.status = 'PASSED' THEN 'F2P' ELSE 'F2F' END AS change FROM o FULL JOIN n USING (grp, test))"""
 
 
 def _status(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Two runs of tests: toxic texts of low quality are missing in the old one, toxic ones of high quality in the new one."""
     g = (F.col("doc_id") % 50).alias("grp")
-    old = t.labels.filter("doc_id % 11 <> 0").select(g, F.col("doc_id").alias("test"), F.when(F.col("quality") == 1, "PASSED").otherwise("FAILED").alias("status"))
-    new = t.labels.filter("doc_id % 13 <> 0").select(g, F.col("doc_id").alias("test"), F.when(F.col("toxic") == 1, "FAILED").otherwise("PASSED").alias("status"))
+    old = t.labels.filter("quality = 1 or toxic = 0").select(g, F.col("doc_id").alias("test"), F.when(F.col("quality") == 1, "PASSED").otherwise("FAILED").alias("status"))
+    new = t.labels.filter("quality = 0 or toxic = 0").select(g, F.col("doc_id").alias("test"), F.when(F.col("toxic") == 1, "FAILED").otherwise("PASSED").alias("status"))
     return old, new
 
 
@@ -420,11 +436,21 @@ def ordered_distinct(t):
     return firsts.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "f"))), lambda x: x["f"]).alias("flags"))
 
 
-@query("seeded_sample")
+@query("seeded_sample", "SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
 def seeded_sample(t):
     return order.seeded_sample(t.documents.select("doc_id"), "doc_id", 100)
 
 
-@query("train_test_cut")
+@query("train_test_cut", "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5('42:' || doc_id), doc_id) <= floor(0.9 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM documents")
 def train_test_cut(t):
     return order.train_test_cut(t.documents.select("doc_id"), "doc_id", 0.9)
+
+
+@query("hash_split", "SELECT doc_id, CASE WHEN ('0x' || substr(md5('42:' || doc_id), 1, 8))::BIGINT / 4294967296.0 < 0.9 THEN 'train' ELSE 'test' END AS split FROM documents")
+def hash_split(t):
+    return order.hash_split(t.documents.select("doc_id"), "doc_id", 0.9)
+
+
+@query("sample_per_group", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || doc_id), doc_id) AS i FROM documents) WHERE i <= 6")
+def sample_per_group(t):
+    return order.sample_per_group(t.documents.select("source", "doc_id"), "source", "doc_id", 6)
