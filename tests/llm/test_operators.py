@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajlake.llm import components, decontaminate, language_id, mixing, quality_fm, quality_rules, simhash, suffix_dedup, token_counts, toxicity, warc
-from trajlake.llm.common import fresh_path
+from trajlake.llm.common import fresh_path, whole_keys
 from trajlake.llm.run_index import END, RunLengthIndex
 
 SF = "/root/testdata/sf0.001"
@@ -90,6 +90,21 @@ def test_large_bucket_links_like_all_pairs():
     assert len(u) < len(fps)  # a forest, not all pairs
 
 
+def test_keys_stay_whole_over_batches():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    key = np.sort(rng.integers(0, 12, 400))
+    value = rng.integers(0, 99, 400)
+    cuts = np.sort(rng.integers(0, 401, 60))
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[a:b]), pa.array(value[a:b])], ["k", "v"]) for a, b in zip([0, *cuts], [*cuts, 400])]
+    parts = list(whole_keys(iter(batches), [np.int64, np.uint64]))
+    assert np.concatenate([p[0] for p in parts]).tolist() == key.tolist() and np.concatenate([p[1] for p in parts]).tolist() == value.tolist()
+    ends = [set(p[0].tolist()) for p in parts]
+    assert all(not a & b for i, a in enumerate(ends) for b in ends[i + 1 :]) and len(parts) > 3
+    assert list(whole_keys(iter([]), [np.int64])) == []
+
+
 def test_near_duplicates_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r["doc_id"]: r for r in simhash.near_duplicates(docs).collect()}
@@ -373,6 +388,40 @@ def test_factorisation_identity():
     assert np.allclose(fm.logit(x), plain, atol=1e-4)
 
 
+def test_machine_gradients_by_finite_differences():
+    rng = np.random.default_rng(3)
+    fm = quality_fm.FactorisationMachine(5, 2)
+    fm.b, fm.w, fm.v = rng.normal(size=1), rng.normal(size=5), rng.normal(size=(5, 2))
+    x, y, sw = rng.normal(size=(7, 5)), rng.integers(0, 2, 7).astype(float), rng.random(7)
+
+    def loss():
+        z = fm.logit(x)
+        return float(((np.logaddexp(0, z) - y * z) * sw).mean()) + 0.05 * float((fm.w**2).sum() + (fm.v**2).sum())
+
+    for p, g in zip((fm.b, fm.w, fm.v), fm.gradients(x, y, sw, 0.1)):
+        for i in np.ndindex(p.shape):
+            p[i] += 1e-6
+            up = loss()
+            p[i] -= 2e-6
+            down = loss()
+            p[i] += 1e-6
+            assert abs((up - down) / 2e-6 - g[i]) < 1e-5
+
+
+def test_domain_gradients_by_finite_differences():
+    rng = np.random.default_rng(6)
+    params = [rng.normal(size=(6, 3)), rng.normal(size=(2, 3)), rng.normal(size=3)]
+    at, stats, hot, sw = [rng.choice(6, rng.integers(0, 4), replace=False) for _ in range(8)], rng.normal(size=(8, 2)), np.eye(3)[rng.integers(0, 3, 8)], rng.random((8, 1))
+    for p, g in zip(params, mixing.classifier_gradients(params, at, stats, hot, sw, 0.2)[1]):
+        for i in np.ndindex(p.shape):
+            p[i] += 1e-6
+            up = mixing.classifier_gradients(params, at, stats, hot, sw, 0.2)[0]
+            p[i] -= 2e-6
+            down = mixing.classifier_gradients(params, at, stats, hot, sw, 0.2)[0]
+            p[i] += 1e-6
+            assert abs((up - down) / 2e-6 - g[i]) < 1e-5
+
+
 def pairs_of(changes, place):
     cells = [(i, place[f], sign) for i, (gained, lost) in enumerate(changes) for fs, sign in ((gained, 1.0), (lost, -1.0)) for f in fs]
     return toxicity.Pairs(*(np.array(x) for x in zip(*cells)), np.array(list(changes.values()), float))

@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,6 +98,33 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text, F.lit("")).cast("binary")
 
 
+def whole_keys(batches: Iterator, kinds: list) -> Iterator[list[np.ndarray]]:
+    """Columns of batches that are sorted by their first column, as arrays of these types that never part the rows of one key.
+
+    A key that goes on over many batches is put together once, when it ends.
+    """
+    held: list[list[np.ndarray]] = []
+    for b in batches:
+        cols = [b.column(i).to_numpy().view(k) for i, k in enumerate(kinds)]
+        if not len(cols[0]):
+            continue
+        same = int(np.searchsorted(cols[0], held[0][0][0], side="right")) if held else 0
+        if held:
+            held.append([c[:same] for c in cols])
+            if same == len(cols[0]):
+                continue
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            yield [np.concatenate([*(h[i] for h in held), c[same:max(last, same)]]) for i, c in enumerate(cols)]
+            held = [[c[max(last, same):] for c in cols]]
+        else:
+            last = int(np.searchsorted(cols[0], cols[0][-1]))
+            if last:
+                yield [c[:last] for c in cols]
+            held = [[c[last:] for c in cols]]
+    if held:
+        yield [np.concatenate([h[i] for h in held]) for i in range(len(kinds))]
+
+
 def small_batches(spark: SparkSession, most: int = 8 << 20) -> None:
     """Bound the bytes of an Arrow batch for rows that hold megabytes; a smaller bound of the session stays."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

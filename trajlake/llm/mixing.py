@@ -75,6 +75,21 @@ class Classifier(NamedTuple):
         return z / z.sum()
 
 
+def classifier_gradients(params: list[np.ndarray], at: list[np.ndarray], stats: np.ndarray, hot: np.ndarray, sw: np.ndarray, ridge: float) -> tuple[float, list[np.ndarray]]:
+    """(loss, gradients by the token, share and intercept weights): weighed mean log loss + ridge / 2 of the squared first two."""
+    row, cols = np.repeat(np.arange(len(at)), [len(a) for a in at]), np.concatenate(at)
+    classes = hot.shape[1]
+    z = params[2] + stats @ params[1]
+    for c in range(classes):
+        z[:, c] += np.bincount(row, weights=params[0][cols, c], minlength=len(at))
+    z -= z.max(1, keepdims=True)
+    log_p = z - np.log(np.exp(z).sum(1, keepdims=True))
+    e = (np.exp(log_p) - hot) * sw / len(at)
+    g0 = np.stack([np.bincount(cols, weights=e[row, c], minlength=len(params[0])) for c in range(classes)], axis=1)
+    loss = -float((hot * log_p * sw).sum()) / len(at) + ridge / 2 * float((params[0] ** 2).sum() + (params[1] ** 2).sum())
+    return loss, [g0 + ridge * params[0], stats.T @ e + ridge * params[1], e.sum(0)]
+
+
 def fit_classifier(tokens: list[np.ndarray], stats: np.ndarray, y: np.ndarray, sample_weight: np.ndarray, classes: int, epochs: int = 20, batch: int = 256, rate: float = 0.03, ridge: float = 3e-5, least_df: int = 4, seed: int = 7) -> Classifier:
     """Multinomial logistic regression by mini-batches in a fixed order, for texts' token ids, shares and class places."""
     ids, df = np.unique(np.concatenate(tokens), return_counts=True)
@@ -89,16 +104,8 @@ def fit_classifier(tokens: list[np.ndarray], stats: np.ndarray, y: np.ndarray, s
         order = rng.permutation(len(y))
         for i in range(0, len(y), batch):
             k = order[i : i + batch]
-            sizes = np.array([len(at[j]) for j in k])
-            cols, row = np.concatenate([at[j] for j in k]), np.repeat(np.arange(len(k)), sizes)
-            z = params[2] + stats[k] @ params[1]
-            for c in range(classes):
-                z[:, c] += np.bincount(row, weights=params[0][cols, c], minlength=len(k))
-            z = np.exp(z - z.max(1, keepdims=True))
-            e = (z / z.sum(1, keepdims=True) - hot[k]) * sw[k] / len(k)
-            g0 = np.stack([np.bincount(cols, weights=e[row, c], minlength=len(ids)) for c in range(classes)], axis=1)
             step += 1
-            for p, g, m, q in zip(params, (g0 + ridge * params[0], stats[k].T @ e + ridge * params[1], e.sum(0)), first, second):
+            for p, g, m, q in zip(params, classifier_gradients(params, [at[j] for j in k], stats[k], hot[k], sw[k], ridge)[1], first, second):
                 m += 0.1 * (g - m)
                 q += 0.001 * (g * g - q)
                 p -= rate * (1 - epoch / epochs) * (m / (1 - 0.9**step)) / (np.sqrt(q / (1 - 0.999**step)) + 1e-7)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import scratch, spread_join, utf8, written
+from trajlake.llm.common import scratch, spread_join, utf8, whole_keys, written
 from trajlake.llm.components import connected_components
 from trajlake.llm.simhash import _forest, covering_masks
 
@@ -141,17 +141,8 @@ def canopy_links(nodes: DataFrame, most: int = CANOPY) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left = [np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)]
-        for x in batches:
-            cols = [np.concatenate([y, x.column(i).to_numpy().view(y.dtype)]) for i, y in enumerate(left)]
-            if not len(cols[0]):
-                continue
-            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on in the next batch
-            left = [c[last:] for c in cols]
-            if last:
-                yield linked(*(c[:last] for c in cols))
-        if len(left[0]):
-            yield linked(*left)
+        for cols in whole_keys(batches, [np.int64, np.uint64, np.uint64]):
+            yield linked(*cols)
 
     rows = nodes.select("w").mapInArrow(keyed, "key long, a long, b long")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long").distinct()

@@ -139,8 +139,9 @@ def quality(text: Column, lang: Column, min_words: int = 50, max_repeat_percent:
 def judge(docs: DataFrame, text: str = "text", lang: str = "lang", **limits) -> DataFrame:
     """docs with the fields of quality(); columns of docs with these names are replaced."""
     fields = [*MEASURES, "class_distance", "word_distance", "base_failed", "kept"]
-    q = docs.withColumn("_quality", quality(F.col(text), F.col(lang), **limits))
-    return q.select(*[c for c in docs.columns if c not in fields], "_quality.*")
+    name = "_" + max([*docs.columns, "quality"], key=len)  # longer than any name of docs
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in fields]
+    return docs.select(*kept, quality(F.col(text), F.col(lang), **limits).alias(name)).select(*kept, f"`{name}`.*")
 
 
 def op5_quality_divergence(spark, sf_dir):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from corpus_pipeline import run as pipeline
 from trajlake.llm.decontaminate import op2_decontaminate_edit
 from trajlake.llm.language_id import op9_language_id_compression
 from trajlake.llm.mixing import op6_mixing_soft_membership
@@ -26,7 +25,6 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id_compression": op9_language_id_compression,
     "op10_simhash_covering_lsh": op10_simhash_covering_lsh,
-    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {

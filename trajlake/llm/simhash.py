@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import spread_join, utf8, written
+from trajlake.llm.common import spread_join, utf8, whole_keys, written
 from trajlake.llm.components import connected_components
 
 BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
@@ -117,8 +117,6 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     keyed = distinct.select("fp", F.explode(F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(masks)])).alias("key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left_k, left_f = np.empty(0, np.int64), np.empty(0, np.uint64)
-
         def linked(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             sizes = np.diff(np.append(starts, len(key)))
@@ -136,17 +134,8 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
             u, v = _forest(np.searchsorted(nodes, u), np.searchsorted(nodes, v), nodes)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
-        for b in batches:
-            key = np.concatenate([left_k, b.column(0).to_numpy()])
-            fp = np.concatenate([left_f, b.column(1).to_numpy().view(np.uint64)])
-            if not len(key):
-                continue
-            last = int(np.searchsorted(key, key[-1]))  # the last key may go on in the next batch
-            left_k, left_f = key[last:], fp[last:]
-            if last:
-                yield linked(key[:last], fp[:last])
-        if len(left_k):
-            yield linked(left_k, left_f)
+        for cols in whole_keys(batches, [np.int64, np.uint64]):
+            yield linked(*cols)
 
     return keyed.select("key", "fp").repartition("key").sortWithinPartitions("key").mapInArrow(run, "u long, v long")
 
