@@ -45,14 +45,18 @@ def complete_groups(stream: DataFrame, uid: str, payload: str, n: int, timeout:
 
 
 def append_new(target: str, key: str):
-    """For foreachBatch: appends the rows whose key the target doesn't have; a batch that comes twice adds nothing."""
+    """For foreachBatch: appends the rows whose key the target doesn't have; a batch that comes twice adds nothing.
+
+    Of the target only keys between the batch's least and greatest are read, a filter that reaches the files' statistics.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
         new = batch.dropDuplicates([key])
         if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
-            new = new.join(spark.read.schema(batch.schema).parquet(target).select(key), key, "left_anti")
+            low, high = batch.agg(F.min(key), F.max(key)).first()
+            new = new.join(spark.read.schema(batch.schema).parquet(target).select(key).filter(F.col(key).between(low, high)), key, "left_anti")
         new.select(*batch.columns).write.mode("append").parquet(target)
 
     return write
