@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trajlake.llm import components, decontaminate, language_id, mixing, quality_fm, quality_rules, simhash, suffix_dedup, token_counts, toxicity, warc
 from trajlake.llm.common import fresh_path, whole_keys
+from trajlake.llm.queries import ORACLES, QUERIES
 from trajlake.llm.run_index import END, RunLengthIndex
 
 SF = "/root/testdata/sf0.001"
@@ -687,3 +688,17 @@ def test_odd_and_empty_tables(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     path = fresh_path(spark, "warc-empty")
     assert warc.read_warcs(spark, path, warc.write_warcs(pages, path)).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_against_their_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for t in ("documents", "pages"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    df = QUERIES[name](spark, SF)
+    found = c.execute(ORACLES[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(str, found.fetchall())) == sorted(str(tuple(r)) for r in df.select(*names).collect())

@@ -9,7 +9,7 @@ from trajlake.llm.quality_fm import op3_quality_factorisation_machine
 from trajlake.llm.quality_rules import op5_quality_divergence
 from trajlake.llm.quality_rules import oracle_sql as op5_sql
 from trajlake.llm.simhash import op10_simhash_covering_lsh
-from trajlake.llm.suffix_dedup import op7_suffix_run_length
+from trajlake.llm.suffix_dedup import OP7_SQL, op7_suffix_run_length
 from trajlake.llm.token_counts import op8_token_counts
 from trajlake.llm.toxicity import op4_toxicity_counterfactual
 from trajlake.llm.warc import OP1_SQL, op1_warc_round_trip
@@ -30,4 +30,5 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op1_warc_round_trip": OP1_SQL,
     "op5_quality_divergence": op5_sql(),
+    "op7_suffix_run_length": OP7_SQL,
 }

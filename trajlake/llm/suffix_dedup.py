@@ -530,6 +530,21 @@ def _rows_of(x: Block, cover: np.ndarray, starts: np.ndarray, texts: bool, rest)
 
 
 def op7_suffix_run_length(spark, sf_dir):
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, for strings of 50 bytes."""
     from trajlake.llm.common import table
 
     return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
+#: Bytes as pairs of hexadecimal digits; windows are cut from pieces of 500 bytes, as long texts are slow to be cut from.
+OP7_SQL = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS b FROM documents),
+c AS (SELECT k, doc_id, length(b) // 2 AS n, unnest(range(0, length(b) // 2, 500)) AS o, substr(b, 2 * unnest(range(0, length(b) // 2, 500)) + 1, 1098) AS t FROM d),
+p AS (SELECT k, doc_id, o + unnest(range(1, least(500, n - o) + 1)) AS i, substr(t, 2 * unnest(range(1, least(500, n - o) + 1)) - 1, 100) AS w FROM c),
+f AS (SELECT w, min(doc_id) AS least FROM p WHERE length(w) = 100 GROUP BY w),
+h AS (SELECT p.k, p.i, left(p.w, 2) AS x, coalesce(least < p.doc_id, false) AS hit FROM p LEFT JOIN f USING (w)),
+g AS (SELECT k, i, x, bool_or(hit) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM h),
+s AS (SELECT k, i, x, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY k ORDER BY i), false) AS start FROM g),
+a AS (SELECT k, count_if(gone)::BIGINT AS n_removed, count_if(start)::BIGINT AS n_spans, sha256(unhex(coalesce(string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone), ''))) AS kept_sha256 FROM s GROUP BY k)
+SELECT doc_id, (length(b) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256(''::BLOB)) AS kept_sha256 FROM d LEFT JOIN a USING (k)
+"""
