@@ -167,7 +167,7 @@ def commit_issues(t):
     body = F.concat(F.lit("This closes #"), F.col("c_nationkey").cast("string"), F.lit(" and Fixes: #"), (F.col("c_custkey") % 7).cast("string"))
     pulls = t.customer.select(F.col("c_custkey").alias("number"), body.alias("body"))
     issues = t.nation.select(F.col("n_nationkey").alias("issue"), F.col("n_name").alias("title"), F.lit("").alias("body"))
-    return joins.commit_issues(t.orders.select(F.col("o_orderkey").alias("commit_hash"), message.alias("message")), pulls, issues).select("commit_hash", F.col("issue").cast("int").alias("issue"), "title")
+    return joins.commit_issues(t.orders.select(F.col("o_orderkey").alias("commit_hash"), message.alias("message")), pulls, issues).select("commit_hash", "issue", "title")
 
 
 @query("issue_contents", """SELECT o_custkey AS commit_hash, CAST(count(*) AS INT) AS n, string_agg(n_name, ',' ORDER BY i) AS titles FROM (SELECT o_custkey, unnest([o_custkey % 40, 3, 99]) AS issue, unnest([0, 1, 2]) AS i FROM (SELECT DISTINCT o_custkey FROM orders)) JOIN nation ON n_nationkey = issue GROUP BY 1""")

@@ -25,7 +25,13 @@ def remove_known_bad(t):
     return similarity.known_bad(t.embeddings, t.embeddings.filter("vec_id % 50 = 0"), "vec_id", "embedding").select("vec_id")
 
 
-@query("greedy_dedupe")
+ALL_PAIRS = "s AS (SELECT a.vec_id AS q, b.vec_id AS i, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS x FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)"
+
+
+@query("greedy_dedupe", f"""WITH RECURSIVE {ALL_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY round(x, 9) DESC, i) AS rank FROM s), e AS (SELECT q, list(i) AS n FROM r WHERE rank <= 4 AND x > 0.792 GROUP BY q),
+o AS MATERIALIZED (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k, coalesce(n, []) AS n FROM embeddings LEFT JOIN e ON q = vec_id),
+g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS d UNION ALL SELECT o.k, CASE WHEN list_contains(d, vec_id) THEN d ELSE list_concat(d, n) END FROM g JOIN o ON o.k = g.k + 1)
+SELECT vec_id FROM embeddings WHERE NOT list_contains((SELECT arg_max(d, k) FROM g), vec_id)""")
 def greedy_dedupe(t):
     return similarity.greedy_dedupe(t.embeddings.select("vec_id", "embedding"), "vec_id", "embedding").select("vec_id")
 
