@@ -39,6 +39,7 @@ GRAM = 24
 SLAB = 1 << 15
 INDEX_BYTES = 3 << 17
 NO_DOC = np.iinfo(np.int64).max
+MOST_TASKS = 100_000
 HOT = 4096  # occurrences from which an anchor is hot
 TAG = 4  # bytes, of base 240
 OUTSIDE = (0xFE, 0xFD)
@@ -311,7 +312,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50, block_bytes: int = 4 << 20,
 
 
 def _by_bucket(df: DataFrame, buckets: int) -> DataFrame:
-    dealt = df.repartitionById(buckets, F.col("bucket")) if hasattr(df, "repartitionById") else df.repartition(buckets, "bucket")
+    """Rows of a bucket together, in the order of buckets; a task takes one bucket after another if there are over MOST_TASKS."""
+    n = min(buckets, MOST_TASKS)
+    task = F.expr(f"cast(bucket as long) * {n} div {buckets}").cast("int")
+    dealt = df.repartitionById(n, task) if hasattr(df, "repartitionById") else df.repartition(n, task)
     return dealt.sortWithinPartitions("bucket")
 
 
