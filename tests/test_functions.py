@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -167,3 +170,43 @@ def test_transcripts_of_steps(spark):
     df = spark.createDataFrame([([("t", "a", "o", 5, 1), ("u", "b", "p", 9, 2)], "fix it", "/w", 1.0)], ddl)
     r = shape.trajectories_to_sft(df, "S", "FN", "Do {problem_statement} in {working_dir}").first()
     assert [m["content"] for m in r["input"]] == ["S", "FN", "Do fix it in /w", "t\n\na", "o", "u\n\nb", "p"] and (r["token_usage_total"], r["step_count"]) == (9, 2)
+
+
+@pytest.mark.parametrize("given,truth,same", [
+    (r"\frac{\frac{1}{2}}{3}", "1/6", True), (r"2\sqrt{\frac{1}{4}}", "1.0", False), (r"\sqrt{\frac{1}{4}}", "0.5", True), (r"1\frac{2}{3}", "1 2/3", True), (r"\sqrt[3]{8}", "x", False),
+    ("x+y", "y+x", True), ("(x+1)(x-1)", "x^2-1", True), ("2xy", "yx*2", True), (r"\frac{x^2-1}{x-1}", "x+1", True), ("x+1", "x+2", False), ("a+b+c", "c+b+a", False), (r"2\pi r", r"r\cdot 2\pi", True),
+    (r"\sin(x)^2+\cos(x)^2", "x/x", True), ("x^{10}", "x^10", True), ("x^{10}x", "x^{11}", False), ("log(x)", "log(y)", False), ("sqrt(0-1-x^2)", "sqrt(0-2-x^2)", False), (r"\left(1, \frac{3}{2}\right)", "(1,3/2)", True),
+])
+def test_expressions(given, truth, same):
+    assert udfs.math_equal(given, truth) is same
+
+
+def test_failure_blocks_and_token_cuts(spark, tmp_path):
+    log = "=== FAILURES ===\n____ test_a ____\nline 1\n\nE  assert\n____ TestB.test_c[x] ____\nother\n=== short test summary info ===\nFAILED test_a"
+    assert one(spark, log, udfs.failure_blocks("x").alias("m"))["m"] == {"test_a": "line 1\n\nE  assert", "TestB.test_c[x]": "other"}
+    assert one(spark, "fine", udfs.failure_blocks("x").alias("m"))["m"] == {}
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = next(public_tokenizers.path(n) for n in sorted(os.listdir(os.path.dirname(public_tokenizers.__file__))) if n.endswith(".json"))
+    t, long = Tokenizer.from_file(path), "some words that are cut somewhere, and more of them"
+    got = [r["r"] for r in spark.createDataFrame([(long,), ("short",), (None,)], "x string").select(udfs.truncate_tokens_udf(path, 5)("x").alias("r")).collect()]
+    assert got == [t.decode(t.encode(long, add_special_tokens=False).ids[:5]), "short", None]
+
+
+def test_rows_for_training(spark):
+    tests = F.array(F.struct(F.lit("1").alias("input"), F.lit("2").alias("output")))
+    meta = lambda name: F.struct(F.lit(name).cast("string").alias("func_name"))
+    made = one(spark, "x", shape.tests_with_metadata(tests, meta("f")).alias("t"))["t"]
+    assert json.loads(made) == [{"input": "1", "output": "2", "metadata": {"func_name": "f"}}]
+    with pytest.raises(Exception, match="func_name"):
+        one(spark, "x", shape.tests_with_metadata(tests, meta(None)).alias("t"))
+    grid = shape.synthetic_grid(spark, 50, 7).collect()
+    assert grid == shape.synthetic_grid(spark, 50, 7).collect() and len(grid) == 50 and all(2 <= r["size"] < 10 and 0.6 <= r["p"] < 0.85 for r in grid)
+
+
+def test_replies_and_tools(spark):
+    reply = lambda c: one(spark, c, filters.command_reply(F.col("x"), ["git"], ["wget"]).alias("r"))["r"]
+    assert tuple(reply("pip install git x")) == ("Successfully installed packages.", 0) and "git is not" in reply("cd a; git log")["output"] and reply("legit") is None and "wget" in reply("wget")["output"]
+    with pytest.raises(ValueError, match="no place for tools"):
+        chat.render(F.col("x"), "llama", tools=["{}"])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 import difflib
+import math
 import re
 import shlex
 from collections.abc import Callable, Iterator
@@ -85,30 +86,84 @@ def boxed(text: str | None, search: bool = False) -> str | None:
 
 
 # Units that an answer may carry.
-UNITS = "degree cm centimeter meter mile second minute hour day week month year foot feet inch yard".split()
-POWERS = {"million": "*10^6", "billion": "*10^9", "trillion": "*10^12"}
+UNITS = ["degree", "cm", "centimeter", "meter", "mile", "second", "minute", "hour", "day", "week", "month", "year", "foot", "feet", "inch", "yard"]
+# Substitutions that make forms of an answer alike (pattern, replacement), in the order in which they apply.
+SUBSTITUTIONS = [
+    (r"^\\text\{(.+?)\}", r"\1"),
+    (r"\\?[%$]", ""),
+    (r" (or|and) ", " , "),
+    (r"million", "*10^6"),
+    (r"billion", "*10^9"),
+    (r"trillion", "*10^12"),
+    *[(rf"{unit}(es)?s? *(\^\d+)?", "") for unit in UNITS],
+    (r"\^ *\\circ", ""),
+    (r"^\{(.*)\}$", r"\1"),
+    (r",\\! *", ""),
+]
+# LaTeX commands that stand for a sign or a word; any other command stands for its name.
+COMMANDS = {"cdot": "*", "times": "*", "div": "/", "pi": "pi", "left": "", "right": "", "displaystyle": "", ",": "", ";": "", "!": "", " ": " ", "{": "{", "}": "}"}
+COMMAND = re.compile(r"\\([a-zA-Z]+|.)", re.DOTALL)
 FRACTION = re.compile(r"^-?\d+/-?\d+$")
 INTEGER = re.compile(r"^-?\d+$")
+MATH_WORDS = ("sqrt", "sin", "cos", "tan", "log", "ln", "exp", "pi")
+MATH_TOKEN = re.compile("|".join(MATH_WORDS) + r"|[a-z]|\d+\.?\d*|\.\d+|\S")
+
+
+def latex_plain(text: str) -> str:
+    """LaTeX as plain arithmetic: fractions, roots, powers, products and names, however deep they stand in each other.
+
+    A fraction of whole numbers behind a whole number is the rest of a mixed number.
+    """
+
+    def part(i: int) -> tuple[str, int]:
+        """The argument at place i (a group in braces, a command or one sign) and the place behind it."""
+        while text[i : i + 1] == " ":
+            i += 1
+        if text[i : i + 1] == "{":
+            depth = 0
+            for j in range(i, len(text)):
+                depth += (text[j] == "{") - (text[j] == "}")
+                if not depth:
+                    return latex_plain(text[i + 1 : j]), j + 1
+            return latex_plain(text[i + 1 :]), len(text)
+        if m := COMMAND.match(text, i):
+            return latex_plain(m[0]), m.end()
+        return text[i : i + 1], i + 1
+
+    out, i = "", 0
+    while i < len(text):
+        m = COMMAND.match(text, i)
+        if m and m[1] in ("frac", "dfrac", "tfrac"):
+            above, i = part(m.end())
+            below, i = part(i)
+            whole = INTEGER.match(above) and INTEGER.match(below)
+            mixed = "+" if whole and re.search(r"\d *$", out) else ""
+            out = out.rstrip() + mixed if mixed else out
+            out += f"{above}/{below}" if whole else f"({above})/({below})"
+        elif m and m[1] == "sqrt":
+            i, root = m.end(), None
+            if text[i : i + 1] == "[" and "]" in text[i:]:
+                root, i = latex_plain(text[i + 1 : text.index("]", i)]), text.index("]", i) + 1
+            inner, i = part(i)
+            out += f"sqrt({inner})" if root is None else f"({inner})^(1/({root}))"
+        elif m:
+            out, i = out + COMMANDS.get(m[1], m[1]), m.end()
+        elif text[i] == "^":
+            power, i = part(i + 1)
+            out += f"^{power}" if len(power) < 2 or power.isdigit() else f"^({power})"
+        else:
+            out, i = out + text[i], i + 1
+    return out
 
 
 def math_normal(text: str | None) -> str | None:
-    """A canonical form of an answer: no units, signs of money or per cent, LaTeX braces, thousands' commas or blanks."""
+    """A canonical form of an answer: no units, signs of money or per cent, LaTeX, thousands' commas or blanks."""
     if text is None:
         return None
-    t = re.sub(r"^\\text\{(.+?)\}", r"\1", text.strip())
-    t = re.sub(r"\\?[%$]", "", t)
-    t = re.sub(r" (or|and) ", " , ", t)
-    for word, power in POWERS.items():
-        t = t.replace(word, power)
-    for unit in UNITS:
-        t = re.sub(rf"{unit}(es)?s? *(\^\d+)?", "", t)
-    t = re.sub(r"\^ *\\circ", "", t)
-    if t[:1] == "{" and t[-1:] == "}":
-        t = t[1:-1]
-    t = re.sub(r",\\! *", "", t)
-    t = re.sub(r"\\(?:d|t)?frac\{([^{}]+)\}\{([^{}]+)\}", r"(\1)/(\2)", t)
-    t = re.sub(r"\\sqrt\{([^{}]+)\}", r"sqrt(\1)", t)
-    t = re.sub(r"\\(?:left|right|,|;|!)", "", t).replace("\\cdot", "*").replace("\\times", "*").replace("\\pi", "pi")
+    t = text.strip()
+    for pattern, replacement in SUBSTITUTIONS:
+        t = re.sub(pattern, replacement, t)
+    t = latex_plain(t)
     t = re.sub(r"\((-?\d+)\)/\((-?\d+)\)", r"\1/\2", t)
     t = re.sub(r"- +", "-", t)
     t = re.sub(r"(\d) +(\d+/\d+)", r"\1+\2", t)
@@ -118,9 +173,21 @@ def math_normal(text: str | None) -> str | None:
     return t
 
 
-def _value(text: str) -> float | None:
-    """Value of an arithmetic expression over numbers, read as a syntax tree; null if it is more than that."""
-    import math
+def _products(text: str) -> str:
+    """An expression with the multiplication signs that are left out where factors stand side by side."""
+    out, before = "", ""
+    for token in MATH_TOKEN.findall(text):
+        factor = before == ")" or before == "pi" or before[-1:].isdigit() or (len(before) == 1 and before.isalpha())
+        if factor and (token == "(" or token[0].isalnum() or token[0] == "."):
+            out += "*"
+        out, before = out + token, token
+    return out
+
+
+def _value(text: str, at: dict[str, float] | None = None) -> float | None:
+    """Value of an arithmetic expression over numbers and the variables `at`, read as a syntax tree; null if it is more than that."""
+    known = at or {}
+    functions = {"sqrt": math.sqrt, "sin": math.sin, "cos": math.cos, "tan": math.tan, "log": math.log, "ln": math.log, "exp": math.exp}
 
     def walk(n: ast.AST) -> float:
         if isinstance(n, ast.Constant) and isinstance(n.value, (int, float)):
@@ -134,25 +201,48 @@ def _value(text: str) -> float | None:
                     raise ValueError
                 return a**b
             return {ast.Add: a.__add__, ast.Sub: a.__sub__, ast.Mult: a.__mul__, ast.Div: a.__truediv__}[type(n.op)](b)
-        if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id == "sqrt" and len(n.args) == 1:
-            return math.sqrt(walk(n.args[0]))
-        if isinstance(n, ast.Name) and n.id == "pi":
-            return math.pi
+        if isinstance(n, ast.Call) and isinstance(n.func, ast.Name) and n.func.id in functions and len(n.args) == 1:
+            return functions[n.func.id](walk(n.args[0]))
+        if isinstance(n, ast.Name):
+            return math.pi if n.id == "pi" else known[n.id]
         raise ValueError
 
     try:
-        v = walk(ast.parse(text.replace("^", "**"), mode="eval").body)
-        return float(v) if isinstance(v, (int, float)) else None
+        v = walk(ast.parse(_products(text).replace("^", "**"), mode="eval").body)
+        return float(v) if isinstance(v, (int, float)) and math.isfinite(v) else None
     except (ValueError, SyntaxError, KeyError, ZeroDivisionError, OverflowError, TypeError, RecursionError, MemoryError):
         return None
 
 
+def same_expression(a: str, b: str, points: int = 8) -> bool:
+    """Whether two expressions in at most two variables are equal, judged by their values at points without a pattern.
+
+    Different polynomials, and other expressions that an answer has, agree at no such point but by chance. Expressions with
+    stacked or long powers aren't evaluated, and neither are those without a value at half of the points.
+    """
+    if any(re.search(p, x) for x in (a, b) for p in (r"\^\(", r"\^\d+\^", r"\^\d\d+")):
+        return False
+    names = sorted({t for x in (a, b) for t in MATH_TOKEN.findall(x) if len(t) == 1 and t.isalpha()})
+    if len(names) > 2:
+        return False
+    hits = 0
+    for k in range(points if names else 1):
+        at = {n: 0.3719 + 0.6137 * k + 0.2841 * i + 0.0173 * k * i for i, n in enumerate(names)}
+        x, y = _value(a, at), _value(b, at)
+        if x is None or y is None:
+            continue
+        if abs(x - y) > 1e-9 * max(1.0, abs(x), abs(y)):
+            return False
+        hits += 1
+    return hits >= (points / 2 if names else 1)
+
+
 def _elements(t: str) -> list[str]:
     return t[1:-1].split(",") if len(t) > 2 and t[0] in "([" and t[-1] in ")]" and "," in t else [t]
 
 
 def math_equal(given: str | None, truth: str | None) -> bool:
-    """Equal forms, or tuples equal by element: fractions as written, integers as written, the rest by value."""
+    """Equal forms, or tuples equal by element: fractions as written, integers as written, the rest as expressions."""
     g, t = math_normal(given), math_normal(truth)
     if t is None or not g:
         return False
@@ -167,8 +257,7 @@ def math_equal(given: str | None, truth: str | None) -> bool:
         elif bool(INTEGER.match(a)) != bool(INTEGER.match(b)):
             same = False
         else:
-            x, y = _value(a), _value(b)
-            same = a == b or (x is not None and y is not None and abs(x - y) <= 1e-9 * max(1.0, abs(x), abs(y)))
+            same = a == b or same_expression(a, b)
         if not same:
             return False
     return True

@@ -303,13 +303,14 @@ def trace_texts(t):
     return s.select("k", shape.trace_text(steps).alias("trace"))
 
 
-@query("last_step_sft", "SELECT conv_id, CAST(count(*) AS INT) AS n, max(trim(text, ' ' || chr(9) || chr(10) || chr(13))) AS top FROM conversations WHERE conv_id % 3 <> 0 GROUP BY 1 HAVING count(*) >= 2")
+@query("last_step_sft", "SELECT conv_id, CAST(count(*) AS INT) AS n, max(trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS top FROM conversations GROUP BY 1 HAVING count(*) >= 3")
 def last_step_sft(t):
-    m = nested(t).withColumn("steps", F.array(F.struct(F.col("messages").alias("chat_completions")))).withColumn("reward", (F.col("conv_id") % 3 != 0).cast("double"))
-    out = shape.last_step_sft(m.withColumn("steps", F.transform("steps", lambda s: F.struct(F.concat(s["chat_completions"], F.array(shape.message("id", F.col("conv_id").cast("string")))).alias("chat_completions")))), "steps", "reward", 0.5)
+    """Conversations as trajectories of one step, whose reward is a sixth of the number of turns."""
+    m = nested(t).withColumn("reward", F.col("n_turns") / 6)
+    named = F.concat("messages", F.array(shape.message("id", F.col("conv_id").cast("string"))))
+    out = shape.last_step_sft(m.withColumn("steps", F.array(F.struct(named.alias("chat_completions")))), "steps", "reward", 0.5)
     body = F.filter("messages", lambda x: x["role"] != "id")
-    rows = out.select(F.element_at("messages", -1)["content"].cast("long").alias("conv_id"), F.size(body).alias("n"), F.array_max(F.transform(body, lambda x: x["content"])).alias("top"))
-    return rows.filter("n >= 2")
+    return out.select(F.element_at("messages", -1)["content"].cast("long").alias("conv_id"), F.size(body).alias("n"), F.array_max(F.transform(body, lambda x: x["content"])).alias("top"))
 
 
 @query("spec_paths", f"""SELECT p_partkey, 'specs/' || CASE p_partkey % 5 WHEN 0 THEN 'swe_gym' WHEN 1 THEN 'swe_bench_verified' WHEN 2 THEN 'swe_bench_verified' WHEN 3 THEN 'swe_rebench' ELSE 'others' END || '/' || p_brand || '.json' AS path FROM part""")
@@ -468,10 +469,10 @@ def reasoning_texts(t):
     return t.part.select("p_partkey", text.reasoning_text(pick("p_partkey", TAGGED)).alias("reasoning"))
 
 
-@query("issue_statements", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) END AS issue FROM documents WHERE NOT regexp_matches(text, '[\\v\\f]')")
+@query("issue_statements", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS issue FROM documents")
 def issue_statements(t):
     wrapped = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x [ISSUE]\n"), "text", F.lit("[/ISSUE] y"))).otherwise(F.col("text"))
-    return t.documents.filter(~F.col("text").rlike(r"[\x0B\f]")).select("doc_id", text.issue_statement(wrapped).alias("issue"))
+    return t.documents.select("doc_id", text.issue_statement(wrapped).alias("issue"))
 
 
 @query("first_prompts", "SELECT conv_id, first(text ORDER BY turn, role, text) AS prompt FROM conversations GROUP BY 1")
