@@ -39,11 +39,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 _made: list[str] = []
 
 
+def work_path(spark: SparkSession, name: str) -> str:
+    """A fresh path for what only this job reads; scratch removes it."""
+    _made.append(fresh_path(spark, name))
+    return _made[-1]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df to the shared folder and read it back."""
-    path = fresh_path(df.sparkSession, name)
+    path = work_path(df.sparkSession, name)
     df.write.parquet(path)
-    _made.append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.folder = path
     return out

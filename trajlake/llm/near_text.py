@@ -21,7 +21,7 @@ from trajlake.llm.common import scratch, spread_join, utf8, whole_keys, written
 from trajlake.llm.components import connected_components
 from trajlake.llm.simhash import _forest, covering_masks
 
-PIECES, WIDTH, RADIUS = 12, 40, 3
+PIECES, WIDTH, RADIUS = 16, 40, 3
 WORDS = -(-PIECES * WIDTH // 64)
 SEEDS = np.random.default_rng(42).integers(0, 2**64, WORDS, dtype=np.uint64)
 MASKS = covering_masks(RADIUS, width=WIDTH)

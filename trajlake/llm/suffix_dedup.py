@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import fresh_path, small_batches, utf8
+from trajlake.llm.common import small_batches, utf8, work_path
 from trajlake.llm.run_index import END, RunLengthIndex
 
 GRAM = 24
@@ -350,7 +350,7 @@ def _block_table(docs: DataFrame, block_bytes: int, buckets: int, rest: tuple[st
 
     schema = "block long, ids array<long>, lens array<int>, data binary" + (f", rest array<struct<{', '.join(f'`{c}`:{kinds[c]}' for c in rest)}>>" if rest else "")
     blocks = docs.select(F.col("doc_id").cast("long"), utf8(F.col("text")).alias("t"), *rest).mapInArrow(run, schema)
-    path = fresh_path(docs.sparkSession, "blocks")
+    path = work_path(docs.sparkSession, "blocks")
     name = f"trajlake_{path.rsplit('-', 1)[1]}"
     blocks.write.format("parquet").bucketBy(buckets, "block").option("path", path).saveAsTable(name)
     table = docs.sparkSession.table(name)
