@@ -210,3 +210,16 @@ def test_replies_and_tools(spark):
     assert tuple(reply("pip install git x")) == ("Successfully installed packages.", 0) and "git is not" in reply("cd a; git log")["output"] and reply("legit") is None and "wget" in reply("wget")["output"]
     with pytest.raises(ValueError, match="no place for tools"):
         chat.render(F.col("x"), "llama", tools=["{}"])
+
+
+@pytest.mark.parametrize("template", ["qwen", "deepseek", "llama"])
+def test_a_chat_is_its_messages_one_by_one(spark, template):
+    """The rendering of a chat equals that of its messages side by side, with the start text in front of the first only."""
+    chats = [[("system", "s"), ("user", "u 1"), ("assistant", "a"), ("tool", "t"), ("assistant", "b\n")], [("user", "only")], [("user", "x"), ("assistant", "")]]
+    df = spark.createDataFrame([(i, [{"role": r, "content": c} for r, c in m]) for i, m in enumerate(chats)], "i int, m array<struct<role:string,content:string>>")
+    whole = {r["i"]: r["t"] for r in df.select("i", chat.render(F.col("m"), template).alias("t")).collect()}
+    each = df.select("i", F.posexplode("m").alias("k", "x")).select("i", "k", F.array("x").alias("m"))
+    parts = each.select("i", "k", F.when(F.col("k") == 0, chat.render(F.col("m"), template)).otherwise(chat.render(F.col("m"), template, first=False)).alias("t")).collect()
+    assert whole == {i: "".join(r["t"] for r in sorted(parts, key=lambda r: r["k"]) if r["i"] == i) for i in whole}
+    opened = {r["i"]: r["t"] for r in df.select("i", chat.render(F.col("m"), template, add_generation_prompt=True).alias("t")).collect()}
+    assert all(opened[i] == whole[i] + chat.TEMPLATES[template]["open"] for i in whole)
