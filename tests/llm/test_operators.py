@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trajlake.llm import components, decontaminate, language_id, mixing, quality_fm, quality_rules, simhash, suffix_dedup, token_counts, toxicity, warc
+from trajlake.llm import common, components, decontaminate, language_id, mixing, quality_fm, quality_rules, simhash, suffix_dedup, token_counts, toxicity, warc
 from trajlake.llm.common import fresh_path, whole_keys
 from trajlake.llm.queries import ORACLES, QUERIES
 from trajlake.llm.run_index import END, RunLengthIndex
@@ -117,6 +117,16 @@ def test_near_duplicates_against_brute_force(spark):
     assert {k: v["fp"] % 2**64 for k, v in got.items()} == fp
 
 
+def test_hot_keys_join_like_others(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    monkeypatch.setattr(common, "HOT_KEYS", 2)
+    big = spark.createDataFrame([(k, bytes([k]), i) for k, n in ((1, 40), (2, 30), (3, 20), (4, 3)) for i in range(n)], "k long, b binary, i int").union(spark.createDataFrame([(None, None, 0)], "k long, b binary, i int"))
+    small = spark.createDataFrame([(k, bytes([k]), f"v{k}") for k in (1, 3, 4, 5)], "k long, b binary, v string")
+    for on, drop in (("k", "b"), ("b", "k")):
+        got, want = common.spread_join(big.drop(drop), small.drop(drop), on), big.drop(drop).join(small.drop(drop), on)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 63
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(5, 5), (None, 3)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

@@ -84,14 +84,15 @@ def spread_join(big: DataFrame, small: DataFrame, on: str) -> DataFrame:
     """big joined (inner) with small, which has one row for a key, where a key may hold any share of big's rows.
 
     The HOT_KEYS most frequent keys of big that have over HOT_ROWS rows are told by partial counts; their rows of small, at
-    most HOT_KEYS, are broadcast. All other keys hold less than a thousandth of big each and meet by a shuffle. big is
-    read three times and should be a written table. Null keys join nothing.
+    most HOT_KEYS, are broadcast. All other keys hold less than a thousandth of big each and meet by a shuffle, as all
+    do if there is no such key. big is read several times and should be a written table. Null keys join nothing.
     """
-    hot = big.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
-    hot = hot.orderBy(F.desc("_rows"), on).limit(HOT_KEYS).select(on)
-    told = small.join(F.broadcast(hot), on)
-    often = big.join(F.broadcast(told), on)
-    return often.unionByName(big.join(F.broadcast(hot), on, "left_anti").join(small, on))
+    counted = big.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > HOT_ROWS)
+    hot = [r[0] for r in counted.orderBy(F.desc("_rows"), on).limit(HOT_KEYS).select(on).collect()]
+    if not hot:
+        return big.join(small, on)
+    often = big.filter(F.col(on).isin(hot)).join(F.broadcast(small.filter(F.col(on).isin(hot))), on)
+    return often.unionByName(big.filter(~F.col(on).isin(hot)).join(small, on))
 
 
 def crc_split(doc_id: Column, mod: int) -> Column:
