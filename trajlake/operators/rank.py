@@ -121,12 +121,11 @@ def mc_return(rewards: Column, gamma: float = 0.95) -> Column:
         def one(r):
             if r is None:
                 return None
-            out, g = [None] * len(r), 0.0
-            for i in range(len(r) - 1, -1, -1):
-                x = r[i]
+            out, g = [], 0.0
+            for x in reversed(r.tolist()):
                 g = None if x is None or x != x or g is None else x + gamma * g
-                out[i] = g
-            return out
+                out.append(g)
+            return out[::-1]
 
         return rows.map(one)
 
