@@ -13,6 +13,7 @@ from trajlake.llm.suffix_dedup import OP7_SQL, op7_suffix_run_length
 from trajlake.llm.token_counts import op8_token_counts
 from trajlake.llm.toxicity import op4_toxicity_counterfactual
 from trajlake.llm.warc import OP1_SQL, op1_warc_round_trip
+from trajlake.llm.whitening import op12_svd_whitening
 
 QUERIES = {
     "op1_warc_round_trip": op1_warc_round_trip,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id_compression": op9_language_id_compression,
     "op10_simhash_covering_lsh": op10_simhash_covering_lsh,
+    "op12_svd_whitening": op12_svd_whitening,
 }
 
 ORACLES: dict[str, str] = {
