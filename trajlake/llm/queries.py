@@ -9,6 +9,7 @@ from trajlake.llm.quality_fm import op3_quality_factorisation_machine
 from trajlake.llm.quality_rules import op5_quality_divergence
 from trajlake.llm.quality_rules import oracle_sql as op5_sql
 from trajlake.llm.simhash import op10_simhash_covering_lsh
+from trajlake.llm.substring_dedup import OP13_SQL, op13_prefix_suffix_trees
 from trajlake.llm.suffix_dedup import OP7_SQL, op7_suffix_run_length
 from trajlake.llm.token_counts import op8_token_counts
 from trajlake.llm.toxicity import op4_toxicity_counterfactual
@@ -27,10 +28,12 @@ QUERIES = {
     "op9_language_id_compression": op9_language_id_compression,
     "op10_simhash_covering_lsh": op10_simhash_covering_lsh,
     "op12_svd_whitening": op12_svd_whitening,
+    "op13_prefix_suffix_trees": op13_prefix_suffix_trees,
 }
 
 ORACLES: dict[str, str] = {
     "op1_warc_round_trip": OP1_SQL,
     "op5_quality_divergence": op5_sql(),
     "op7_suffix_run_length": OP7_SQL,
+    "op13_prefix_suffix_trees": OP13_SQL,
 }
