@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from trajlake.llm.collocations import OP11_SQL, op11_pair_naming
 from trajlake.llm.decontaminate import op2_decontaminate_edit
 from trajlake.llm.language_id import op9_language_id_compression
 from trajlake.llm.mixing import op6_mixing_soft_membership
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_language_id_compression": op9_language_id_compression,
     "op10_simhash_covering_lsh": op10_simhash_covering_lsh,
+    "op11_pair_naming": op11_pair_naming,
     "op12_svd_whitening": op12_svd_whitening,
     "op13_prefix_suffix_trees": op13_prefix_suffix_trees,
 }
@@ -35,5 +37,6 @@ ORACLES: dict[str, str] = {
     "op1_warc_round_trip": OP1_SQL,
     "op5_quality_divergence": op5_sql(),
     "op7_suffix_run_length": OP7_SQL,
+    "op11_pair_naming": OP11_SQL,
     "op13_prefix_suffix_trees": OP13_SQL,
 }
