@@ -275,18 +275,22 @@ def _candidates(x: Words, told: dict[int, bytes], shared: dict[int, bytes], leng
     return kept, first, one, back, least
 
 
-def _ask_suffixes(length: int, bits: int, frequent: np.ndarray):
-    """The suffixes of candidate windows, with the hash of their prefix, the block's least id and their place in the block."""
+def _ask_suffixes(length: int, bits: int, tasks: int, frequent: np.ndarray):
+    """The suffixes of candidate windows, with the task that their prefix goes to, the block's least id and their place in the block.
+
+    They are sent in their order, so that neighbours are alike and compress.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, i, x in _blocks(batches):
             block = b.column(0)[i].as_py()
             _, _, one, _, least = _candidates(x, dict(b.column(4)[i].as_py() or ()), dict(b.column(5)[i].as_py() or ()), length, bits)
+            task = (x.prefixes(one, length, frequent) % np.uint64(tasks)).astype(np.int32)
+            suffix = np.array(x.bytes_of(one, length), dtype=object)
+            order = np.argsort(suffix)
             for a in range(0, len(one), SOME):
-                some = one[a : a + SOME]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.prefixes(some, length, frequent).view(np.int64)), pa.array(x.bytes_of(some, length), pa.binary()), pa.array(least[a : a + SOME]), pa.array([block] * len(some), pa.int64()), pa.array(np.arange(a, a + len(some), dtype=np.int32))],
-                    ["prefix", "suffix", "least", "block", "at"])
+                some = order[a : a + SOME]
+                yield pa.RecordBatch.from_arrays([pa.array(task[some]), pa.array(suffix[some], pa.binary()), pa.array(least[some]), pa.array([block] * len(some), pa.int64()), pa.array(some.astype(np.int32))], ["task", "suffix", "least", "block", "at"])
 
     return run
 
@@ -391,8 +395,9 @@ def substring_dedup(docs: DataFrame, length: int = 13, block_bytes: int = 2 << 2
     shared = written(_by_block(_by_bucket(asked, buckets).mapInArrow(_answer_anchors, MESSAGE)).withColumnRenamed("told", "shared"), "anchors")
     known = known.join(shared.hint("shuffle_hash"), "block", "left")
 
-    suffixes = known.select(*body, "told", "shared").mapInArrow(_ask_suffixes(length, bits, frequent), "prefix long, suffix binary, least long, block long, at int")
-    tree = suffixes.repartition(tasks, "prefix").select("suffix", "least", "block", "at").sortWithinPartitions("suffix", "least")
+    suffixes = known.select(*body, "told", "shared").mapInArrow(_ask_suffixes(length, bits, tasks, frequent), "task int, suffix binary, least long, block long, at int")
+    dealt = suffixes.repartitionById(tasks, "task") if hasattr(suffixes, "repartitionById") else suffixes.repartition(tasks, "task")
+    tree = dealt.select("suffix", "least", "block", "at").sortWithinPartitions("suffix", "least")
     least = tree.mapInArrow(_deep_nodes, "block long, data binary").groupBy("block").agg(F.collect_list("data").alias("least"))
     final = known.join(least.hint("shuffle_hash"), "block", "left")
 
