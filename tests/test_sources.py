@@ -138,19 +138,6 @@ def test_nearest_of_all_is_top_k(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-8 for k in got)
 
 
-def test_describe_divides_full_cells(spark, monkeypatch):
-    monkeypatch.setattr(metrics, "FEW", 3)
-    monkeypatch.setattr(metrics, "CELLS", 4)
-    rng = random.Random(2)
-    rows = [(g, rng.choice([0.0, 1.0, 1e9, rng.random(), -rng.random() * 1e-6, None, float("nan")])) for g in ("a", "b", None) for _ in range(120)] + [("c", None), ("d", 7.0)]
-    df = spark.createDataFrame(rows, "g string, v double")
-    got = {r["g"]: r for r in metrics.describe(df, ["v"], (0.1, 0.5, 0.99), by=["g"]).collect()}
-    for g in ("a", "b", None, "d"):
-        x = np.array([v for k, v in rows if k == g and v is not None and v == v])
-        assert got[g]["n"] == len(x) and np.allclose([got[g]["p10"], got[g]["p50"], got[g]["p99"]], np.percentile(x, [10, 50, 99]), rtol=1e-12)
-    assert got["c"]["n"] == 0 and got["c"]["p50"] is None
-
-
 def test_similar_or_named_rows_go(spark):
     a = spark.createDataFrame([(1, [1.0, 0.0], "x"), (2, [0.0, 1.0], "an AIME problem"), (3, [0.0, 1.0], "y"), (4, [0.6, 0.8], None)], "id long, v array<double>, text string")
     b = spark.createDataFrame([(9, [2.0, 0.1])], "id long, v array<double>")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajlake.functions.core import ratio
+from trajlake.operators import selection
 from trajlake.operators.order import pinned
 
 
@@ -63,41 +64,12 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
     return out.limit(top) if top else out
 
 
-CELLS, FEW = 4096, 1 << 20
-
-
-def _ranked_values(values: DataFrame, ranks: DataFrame) -> DataFrame:
-    """(_k, _r, _v): the value at each wanted rank (from 0) of each key, from values (_k, _v) and ranks (_k, _r, _lo, _hi), where _lo
-    and _hi are the key's least and greatest value.
-
-    Values are counted in CELLS equal cells between the two, which tells the cell of a rank; a cell with over FEW values is
-    divided again. What is left of a key is sorted, which is never more than FEW values or one value's copies.
-    """
-    cell = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(CELLS - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS))).otherwise(0).alias("_c")
-    state = ranks.select("_k", "_r", "_lo", "_hi", F.lit(0).cast("long").alias("_below"), F.lit(None).cast("long").alias("_n"))
-    edges, first = ranks.select("_k", "_lo", "_hi").distinct(), True
-    while True:
-        inside = (F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))
-        on = ["_k"] if first else ["_k", "_r"]
-        asked = edges if first else state.filter(F.coalesce(F.col("_n"), F.lit(FEW + 1)) > FEW).filter("_lo < _hi").select("_k", "_r", "_lo", "_hi")
-        cells = values.join(asked, "_k").filter(inside).groupBy(*on, cell).agg(F.count("*").alias("_in"), F.min("_v").alias("_a"), F.max("_v").alias("_z"))
-        ahead = F.sum("_in").over(Window.partitionBy(*on).orderBy("_c")) - F.col("_in")
-        cells = cells.withColumn("_ahead", ahead).drop("_c")
-        found = state.join(cells, on).filter((F.col("_r") >= F.col("_below") + F.col("_ahead")) & (F.col("_r") < F.col("_below") + F.col("_ahead") + F.col("_in")))
-        found = found.select("_k", "_r", F.col("_a").alias("_lo"), F.col("_z").alias("_hi"), (F.col("_below") + F.col("_ahead")).alias("_below"), F.col("_in").alias("_n"))
-        state = pinned(found if first else found.unionByName(state.join(found, ["_k", "_r"], "left_anti")))
-        first = False
-        if state.filter((F.col("_n") > FEW) & (F.col("_lo") < F.col("_hi"))).isEmpty():
-            break
-    rest = values.join(state, "_k").filter(inside).groupBy("_k", "_r", "_below", "_v").agg(F.count("*").alias("_in"))
-    ahead = F.col("_below") + F.sum("_in").over(Window.partitionBy("_k", "_r").orderBy("_v")) - F.col("_in")
-    return rest.withColumn("_ahead", ahead).filter((F.col("_r") >= F.col("_ahead")) & (F.col("_r") < F.col("_ahead") + F.col("_in"))).select("_k", "_r", "_v")
-
-
 def describe(df: DataFrame, columns: list[str], percentiles: tuple[float, ...] = (0.25, 0.5, 0.75), by: list[str] | None = None) -> DataFrame:
     """One row for each column (and group): n, mean, sample deviation, min, exact percentiles by linear interpolation, max.
 
-    Nulls and NaN don't count. Percentiles are found by rank (_ranked_values), so that no task holds all of a column's values.
+    Nulls and NaN don't count; a column without a value has n 0 and nulls. Infinite values count as such: a percentile
+    between -inf and inf is NaN. -0.0 is 0.0. Percentiles are found by rank
+    (selection.values_at_ranks), so that no task holds a column's values.
     """
     by = by or []
     num = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns}
@@ -110,10 +82,11 @@ def describe(df: DataFrame, columns: list[str], percentiles: tuple[float, ...] =
     values = values.select((F.struct(*by, "_column") if by else F.col("_column")).alias("_k"), "_v")
     at = [F.lit(p) * (F.col("n") - 1) for p in percentiles]
     wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor(x), F.ceil(x)) for x in at])))
-    ranks = told.filter("n > 0").select("_k", F.explode(wanted).alias("_r"), F.col("min").alias("_lo"), F.col("max").alias("_hi"))
-    found = _ranked_values(values, ranks).join(told.select("_k", "n"), "_k")
+    few = 2 * len(percentiles) * (told.count() if by else len(columns)) <= selection.BROADCAST_RANKS
+    found = selection.values_at_ranks(values, told.filter("n > 0").select("_k", F.explode(wanted).alias("_r")), few)
+    found = found.join(told.select("_k", "n"), "_k")
     ends = [F.max(F.when(F.col("_r") == f(x), F.col("_v"))).alias(f"_{name}{i}") for i, x in enumerate(at) for name, f in (("a", F.floor), ("b", F.ceil))]
-    found = found.groupBy("_k", "n").agg(*ends).select("_k", *[(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (x - F.floor(x))).alias(f"p{round(p * 100)}") for i, (p, x) in enumerate(zip(percentiles, at))])
+    found = found.groupBy("_k", "n").agg(*ends).select("_k", *[selection.between(F.col(f"_a{i}"), F.col(f"_b{i}"), x - F.floor(x)).alias(f"p{round(p * 100)}") for i, (p, x) in enumerate(zip(percentiles, at))])
     return told.join(found, "_k", "left").select(*by, "column", "n", "mean", "std", "min", *[f"p{round(p * 100)}" for p in percentiles], "max")
 
 
