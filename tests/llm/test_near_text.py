@@ -94,8 +94,8 @@ def test_large_canopies_part_by_part(spark, monkeypatch):
             new[rng.randrange(200)] = f"x{rng.randint(0, 9000)}"
         docs.append((i, " ".join(new)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    sets = near_text.written(near_text.shingle_sets(df), "sets")
-    nodes = sets.select("node", "n", "t", near_text.first_word(F.col("w")).alias("a"), F.lit(1).cast("long").alias("root"))
+    sets = near_text.written(near_text.numbered(near_text.shingle_sets(df), None), "sets")
+    nodes = sets.select("node", "base", "more", "n", "t", near_text.first_word(F.col("w")).alias("a"), F.lit(1).cast("long").alias("root"))
     members = near_text.written(nodes.crossJoin(nodes.groupBy().agg(near_text._parts().alias("parts"))), "members")
     used = near_text.written(near_text.sets_of(df, members), "used")
     links = near_text._links_in(members, used, 80)

@@ -32,27 +32,27 @@ def letters(text: bytes) -> bytes:
     return OTHER.sub(" ", t).encode()
 
 
-def dictionaries(docs: DataFrame, keep: Column, texts: int = 128, usual_bytes: int = 1 << 15, content_bytes: int = 1 << 20) -> dict[str, bytes]:
+def dictionaries(docs: DataFrame, keep: Column, texts: int = 128, usual_bytes: int = 1 << 15, content_bytes: int = 1 << 20, languages: int = 128, total_bytes: int = 32 << 20) -> dict[str, bytes]:
     """Raw dictionary content for each language: whole texts of a sample of at most `texts` of its documents.
 
     keep: condition on doc_id that lets a row be learned from; rows with a null doc_id, lang or text are never learned from.
     A hash of doc_id deals a language's documents to `texts` classes, and of each class the document with the least hash is
     taken, one of at most usual_bytes if there is any. That is a minimum that tasks work out beforehand, so a language
     that holds most rows sends no more than the others, and a repeated id counts once: of its rows the one with the
-    least hash of its text is taken. Texts are added whole in the order of their hashes as long as content_bytes is not
-    exceeded; the first always is. Languages stand in the order of their number of rows, then by name.
+    least hash of its text is taken. Texts are added whole in the order of their hashes as long as content_bytes, or the
+    language's share of total_bytes, is not exceeded; the first always is. Only the `languages` with most rows, then by name,
+    are learned, so that what goes through the driver is bounded however many values lang has. They stand in that order.
     """
     h = F.xxhash64(F.col("doc_id").cast("long"))
     over = F.when(F.octet_length("text") > usual_bytes, F.lit(1 << 62)).otherwise(F.lit(0).cast("long"))
     known = docs.filter(keep & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    known = known.select("lang", "text", F.pmod(h, F.lit(texts)).alias("k"), (F.shiftrightunsigned(h, 2) + over).alias("h"))
-    least = known.groupBy("lang", "k").agg(F.min("h").alias("h"), F.count("*").alias("n")).collect()
-    rows: dict[str, int] = {}
-    for r in least:
-        rows[r["lang"]] = rows.get(r["lang"], 0) + r["n"]
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    content_bytes = min(content_bytes, total_bytes // max(1, len(most)))
+    known = known.filter(F.col("lang").isin([r["lang"] for r in most])).select("lang", "text", F.pmod(h, F.lit(texts)).alias("k"), (F.shiftrightunsigned(h, 2) + over).alias("h"))
+    least = known.groupBy("lang", "k").agg(F.min("h").alias("h")).collect()
     chosen = docs.sparkSession.createDataFrame([(r["lang"], r["h"]) for r in least], "lang string, h long")
     got = known.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.struct(F.xxhash64("text").alias("x"), "text")).alias("row"))
-    out: dict[str, bytes] = {x: b"" for x in sorted(rows, key=lambda x: (-rows[x], x))}
+    out: dict[str, bytes] = {r["lang"]: b"" for r in most}
     for r in sorted(got.select("lang", "h", utf8(F.col("row.text")).alias("t")).collect(), key=lambda r: (r["lang"], r["h"])):
         more = letters(bytes(r["t"])) + b" "
         if not out[r["lang"]].strip() or len(out[r["lang"]]) + len(more) <= content_bytes:

@@ -29,7 +29,7 @@ TABLES = np.arange(1, PIECES * len(MASKS) + 1, dtype=np.uint64).reshape(PIECES,
 CANOPY = 34  # of 128 bits: a pair at 0.8 differs in 19 on average and in more than this once in 5,000
 SHIFTS = 8  # runs up to this length are compared by shifts of the whole batch
 PART_HASHES, PART_SETS = 1 << 15, 128  # of texts compared in one place
-BITS, BITMAP = 1 << 25, 4096  # bits in all, bytes of one of Spark's bitmaps
+BITS, MOST_BITS, BITMAP = 1 << 25, 1 << 31, 4096  # least and greatest size of a bitmap (4 and 256 MB), bytes of one of Spark's bitmaps
 
 
 def shingles(text: bytes, shingle: int = 5) -> np.ndarray:
@@ -44,6 +44,11 @@ def node_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 7)).view(np.int64))
 
 
+def more_of(hashes: np.ndarray) -> int:
+    """Another one: sets are known by both, 128 bits."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), 11)).view(np.int64))
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -61,20 +66,34 @@ def wide_simhash(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, t, node, n, w): t is a hash of the text, node one of its whole set, so that copies share it; n its size."""
+    """(doc_id, t, t2, base, more, n, w): t and t2 are hashes of the text, base and more of its whole set, so that copies share them; n
+    its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, n, w = [], [], []
-            for t in b.column(2).to_pylist():
+            base, more, n, w = [], [], [], []
+            for t in b.column(3).to_pylist():
                 s = shingles(t, shingle)
-                node.append(node_of(s))
+                base.append(node_of(s))
+                more.append(more_of(s))
                 n.append(len(s))
                 w.append(wide_simhash(s).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(w, pa.binary())], ["doc_id", "t", "node", "n", "w"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(base, pa.int64()), pa.array(more, pa.int64()), pa.array(n, pa.int64()), pa.array(w, pa.binary())], ["doc_id", "t", "t2", "base", "more", "n", "w"])
 
     text = utf8(F.col("text"))
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("t"), text.alias("b")).mapInArrow(run, "doc_id long, t long, node long, n long, w binary")
+    return docs.select(F.col("doc_id").cast("long"), *text_hashes(F.col("text")), text.alias("b")).mapInArrow(run, "doc_id long, t long, t2 long, base long, more long, n long, w binary")
+
+
+def text_hashes(text: F.Column) -> tuple[F.Column, F.Column]:
+    """128 bits that a text is known by, t and t2; null is the empty text."""
+    return F.xxhash64(utf8(text)).alias("t"), F.xxhash64(utf8(text), F.lit(1)).alias("t2")
+
+
+def numbered(sets: DataFrame, clash: DataFrame | None) -> DataFrame:
+    """sets with node, a number of each (base, more): base, or where different sets share it a hash of both."""
+    if clash is None:
+        return sets.withColumn("node", F.col("base"))
+    return sets.join(clash.withColumn("_clash", F.lit(True)), "base", "left").withColumn("node", F.when(F.col("_clash"), F.xxhash64("base", "more")).otherwise(F.col("base"))).drop("_clash")
 
 
 def first_word(w) -> F.Column:
@@ -149,21 +168,27 @@ def canopy_links(nodes: DataFrame, most: int = CANOPY) -> DataFrame:
 
 
 def bits_of(hashes: DataFrame, name: str):
-    """A broadcast bitmap of 4 MB in which the column's hashes have set their bits: a hash without its bit isn't among them."""
-    at = F.pmod(F.col(name), F.lit(BITS)) + 1
+    """A broadcast bitmap in which the column's hashes have set their bits: a hash without its bit isn't among them.
+
+    It has some sixteen bits for each hash, BITS at least and MOST_BITS at most; beyond that more hashes pass by chance.
+    """
+    size = min(MOST_BITS, max(BITS, 1 << (16 * hashes.count()).bit_length()))
+    at = F.pmod(F.col(name), F.lit(size).cast("long")) + 1
     bits = hashes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m"))
-    maps = dict(bits.toLocalIterator())
-    whole = b"".join(bytes(maps.get(k + 1, b"")).ljust(BITMAP, b"\0") for k in range(BITS // BITMAP // 8))
-    return hashes.sparkSession.sparkContext.broadcast(whole)
+    whole = bytearray(size // 8)
+    for k, m in bits.toLocalIterator():
+        whole[(k - 1) * BITMAP : (k - 1) * BITMAP + len(m)] = m
+    return hashes.sparkSession.sparkContext.broadcast(bytes(whole))
 
 
 def in_bits(bits, hashes: pa.Array) -> np.ndarray:
-    there, i = np.frombuffer(bits.value, dtype=np.uint8), hashes.to_numpy() % BITS
+    there = np.frombuffer(bits.value, dtype=np.uint8)
+    i = hashes.to_numpy() % (8 * len(there))
     return (there[i >> 3] >> (i & 7) & 1).astype(bool)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = 5) -> DataFrame:
-    """(node, hashes) of the wanted (node, t), one row per node, made again from the texts.
+    """(node, hashes) of the wanted (node, base, more, t), one row per node, made again from the texts.
 
     A bitmap tells which texts are surely not wanted, so that they are neither split nor shuffled; what it lets through
     by chance falls out in the join.
@@ -175,11 +200,11 @@ def sets_of(docs: DataFrame, wanted: DataFrame, shingle: int = 5) -> DataFrame:
             some = b.column(1).filter(pa.array(in_bits(sent, b.column(0))))
             seen: dict[bytes, None] = dict.fromkeys(some.to_pylist())  # of copies in a batch one
             sets = [shingles(t, shingle) for t in seen]
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(node_of, sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(node_of, sets)), pa.int64()), pa.array(list(map(more_of, sets)), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["base", "more", "hashes"])
 
     text = utf8(F.col("text"))
-    found = docs.select(F.xxhash64(text).alias("t"), text.alias("b")).mapInArrow(run, "node long, hashes binary")
-    return found.groupBy("node").agg(F.first("hashes").alias("hashes")).join(wanted.select("node"), "node", "left_semi")
+    found = docs.select(F.xxhash64(text).alias("t"), text.alias("b")).mapInArrow(run, "base long, more long, hashes binary")
+    return found.groupBy("base", "more").agg(F.first("hashes").alias("hashes")).join(wanted.select("base", "more", "node"), ["base", "more"]).select("node", "hashes")
 
 
 def common_counts(sets: list[np.ndarray]) -> np.ndarray:
@@ -301,47 +326,54 @@ def _links_in(members: DataFrame, used: DataFrame, percent: int) -> DataFrame:
 
 
 def near_texts(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """One row per document: doc_id, component_id (the least doc_id that links of similar enough texts reach), t (a hash of
+    """One row per document: doc_id, component_id (the least doc_id that links of similar enough texts reach), t and t2 (hashes of
     the text) and klass (a number of the class).
 
     Copies share one node before any bucket is made. Null and empty texts are one node. Repeated rows each count. A null
     doc_id gets the least other id of its class, or null. An empty table gives an empty result; other columns aren't read.
     """
     sets = written(shingle_sets(docs, shingle), "sets")
-    nodes = sets.groupBy("node").agg(F.first("n").alias("n"), F.first("w").alias("w"), F.min("t").alias("t"), F.min("doc_id").alias("rep"))
+    nodes = sets.groupBy("base", "more").agg(F.first("n").alias("n"), F.first("w").alias("w"), F.min("t").alias("t"), F.min("doc_id").alias("rep"))
     nodes = written(nodes.withColumn("a", first_word(F.col("w"))), "nodes")
+    clash = nodes.groupBy("base").agg(F.count("*").alias("k")).filter("k > 1").select("base")
+    clash = None if clash.isEmpty() else written(clash, "clash")
+    nodes, sets = numbered(nodes, clash), numbered(sets, clash)
     canopy = written(connected_components(written(canopy_links(nodes), "canopies")), "canopy").withColumnsRenamed({"node": "a"})
-    near = nodes.select("node", "n", "t", "a").join(canopy, "a", "left").withColumn("root", F.coalesce("root", "a"))
+    near = nodes.select("node", "base", "more", "n", "t", "a").join(canopy, "a", "left").withColumn("root", F.coalesce("root", "a"))
     sizes = near.groupBy("root").agg(F.count("*").alias("k"), _parts().alias("parts")).filter("k > 1").select("root", "parts")
     members = written(spread_join(written(near, "near"), sizes, "root"), "members")
-    used = written(sets_of(docs, members.select("node", "t"), shingle), "used")
-    star = written(connected_components(_links_in(members, used, percent)), "star")
+    used = written(sets_of(docs, members.select("node", "base", "more", "t"), shingle), "used")
+    star = written(connected_components(_links_in(members.drop("base", "more"), used, percent)), "star")
     rep = nodes.select("node", "rep")
     linked = written(rep.join(star, "node"), "linked")
     least = linked.groupBy("root").agg(F.min("rep").alias("least"))
     known = spread_join(linked, least, "root").select("node", "least", F.col("root").alias("klass"))
     known = rep.join(known, "node", "left").select("node", F.when(F.col("klass").isNotNull(), F.col("least")).otherwise(F.col("rep")).alias("component_id"), F.coalesce("klass", "node").alias("klass"))
-    return spread_join(sets.select("doc_id", "node", "t"), written(known, "known"), "node").select("doc_id", "component_id", "t", "klass")
+    return spread_join(sets.select("doc_id", "node", "t", "t2"), written(known, "known"), "node").select("doc_id", "component_id", "t", "t2", "klass")
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
-    """The rows of docs with one of each class of near_texts: the least doc_id, an id before none, then the least text hash.
+    """The rows of docs with one of each class of near_texts: the least doc_id, an id before none, then the least text hashes.
 
-    Of repeated rows one stays. Rows are known by id and text hash, so that rows without an id are judged too.
+    Of repeated rows (equal ids and texts) one stays, whatever their other columns are. Rows are known by id and 128 bits of
+    the text, so that rows without an id are judged too. Columns of any name and type pass.
     """
     with scratch(docs.sparkSession) as kept:
         found = written(near_texts(docs, percent, shingle), "found")
         kept.append(found)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t", "t2")
     best = found.groupBy("klass").agg(F.min(order).alias("best"))
     judged = spread_join(found, written(best, "best"), "klass")
-    here = (F.col("doc_id").eqNullSafe(F.col("best.doc_id"))) & (F.col("t") == F.col("best.t"))
-    lost = judged.filter(~here).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t")).distinct()
-    again = judged.filter(here).groupBy("doc_id", "t").agg(F.count("*").alias("k")).filter("k > 1").select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"))
+    here = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("t") == F.col("best.t")) & (F.col("t2") == F.col("best.t2"))
+    # names of their own, longer than any of the table's
+    d, t, t2, one = ("_" * (1 + max(map(len, docs.columns))) + x for x in ("d", "t", "t2", "one"))
+    named = {"doc_id": d, "t": t, "t2": t2}
+    lost = written(judged.filter(~here).select(*named).distinct().withColumnsRenamed(named), "lost")
+    again = judged.filter(here).groupBy(*named).agg(F.count("*").alias("k")).filter("k > 1").select(*named).withColumnsRenamed(named)
     again = written(again, "again")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.xxhash64(utf8(F.col("text"))) == F.col("_t"))
-    lost = written(lost, "lost")
-    sent, schema = bits_of(lost, "_t"), docs.schema
+    mine = text_hashes(F.col("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(d)) & (mine[0] == F.col(t)) & (mine[1] == F.col(t2))
+    sent, schema = bits_of(lost, t), docs.schema
 
     def part(inside: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -349,12 +381,13 @@ def one_of_each(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFra
                 here = in_bits(sent, b.column(b.num_columns - 1))
                 yield b.select(list(range(b.num_columns - 1))).filter(pa.array(here == inside))
 
-        return docs.select("*", F.xxhash64(utf8(F.col("text"))).alias("_t_")).mapInArrow(run, schema)
+        return docs.select("*", mine[0].alias(t)).mapInArrow(run, schema)
 
     # texts whose bit isn't set are surely kept; only the others meet the list, so that few texts are shuffled
     kept = part(False).unionByName(part(True).join(lost.hint("merge"), same, "left_anti"))
     if again.isEmpty():
         return kept
-    repeated = kept.join(again, same, "left_semi").groupBy(F.col("doc_id").cast("long").alias("_d"), F.xxhash64(utf8(F.col("text"))).alias("_t"))
-    one = repeated.agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])).alias("_one")).select("_one.*")
-    return kept.join(again, same, "left_anti").unionByName(one)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = kept.join(again, same, "left_semi").groupBy(F.col("doc_id").cast("long").alias(d), mine[0].alias(t), mine[1].alias(t2))
+    single = repeated.agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(one)).select(f"{one}.*")
+    return kept.join(again, same, "left_anti").unionByName(single)
