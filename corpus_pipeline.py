@@ -25,13 +25,18 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of texts linked by at least 80 % of common five-word shingles the document with the least id.
 
-    Rows without an id are judged too and give way to rows with one; of repeated rows one stays.
+    Rows without an id are judged too and give way to rows with one; of repeated rows (equal ids and texts) one stays. All
+    columns are kept as they are, whatever their names and types.
     """
     return one_of_each(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the long passages that earlier ones have; what is emptied goes; n_chars is counted anew."""
+    """Documents without the long passages that earlier ones have; what is emptied goes; n_chars is counted anew.
+
+    A null text is empty and stays as an empty one; rows with equal ids don't remove from each other, rows without an id neither
+    remove nor lose. Other columns are kept as they are.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     names = {c: f"_r{i}" for i, c in enumerate(others)}  # names of their own, whatever the table's are
     out = suffix_dedup(docs.select("doc_id", "text", *[F.col(c).alias(n) for c, n in names.items()]), rest=tuple(names.values()), texts=True)
@@ -46,14 +51,20 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says, with rate and copy (from 1).
+    """Each document as often as its rate says, with rate and copy (from 1); a table with columns of these names gets _rate and _copy.
 
     Targets follow from what the stages before have kept: a domain's tokens times its factor, scaled to the size of the
-    corpus. No rate exceeds mixing.BOUND; a rate below one is the chance to stay, by a hash of the id.
+    corpus. No rate exceeds mixing.BOUND; a rate below one is the chance to stay, by a hash of the id, so that rows with equal ids
+    go or stay alike. All columns of the table are kept as they are.
     """
-    docs = docs.drop("rate", "copy")
-    out = mixed(docs, table(spark, sf_dir, "labels"), FACTORS, relative=True).filter("copies > 0")
-    return out.select(*[c for c in docs.columns if c in out.columns], "rate", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    others = {c: f"_m{i}" for i, c in enumerate(c for c in docs.columns if c not in ("doc_id", "text"))}  # names of their own, whatever the table's are
+    out = mixed(docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in others.items()]), table(spark, sf_dir, "labels"), FACTORS, relative=True).filter("copies > 0")
+    new = []
+    for name in ("rate", "copy"):
+        while name in docs.columns:
+            name = "_" + name
+        new.append(name)
+    return out.select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns], F.col("rate").alias(new[0]), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(new[1]))
 
 
 STAGES = [
