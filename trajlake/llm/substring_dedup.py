@@ -31,13 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import small_batches, table, written
+from trajlake.llm.common import from_planes, planes, small_batches, squeezed, table, unsqueezed, written
 from trajlake.llm.suffix_dedup import NO_DOC, _block_table, _by_bucket, _give_back, _grouped, spans
 
 GRAM = 6
 GROUPS = 1 << 14  # a prefix with a greater share of all suffixes than 1 / GROUPS is made longer
 LONG = 1024
-SOME = 16384  # suffixes of a batch that is sent
+SOME = 16384  # suffixes that are handled at once
 BASE = 0x9E3779B97F4A7C15
 UNDONE = pow(BASE, -1, 1 << 64)
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -278,7 +278,7 @@ def _candidates(x: Words, told: dict[int, bytes], shared: dict[int, bytes], leng
 def _ask_suffixes(length: int, bits: int, tasks: int, frequent: np.ndarray):
     """The suffixes of candidate windows, with the task that their prefix goes to, the block's least id and their place in the block.
 
-    They are sent in their order, so that neighbours are alike and compress.
+    A message holds those of one task in their order, so that neighbours are alike and compress.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,15 +286,40 @@ def _ask_suffixes(length: int, bits: int, tasks: int, frequent: np.ndarray):
             block = b.column(0)[i].as_py()
             _, _, one, _, least = _candidates(x, dict(b.column(4)[i].as_py() or ()), dict(b.column(5)[i].as_py() or ()), length, bits)
             task = (x.prefixes(one, length, frequent) % np.uint64(tasks)).astype(np.int32)
-            suffix = np.array(x.bytes_of(one, length), dtype=object)
+            suffix = np.array([*x.bytes_of(one, length), None], dtype=object)[:-1]
             order = np.argsort(suffix)
-            for a in range(0, len(one), SOME):
-                some = order[a : a + SOME]
-                yield pa.RecordBatch.from_arrays([pa.array(task[some]), pa.array(suffix[some], pa.binary()), pa.array(least[some]), pa.array([block] * len(some), pa.int64()), pa.array(some.astype(np.int32))], ["task", "suffix", "least", "block", "at"])
+            order = order[np.argsort(task[order], kind="stable")]
+            cut = [0, *(np.flatnonzero(np.diff(task[order])) + 1), len(order)]
+            parts = [order[p:q] for p, q in zip(cut, cut[1:]) if q > p]
+            data = [_packed(suffix[p], least[p], p) for p in parts]
+            yield pa.RecordBatch.from_arrays([pa.array([task[p[0]] for p in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([len(p) for p in parts], pa.int32()), pa.array(data, pa.binary())], ["task", "block", "n", "data"])
 
     return run
 
 
+def _packed(suffix: np.ndarray, least: np.ndarray, at: np.ndarray) -> bytes:
+    size = np.fromiter(map(len, suffix), np.int64, len(suffix))
+    return squeezed(planes(size, least, at) + b"".join(suffix))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes of messages (block, n, data), a row each."""
+    held, n = [], 0
+    for b in batches:
+        for block, k, data in zip(*(b.column(c).to_pylist() for c in range(3))):
+            data = unsqueezed(data)
+            size, least, at = from_planes(data[: 24 * k], k)
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            suffix = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data[24 * k :])])
+            held.append(pa.RecordBatch.from_arrays([suffix, pa.array(least), pa.array(np.full(k, block)), pa.array(at.astype(np.int32))], ["suffix", "least", "block", "at"]))
+            n += k
+            if n > SOME:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _deep_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From suffixes in order, and by least id among equal ones: what each block has to know of the nodes of full depth.
 
@@ -395,9 +420,9 @@ def substring_dedup(docs: DataFrame, length: int = 13, block_bytes: int = 2 << 2
     shared = written(_by_block(_by_bucket(asked, buckets).mapInArrow(_answer_anchors, MESSAGE)).withColumnRenamed("told", "shared"), "anchors")
     known = known.join(shared.hint("shuffle_hash"), "block", "left")
 
-    suffixes = known.select(*body, "told", "shared").mapInArrow(_ask_suffixes(length, bits, tasks, frequent), "task int, suffix binary, least long, block long, at int")
+    suffixes = known.select(*body, "told", "shared").mapInArrow(_ask_suffixes(length, bits, tasks, frequent), "task int, block long, n int, data binary")
     dealt = suffixes.repartitionById(tasks, "task") if hasattr(suffixes, "repartitionById") else suffixes.repartition(tasks, "task")
-    tree = dealt.select("suffix", "least", "block", "at").sortWithinPartitions("suffix", "least")
+    tree = dealt.select("block", "n", "data").mapInArrow(_unpacked, "suffix binary, least long, block long, at int").sortWithinPartitions("suffix", "least")
     least = tree.mapInArrow(_deep_nodes, "block long, data binary").groupBy("block").agg(F.collect_list("data").alias("least"))
     final = known.join(least.hint("shuffle_hash"), "block", "left")
 
