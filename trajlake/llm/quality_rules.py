@@ -28,6 +28,7 @@ WORD_REFERENCE = {
     "es": {"de": 0.055, "la": 0.035, "que": 0.028, "el": 0.028, "en": 0.026, "y": 0.025, "a": 0.020, "los": 0.016, "se": 0.012, "del": 0.012},
 }
 COMMON = sorted({w for row in WORD_REFERENCE.values() for w in row})  # a bin for each of all languages' words; the last bin is for all else
+LONGEST = max(map(len, COMMON))
 WORD_SHARES = {k: [*(row.get(w, 0.0) for w in COMMON), 1 - sum(row.values())] for k, row in WORD_REFERENCE.items()}
 # Word distances over which a text is rejected. Below that of a text without any common word, above that of prose.
 MAX_WORD_DISTANCE = {"en": 0.32, "de": 0.292, "fr": 0.275, "es": 0.318}
@@ -110,7 +111,8 @@ def quality(text: Column, lang: Column, min_words: int = 50, max_repeat_percent:
     def counts(x: Column) -> Column:
         t, w, rest = x["t"], x["w"], x["rest"]
         lines = let(F.filter(F.split(t, "\n"), lambda v: v.rlike(r"[^\x20\x09-\x0D]")), lambda v: F.size(v) - F.size(F.array_distinct(v)))
-        hits = F.filter(F.transform(w, lambda v: F.array_position(x["common"], F.lower(v)).cast("int")), lambda r: r > 0)
+        short = F.filter(w, lambda v: F.char_length(v) <= LONGEST)  # lower case never has fewer characters, so no common word is passed by
+        hits = F.filter(F.transform(short, lambda v: F.array_position(x["common"], F.lower(v)).cast("int")), lambda r: r > 0)
         places = F.array(*[F.lit(k) for k in range(1, len(COMMON) + 1)])
         bins = let(hits, lambda r: F.array_append(F.transform(places, lambda k: (F.size(r) - F.size(F.array_remove(r, k))).cast("double")), (F.size(w) - F.size(r)).cast("double")))
         return F.struct(
@@ -145,6 +147,10 @@ def judge(docs: DataFrame, text: str = "text", lang: str = "lang", **limits) ->
 
 
 def op5_quality_divergence(spark, sf_dir):
+    """doc_id, the base measures, base_failed, kept and both distances (six places) of every document.
+
+    A null or empty text has no words and fails; repeated rows and rows without an id are judged alike.
+    """
     from trajlake.llm.common import table
 
     out = judge(table(spark, sf_dir, "documents"))

@@ -157,6 +157,11 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4) -> DataF
 
 
 def op10_simhash_covering_lsh(spark, sf_dir):
+    """doc_id, fingerprint and component_id of every document, for four-word shingles and a radius of 4 bits.
+
+    A null text has fingerprint zero, as any text without words; repeated rows each have a row; a row without an id is in
+    its class but names none.
+    """
     from trajlake.llm.common import table
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
