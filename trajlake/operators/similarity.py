@@ -1,14 +1,18 @@
-"""Exact cosine similarity joins over embedding columns, in blocks of queries, and deduplication rules on top of them."""
+"""Exact cosine similarity joins over embedding columns, and deduplication rules on top of them.
+
+A stated set of queries goes in blocks against all rows (scores, top_k). All rows against all rows is a join by metric
+partitions (nearest_of_all): the angle between vectors is a metric, so bounds on the angles to a few pivots tell which
+pairs of blocks can hold a pair over the cutoff at all.
+"""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,14 +26,26 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(norm == 0, 1.0, norm)
 
 
+def _vectors(df: DataFrame, id_: str, vec: str) -> DataFrame:
+    """(id, v) of the rows that can be compared: with an id and a vector of finite entries of the usual width.
+
+    That is the number of entries that most vectors have, of equally many the least; vectors of another width match nothing.
+    """
+    v = F.col(vec).cast("array<double>")
+    finite = F.forall(v, lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False)))  # NaN is greater than inf here
+    rows = df.filter(F.col(id_).isNotNull() & (F.size(v) > 0) & finite).select(F.col(id_).cast("long").alias("id"), v.alias("v"))
+    width = rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").first()
+    return rows.filter(F.size("v") == width[0]) if width else rows
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def _blocks(queries: DataFrame, id_: str, vec: str, block_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The queries (id, unit vectors) in blocks of at most block_rows rows, one on the driver at a time."""
+def _blocks(queries: DataFrame, block_rows: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (id, v) as (ids, unit vectors) in blocks of at most block_rows rows, one on the driver at a time."""
     ids, vecs = [], []
-    for r in queries.select(F.col(id_).cast("long"), F.col(vec).cast("array<double>")).filter(F.col(vec).isNotNull() & F.col(id_).isNotNull()).toLocalIterator():
+    for r in queries.toLocalIterator():
         ids.append(r[0])
         vecs.append(r[1])
         if len(ids) == block_rows:
@@ -43,14 +59,16 @@ def scores(queries: DataFrame, index: DataFrame, id_: str, vec: str, k: int | No
     """(query_id, index_id, score): cosine of pairs, only those over the cutoff, or the best k of each query in each batch.
 
     The queries are a stated set that goes against all rows of the index in blocks of bounded size; the index is never
-    collected or shuffled. Zero vectors score 0; null ids and vectors match nothing.
+    collected or shuffled. If there is more than one block, each block's hits are written to the shared folder before the
+    next one is read, so that the driver holds one block however many there are. Zero vectors score 0; rows without an id, or
+    whose vector is null, of another width than the index's usual one or not finite, match nothing.
     """
-    rows, out = index.select(F.col(id_).cast("long"), F.col(vec).cast("array<double>")).filter(F.col(vec).isNotNull() & F.col(id_).isNotNull()), None
-    for ids, q in _blocks(queries, id_, vec, block_rows):
+    spark, rows = index.sparkSession, _vectors(index, id_, vec)
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, q=q) -> Iterator[pa.RecordBatch]:
+    def against(ids: np.ndarray, q: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                if not b.num_rows:
+                if not b.num_rows or len(b.column(1)[0]) != q.shape[1]:
                     continue
                 other = b.column(0).to_numpy()
                 s = q @ _unit(_matrix(b.column(1), q.shape[1])).T
@@ -63,9 +81,20 @@ def scores(queries: DataFrame, index: DataFrame, id_: str, vec: str, k: int | No
                     i, j = np.nonzero(s >= edge[:, None])  # ties at the edge are settled later, by id
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(other[j]), pa.array(s[i, j])], ["query_id", "index_id", "score"])
 
-        part = rows.mapInArrow(run, PAIR)
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else index.sparkSession.createDataFrame([], PAIR)
+        return rows.mapInArrow(run, PAIR)
+
+    first, path = None, None
+    for block in _blocks(_vectors(queries, id_, vec), block_rows):
+        if first is None:
+            first = block
+            continue
+        if path is None:
+            path = f"{pinned_folder(spark)}/hits-{uuid.uuid4().hex}"
+            against(*first).write.parquet(path)
+        against(*block).write.mode("append").parquet(path)
+    if first is None:
+        return spark.createDataFrame([], PAIR)
+    return against(*first) if path is None else spark.read.schema(PAIR).parquet(path)
 
 
 def top_k(queries: DataFrame, index: DataFrame, id_: str, vec: str, k: int, exclude_self: bool = False, block_rows: int = 4096) -> DataFrame:
@@ -103,47 +132,147 @@ def known_bad(a: DataFrame, bad: DataFrame, id_: str, vec: str, at_least: float
     return a.join(sure.select(F.col("index_id").alias(id_)).distinct(), id_, "left_anti")
 
 
-def nearest_of_all(df: DataFrame, id_: str, vec: str, k: int, block_rows: int = 2048) -> DataFrame:
-    """(query_id, index_id, score): the k nearest other rows of every row; of equal scores the smaller id first.
+PIVOTS = 256  # at most; they and their cells' sizes and radii are all that the driver sees
+
+
+@dataclass
+class Cells:
+    """Pivots (unit rows), and of each pivot's cell the number of rows, of blocks, and the greatest angle to the pivot."""
+
+    pivots: np.ndarray
+    rows: np.ndarray
+    blocks: np.ndarray
+    radius: np.ndarray
+
+    def reach(self, angles: np.ndarray, cell: np.ndarray, most: float) -> np.ndarray:
+        """For rows by their angles to all pivots: can a row of that cell be within the angle `most`?
+
+        For x in the cell of p and y in that of q with an angle of at most `most`, the triangle inequality gives (x, q) <= most +
+        (y, q) <= most + radius of q; and as q is y's nearest pivot, (y, q) <= (y, p) <= most + (x, p).
+        """
+        own = angles[np.arange(len(angles)), cell][:, None]
+        return (angles <= most + self.radius[None, :] + SLACK) & (angles <= own + 2 * most + SLACK)
 
-    A blocked matrix product over files: the vectors are written to the shared folder, and the task of a file holds blocks of
-    its rows against all files, one block at a time, with the best k so far. Nothing goes through the driver but file names.
+    def compared(self, most: float) -> float:
+        """The share of all pairs of rows that lie in pairs of cells which bounds on the cells alone can't tell apart."""
+        between = _angles(self.pivots, self.pivots)
+        near = between <= most + self.radius[:, None] + self.radius[None, :] + SLACK
+        return float((self.rows[:, None] * self.rows[None, :] * near).sum() / max(1, self.rows.sum() ** 2))
+
+
+SLACK = 1e-6  # far above what rounding does to an angle
+
+
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
+
+
+def cells_of(rows: DataFrame, block_rows: int) -> Cells | None:
+    """Cells of rows (id, v): a pivot for each block_rows rows, PIVOTS at most, taken by a hash of the vector; null of an empty table.
+
+    Equal vectors are one pivot. A zero vector is at a right angle to all and so in some cell.
     """
-    spark = df.sparkSession
-    path = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or pinned_folder(spark)}/vectors-{uuid.uuid4().hex}"
-    rows = df.select(F.col(id_).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("v")).filter("id is not null and v is not null")
-    rows.write.parquet(path)
-    files = sorted(spark.read.parquet(path).inputFiles()) if not rows.isEmpty() else []
-
-    def blocks(file: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        fs, at = pafs.FileSystem.from_uri(file)
-        with fs.open_input_file(at) as f:
-            for b in pq.ParquetFile(f).iter_batches(batch_size=block_rows, columns=["id", "v"]):
-                if b.num_rows:
-                    yield b.column(0).to_numpy(), _unit(b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1))
+    n = rows.count()
+    if not n:
+        return None
+    wanted = min(PIVOTS, max(1, round(n / block_rows)))
+    got = rows.groupBy(F.xxhash64("v").alias("h")).agg(F.min("v").alias("v")).orderBy("h").limit(wanted).collect()
+    pivots = _unit(np.array([r["v"] for r in got]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file in batch.column(0).to_pylist():
-                for ids, q in blocks(file):
-                    row, index, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
-                    for other in files:
-                        for others, v in blocks(other):
-                            s = np.round(q @ v.T, 9)
-                            s[ids[:, None] == others[None, :]] = -np.inf
-                            edge = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-                            i, j = np.nonzero((s >= edge[:, None]) & np.isfinite(s))  # ties at the edge are settled by id
-                            row, index, score = np.concatenate([row, i]), np.concatenate([index, others[j]]), np.concatenate([score, s[i, j]])
-                            order = np.lexsort((index, -score, row))
-                            row, index, score = row[order], index[order], score[order]
-                            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-                            row, index, score = row[keep], index[keep], score[keep]
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(index), pa.array(score)], ["query_id", "index_id", "score"])
-
-    if not files:
-        return spark.createDataFrame([], PAIR)
-    names = spark.createDataFrame([(f,) for f in files], "file string")
-    return names.repartition(len(files), "file").mapInArrow(run, PAIR)
+        for b in batches:
+            if b.num_rows:
+                angles = _angles(_unit(_matrix(b.column(1), pivots.shape[1])), pivots)
+                cell = angles.argmin(1)
+                far, count = np.zeros(len(pivots)), np.bincount(cell, minlength=len(pivots))
+                np.maximum.at(far, cell, angles[np.arange(len(cell)), cell])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(pivots))), pa.array(count), pa.array(far)], ["cell", "n", "far"])
+
+    told = rows.mapInArrow(run, "cell long, n long, far double").groupBy("cell").agg(F.sum("n").alias("n"), F.max("far").alias("far")).collect()
+    size, radius = np.zeros(len(pivots), np.int64), np.zeros(len(pivots))
+    for r in told:
+        size[r["cell"]], radius[r["cell"]] = r["n"], r["far"]
+    return Cells(pivots, size, np.maximum(1, -(-size // block_rows)), radius)
+
+
+def _best(row: np.ndarray, index: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k pairs of each row with the greatest scores, of equal ones those with the least index."""
+    order = np.lexsort((index, -score, row))
+    row, index, score = row[order], index[order], score[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], index[keep], score[keep]
+
+
+def nearest_of_all(df: DataFrame, id_: str, vec: str, k: int, block_rows: int = 2048, cutoff: float | None = None) -> DataFrame:
+    """(query_id, index_id, score): the k nearest other rows of every row, of those over the cutoff if there is one; of equal scores
+    (nine places) the smaller id first.
+
+    Exact. Rows belong to the cell of their nearest pivot, cells are dealt to blocks of some block_rows rows, and a row goes to each
+    pair of blocks that it can have a match in (Cells.reach). A task compares two blocks, whichever cell holds most rows.
+    Where vectors have no clusters, or without a cutoff, bounds tell little and all pairs of blocks are compared. Rows without an
+    id, or whose vector is null, not finite or of another width than most, have no neighbours; zero vectors score 0;
+    rows with equal ids are not each other's neighbours.
+    """
+    rows = _vectors(df, id_, vec)
+    cells = cells_of(rows, block_rows)
+    if cells is None:
+        return df.sparkSession.createDataFrame([], PAIR)
+    most = np.pi if cutoff is None else float(np.arccos(np.clip(cutoff, -1.0, 1.0)))
+    if cutoff is not None and cutoff < 0:
+        most = np.pi  # a zero vector's score of 0 is over it, whatever its angle
+    base = np.concatenate([[0], np.cumsum(cells.blocks)])
+    total = int(base[-1])
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for a in range(0, b.num_rows, 1024):
+                part = b.slice(a, 1024)
+                ids, v = part.column(0).to_numpy(), _unit(_matrix(part.column(1), cells.pivots.shape[1]))
+                angles = _angles(v, cells.pivots)
+                cell = angles.argmin(1)
+                mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                block = base[cell] + (mixed % cells.blocks[cell].astype(np.uint64)).astype(np.int64)
+                i, q = np.nonzero(cells.reach(angles, cell, most))
+                times = cells.blocks[q]
+                i, other = np.repeat(i, times), np.repeat(base[q], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                pair = np.minimum(block[i], other) * total + np.maximum(block[i], other)
+                packed = [x.tobytes() for x in v]
+                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(block[i]), pa.array(ids[i]), pa.array([packed[x] for x in i], pa.binary())], ["pair", "block", "id", "v"])
+
+    def met(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        block, ids = t.column("block").to_numpy(), t.column("id").to_numpy()
+        v = np.frombuffer(b"".join(t.column("v").to_pylist())).reshape(len(ids), -1)
+        sides = [np.flatnonzero(block == x) for x in np.unique(block)]
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if len(sides) == 2 or held[0].column(0)[0].as_py() % (total + 1) == 0:  # two blocks, or one with itself
+            for a, c in ((sides[0], sides[-1]), (sides[-1], sides[0]))[: len(sides)]:
+                s = np.round(v[a] @ v[c].T, 9)
+                ok = ids[a][:, None] != ids[c][None, :]
+                if cutoff is not None:
+                    ok &= s > cutoff
+                i, j = np.nonzero(ok)
+                found.append(_best(ids[a][i], ids[c][j], s[i, j], k))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["query_id", "index_id", "score"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = [], None
+        for b in batches:
+            keys = b.column(0).to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
+            for a, e in zip(cut, cut[1:]):
+                if e > a:
+                    if held and now != keys[a]:
+                        yield met(held)
+                        held = []
+                    now = keys[a]
+                    held.append(b.slice(a, e - a))
+        if held:
+            yield met(held)
+
+    pairs = rows.mapInArrow(sent, "pair long, block long, id long, v binary").repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, PAIR)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "index_id")
+    return pairs.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
 
 
 def greedy_dedupe(df: DataFrame, id_: str, vec: str, cutoff: float = 0.792, k: int = 5, block_rows: int = 2048, max_rounds: int = 100) -> DataFrame:
@@ -153,7 +282,7 @@ def greedy_dedupe(df: DataFrame, id_: str, vec: str, cutoff: float = 0.792, k: i
     Exact: a row is settled once all smaller rows that could drop it are. Rounds go over the edge table, which is
     checkpointed; their number is the longest chain of such rows, and no edge reaches the driver.
     """
-    edges = nearest_of_all(df, id_, vec, k - 1, block_rows).filter(F.col("score") > cutoff).select(F.col("query_id").alias("u"), F.col("index_id").alias("v"))
+    edges = nearest_of_all(df, id_, vec, k - 1, block_rows, cutoff).select(F.col("query_id").alias("u"), F.col("index_id").alias("v"))
     edges = pinned(edges)
     state = pinned(edges.select(F.col("u").alias("x")).union(edges.select("v")).distinct().withColumn("kept", F.lit(None).cast("boolean")))
     for _ in range(max_rounds):
