@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trajlake.functions import chat, garbled, text, udfs
-from trajlake.operators import filters, joins, metrics, rank, shape
+from trajlake.operators import filters, joins, metrics, rank, returns, shape
 from trajlake.plans.texts import LOG
 
 
@@ -61,7 +61,7 @@ def test_passes_and_metrics(spark):
     assert (r["precision"], r["f1"], r["mcc"], r["recall"]) == (0, 0, 0, 0)
     assert one(spark, (["3.0", "x", "error"],), metrics.difficulty(F.col("s")).alias("r"), ddl="s array<string>")["r"] == 3.0
     assert one(spark, (["x"],), metrics.difficulty(F.col("s")).alias("r"), ddl="s array<string>")["r"] is None
-    assert one(spark, ([0.0, 0.0, 1.0],), rank.mc_return(F.col("r"), 0.2).alias("g"), ddl="r array<double>")["g"] == pytest.approx([0.04, 0.2, 1.0])
+    assert one(spark, ([0.0, 0.0, 1.0],), returns.mc_return(F.col("r"), 0.2).alias("g"), ddl="r array<double>")["g"] == pytest.approx([0.04, 0.2, 1.0])
     ties = spark.createDataFrame([(1, i, s, 0) for i, s in enumerate((5, 4, 4, 3))], "g int, id int, s int, z int")
     w = rank.topk_ties_then_max(ties, "g", "s", 2, "id", "id").first()
     assert w["id"] == 2  # three rows count, the greatest id of them wins

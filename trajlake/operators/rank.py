@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,35 +109,6 @@ def running(df: DataFrame, flag: str, order: list[str], by: list[str] | None = N
     return out.withColumn("rate_so_far", F.col("solved_so_far") / F.col("n_so_far")).drop("_part", "_k", "_t", "_n0", "_s0")
 
 
-def mc_return(rewards: Column, gamma: float = 0.95) -> Column:
-    """array<double> of returns G_t = r_t + gamma * G_(t+1) of an array of rewards, in one walk from the end.
-
-    An Arrow function, as a fold that appends to an array copies it at each step. A null reward makes the returns up to it null.
-    """
-
-    @F.pandas_udf("array<double>")
-    def returns(rows: pd.Series) -> pd.Series:
-        def one(r):
-            if r is None:
-                return None
-            out, g = [], 0.0
-            for x in reversed(r.tolist()):
-                g = None if x is None or x != x or g is None else x + gamma * g
-                out.append(g)
-            return out[::-1]
-
-        return rows.map(one)
-
-    return returns(rewards.cast("array<double>"))
-
-
-def mc_return_rows(df: DataFrame, trajectory: str, order: list[str], reward: str, gamma: float = 0.95) -> DataFrame:
-    """One row per step with its place and return; a trajectory's steps are folded together."""
-    steps = df.groupBy(trajectory).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(reward).cast("double").alias("_r")))).alias("s"))
-    g = mc_return(F.transform("s", lambda x: x["_r"]), gamma)
-    return steps.select(trajectory, F.posexplode(g).alias("step", "mc_return"))
-
-
 def group_advantage(df: DataFrame, uid: str, reward: str, eps: float = 1e-6, scale: bool = True) -> DataFrame:
     """df with the group-relative advantage (r - mean) / (std + eps), by the published GRPO formula; scale=False leaves out the division."""
     w = Window.partitionBy(uid)

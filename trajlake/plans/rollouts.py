@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajlake.operators import metrics, rank
+from trajlake.operators import metrics, rank, returns
 from trajlake.operators.order import drop_to_multiple, global_index, page, round_robin_shards, row_slice
 from trajlake.plans.registry import Tables, query, rounded
 
@@ -307,7 +307,7 @@ ORDERED = f"{STEPS}, o AS (SELECT *, row_number() OVER (PARTITION BY rollout ORD
 
 @query("mc_return", f"""WITH {ORDERED} SELECT a.rollout, CAST(a.i AS INT) AS step, round(sum(b.reward * pow(0.2, b.i - a.i)), 6) AS mc_return FROM o a JOIN o b ON a.rollout = b.rollout AND b.i >= a.i GROUP BY a.rollout, a.i""")
 def mc_return(t):
-    return rounded(rank.mc_return_rows(steps(t), "rollout", STEP_ORDER[:-1], "reward", 0.2))
+    return rounded(returns.mc_return_rows(steps(t), "rollout", STEP_ORDER[:-1], "reward", 0.2))
 
 
 @query("group_advantage", f"""WITH {ROLLOUTS} SELECT rollout, task, round((reward - avg(reward) OVER p) / (coalesce(stddev_samp(reward) OVER p, 0) + 1e-6), 4) AS advantage FROM r WINDOW p AS (PARTITION BY task)""")
