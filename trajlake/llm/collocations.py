@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlake.llm.common import small_batches, spread_join, table, written
+from trajlake.llm.common import from_planes, planes, small_batches, spread_join, squeezed, table, unsqueezed, written
 from trajlake.llm.suffix_dedup import _block_table, _by_bucket, _give_back, _grouped, spans
 
 END = b"\xff"  # the end of a piece; no byte of UTF-8
@@ -55,10 +55,11 @@ class Coded:
             self.keys += [head + w for w in number]
         self.codes = np.concatenate(codes) if codes else np.empty(0, np.int64)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(order, hashes, counts) of the words, in the order of their hashes."""
+    def words(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, hashes, counts) of the words, by buckets and in the order of their keys in each."""
         h = np.array([xxhash.xxh64_intdigest(k) for k in self.keys], dtype=np.uint64)
-        order = np.argsort(h, kind="stable")
+        by_key = np.argsort(np.array([*self.keys, None], dtype=object)[:-1])
+        order = by_key[np.argsort(h[by_key] >> np.uint64(64 - bits), kind="stable")]
         return order, h[order], np.bincount(self.codes[self.codes >= 0], minlength=len(self.keys))[order]
 
 
@@ -101,23 +102,14 @@ class Pairs:
 
 
 def _names(told: bytes, n: int, bucket: int) -> np.ndarray:
-    """A bucket's answer: a bit for each asked pair, and the number of each frequent one inside the bucket."""
-    size = -(-n // 8)
+    """A bucket's answer: a bit for each asked pair, and by how much the number of each frequent one inside the bucket rises."""
+    told, size = unsqueezed(told), -(-n // 8)
     yes = np.unpackbits(np.frombuffer(told, np.uint8, count=size), count=n).astype(bool)
     out = np.full(n, -1, dtype=np.int64)
-    out[yes] = (bucket << 32) + np.frombuffer(told, "<u4", offset=size).astype(np.int64)
+    out[yes] = (bucket << 32) + np.cumsum(from_planes(told[size:], int(yes.sum()))[0]) if yes.any() else -1
     return out
 
 
-def _planes(*arrays: np.ndarray) -> bytes:
-    """Bytes of equal weight one behind the other, which compress well where numbers are small or sorted."""
-    return b"".join(np.ascontiguousarray(a.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes() for a in arrays)
-
-
-def _from_planes(data: bytes, n: int) -> list[np.ndarray]:
-    return [np.ascontiguousarray(p.T).view("<i8").ravel() for p in np.frombuffer(data, np.uint8).reshape(-1, 8, n)] if n else [np.empty(0, np.int64)] * 3
-
-
 def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, Coded]]:
     """Batches begin with block, lens, data, rest (lang of each document)."""
     for b in batches:
@@ -129,9 +121,9 @@ def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def _ask_words(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, i, x in _coded(batches):
-            order, h, n = x.words()
+            order, h, n = x.words(bits)
             parts = spans(h, bits)
-            data = [_planes(n[a:e]) + JOIN.join([x.keys[o] for o in order[a:e]]) for _, (a, e) in parts]
+            data = [squeezed(planes(n[a:e]) + JOIN.join([x.keys[o] for o in order[a:e]])) for _, (a, e) in parts]
             yield _asked(b.column(0)[i].as_py(), [(k, e - a) for k, (a, e) in parts], data)
 
     return run
@@ -148,9 +140,9 @@ def _answer_words(least: int):
         for t in _grouped(batches):
             _give_back()
             bucket, asked, place, counts = t.column(0)[0].as_py(), [], {}, []
-            for n, data in zip(t.column("n").to_pylist(), t.column("data").to_pylist()):
+            for n, data in zip(t.column("n").to_pylist(), map(unsqueezed, t.column("data").to_pylist())):
                 asked.append(np.array([place.setdefault(k, len(place)) for k in data[8 * n :].split(JOIN)], dtype=np.int64))
-                counts.append(_from_planes(data[: 8 * n], n)[0])
+                counts.append(from_planes(data[: 8 * n], n)[0])
             total = np.zeros(len(place), np.int64)
             np.add.at(total, np.concatenate(asked), np.concatenate(counts))
             keys = [k.split(END, 1) for k in place]
@@ -178,7 +170,7 @@ def _told(t: pa.Table, bucket: int, asked: list[np.ndarray], order: list[int], t
         some = order[a:e]
         yield _rows(NAME, e - a, id=(bucket << 32) + np.arange(a, e), left=left if left is None else left[some], right=right if right is None else right[some], lang=lang and lang[a:e], word=word and word[a:e], f=total[some])
     if answers:
-        data = [np.packbits(x >= 0).tobytes() + x[x >= 0].astype("<u4").tobytes() for x in (number[p] for p in asked)]
+        data = [squeezed(np.packbits(x >= 0).tobytes() + planes(np.diff(x[x >= 0], prepend=0))) for x in (number[p] for p in asked)]
         yield _rows(ANSWER, len(data), block=t.column("block").to_pylist(), bucket=[bucket] * len(data), data=data)
 
 
@@ -187,7 +179,7 @@ def _ask_pairs(level: int, bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, i, x in _coded(batches):
-            order, h, _ = x.words()
+            order, h, _ = x.words(bits)
             told, name = dict(b.column(4)[i].as_py() or ()), np.full(len(x.keys), -1, dtype=np.int64)
             for k, (a, e) in spans(h, bits):
                 name[order[a:e]] = _names(told[k], e - a, k)
@@ -196,7 +188,7 @@ def _ask_pairs(level: int, bits: int):
                 now = now.pairs().named(dict(b.column(3 + deeper)[i].as_py() or ()), bits)
             pairs = now.pairs()
             dealt = pairs.dealt(bits)
-            yield _asked(b.column(0)[i].as_py(), [(k, len(p)) for k, p in dealt], [_planes(pairs.left[p], pairs.right[p], pairs.n[p]) for _, p in dealt])
+            yield _asked(b.column(0)[i].as_py(), [(k, len(p)) for k, p in dealt], [squeezed(planes(np.diff(pairs.left[p], prepend=0), pairs.right[p], pairs.n[p])) for _, p in dealt])
 
     return run
 
@@ -206,7 +198,8 @@ def _answer_pairs(least: int, answers: bool):
         for t in _grouped(batches):
             _give_back()
             size = t.column("n").to_numpy()
-            left, right, n = (np.concatenate(c) for c in zip(*(_from_planes(d, k) for d, k in zip(t.column("data").to_pylist(), size.tolist()))))
+            told = [from_planes(unsqueezed(d), k) for d, k in zip(t.column("data").to_pylist(), size.tolist())]
+            left, right, n = np.concatenate([np.cumsum(x[0]) for x in told]), *(np.concatenate([x[i] for x in told]) for i in (1, 2))
             order = np.lexsort((right, left))
             new = np.ones(len(order), dtype=bool)
             new[1:] = (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])
