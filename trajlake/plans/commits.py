@@ -1,43 +1,12 @@
-"""Queries over patches and actions."""
+"""Queries over loads."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trajlake.functions import text
-from trajlake.functions.udfs import patch_rows, unified
 from trajlake.operators import commits
 from trajlake.plans.registry import query
 
-PATCHES = [
-    (1, unified("a\nb\nc\n", "a\nB\nc\nd\n", "src/x.py") + unified(None, "t = 1\n", "tests/test_x.py")),
-    (2, unified("one\n", None, "old.txt")),
-    (3, unified("".join(f"l{i}\n" for i in range(30)), "".join(f"l{i}{'!' if i in (2, 25) else ''}\n" for i in range(30)), "pkg/y.py")),
-]
-ACTIONS = [(1, 0, "create", "/a.py"), (1, 1, "view", "/b.py"), (1, 2, "str_replace", "/a.py"), (1, 3, "view", "/b.py"), (2, 0, "view", "/c.py")]
-
-
-@query("commit_counters", """SELECT * FROM (VALUES (1, 2, 1, 2, 3, 1, 4, 3, ['.py']), (2, 1, 0, 1, 0, 1, 1, 1, ['.txt']), (3, 1, 0, 2, 2, 2, 4, 4, ['.py']))
-AS v(id, files, test_files, hunks, added, deleted, edited_lines, other_edited_lines, extensions)""")
-def commit_counters(t):
-    rows = patch_rows(t.spark.createDataFrame(PATCHES, "id int, patch string"), "id", "patch")
-    return commits.commit_counters(rows, "id")
-
-
-@query("patch_round_trip", "SELECT * FROM (VALUES (1, true), (2, true), (3, true)) AS v(id, same)")
-def patch_round_trip(t):
-    df = t.spark.createDataFrame(PATCHES, "id int, patch string")
-    return commits.rebuilt(patch_rows(df, "id", "patch"), "id").withColumnRenamed("patch", "again").join(df, "id").select("id", (F.col("again") == F.col("patch")).alias("same"))
-
-
-@query("touched_files", "SELECT * FROM (VALUES (1, ['/a.py'], ['/a.py'], ['/b.py']), (2, []::VARCHAR[], []::VARCHAR[], ['/c.py'])) AS v(id, created, edited, viewed)")
-def touched_files(t):
-    df = t.spark.createDataFrame(ACTIONS, "id int, i int, command string, path string")
-    call = F.concat(F.lit("<function=file_editor><parameter=command>"), "command", F.lit("</parameter><parameter=path>"), "path", F.lit("</parameter></function>"))
-    g = df.select("id", "i", call.alias("c")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("s"))
-    return g.select("id", commits.touched_files(F.transform("s", lambda x: text.action_params(x["c"]))).alias("r")).select("id", "r.*")
-
-
 @query("routing_skew", "WITH p AS (SELECT o_custkey % 5 AS server, sum(CAST(1 AS BIGINT)) AS load FROM orders GROUP BY 1) SELECT server, CAST(load AS BIGINT) AS load, (SELECT max(load) - min(load) FROM p) >= 4 AS rebalance FROM p")
 def routing_skew(t):
     return commits.routing_skew(t.orders.select((F.col("o_custkey") % 5).alias("server"), F.lit(1).cast("long").alias("one")), "server", "one")

@@ -236,25 +236,6 @@ def merged_tests(t):
     return g.select("g", F.size(shape.merged_tests(F.col("a"), F.col("b"))).alias("n")).filter("n > 1")
 
 
-TAGS = [["dp", "*1200", "*900"], ["greedy"], ["*x", "*800"], []]
-
-
-@query("tag_ratings", "SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN 1200 WHEN 2 THEN 800 ELSE 0 END AS INT) AS rating FROM part")
-def tag_ratings(t):
-    tags = F.element_at(F.array(*[F.array(*map(F.lit, x)).cast("array<string>") for x in TAGS]), (F.col("p_partkey") % 4 + 1).cast("int"))
-    return t.part.select("p_partkey", text.rating_of_tags(tags).alias("rating"))
-
-
-@query("level_numbers", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 3.0 ELSE 0.0 END::DOUBLE AS level FROM part")
-def level_numbers(t):
-    return t.part.select("p_partkey", shape.level_number(pick("p_partkey", ["Level 5", "Level 3", "Level ?"])).alias("level"))
-
-
-@query("starter_code", "SELECT p_partkey, CASE p_partkey % 2 WHEN 0 THEN 'def add(*args, **kwargs):' || chr(10) || '    pass' || chr(10) || chr(10) || 'def sub(*args, **kwargs):' || chr(10) || '    pass' ELSE '' END AS code FROM part")
-def starter_code(t):
-    return t.part.select("p_partkey", shape.starter_code(pick("p_partkey", ["import x\nfrom solution import add, sub\nfrom solution import add\n", "import solution"])).alias("code"))
-
-
 @query("prompt_sections", "SELECT o_orderkey, '## Problem' || chr(10) || o_orderpriority || chr(10) || chr(10) || '## Patch' || chr(10) || CASE WHEN o_orderstatus = 'F' THEN '(not available)' ELSE o_orderstatus END AS prompt FROM orders")
 def prompt_sections(t):
     return t.orders.select("o_orderkey", shape.prompt_sections([("Problem", F.col("o_orderpriority")), ("Patch", F.when(F.col("o_orderstatus") == "F", " ").otherwise(F.col("o_orderstatus")))]).alias("prompt"))
@@ -313,11 +294,6 @@ def last_step_sft(t):
     return out.select(F.element_at("messages", -1)["content"].cast("long").alias("conv_id"), F.size(body).alias("n"), F.array_max(F.transform(body, lambda x: x["content"])).alias("top"))
 
 
-@query("spec_paths", f"""SELECT p_partkey, 'specs/' || CASE p_partkey % 5 WHEN 0 THEN 'swe_gym' WHEN 1 THEN 'swe_bench_verified' WHEN 2 THEN 'swe_bench_verified' WHEN 3 THEN 'swe_rebench' ELSE 'others' END || '/' || p_brand || '.json' AS path FROM part""")
-def spec_paths(t):
-    return t.part.select("p_partkey", shape.spec_path("specs/", pick("p_partkey", ["xingyaoww/a", "swebench/b", "ghcr.io/epoch-research/c", "swerebench/d", "e"]), F.col("p_brand")).alias("path"))
-
-
 @query("task_types", "SELECT p_partkey, CASE WHEN p_brand IN ('Brand#11', 'Brand#12') THEN 'math' WHEN p_partkey % 3 = 0 THEN 'code' WHEN p_partkey % 3 = 1 THEN 'search' ELSE 'unknown' END AS kind FROM part")
 def task_types(t):
     meta = F.create_map(F.when(F.col("p_partkey") % 3 == 0, "tests").when(F.col("p_partkey") % 3 == 1, "question").otherwise("z"), F.lit("1"))
@@ -410,14 +386,6 @@ def terminations(t):
     return t.orders.select("o_orderkey", reason.alias("reason"))
 
 
-@query("terminal_rewards", """SELECT reason, CASE WHEN reason = 'GARBLED_OUTPUT' THEN -0.5 WHEN reason IN ('MAX_STEPS', 'TRAJ_TIMEOUT', 'TRUNCATION') THEN 0 ELSE 1 END::DOUBLE AS reward, reason IN ('PROMPT_TRUNCATION', 'ENV_TIMEOUT', 'ENCODE_ERROR', 'REWARD_TIMEOUT', 'REPORT_JSON_LOAD_FAILED') AS masked
-FROM (SELECT unnest(['PROMPT_TRUNCATION', 'GARBLED_OUTPUT', 'ENV_TIMEOUT', 'ENCODE_ERROR', 'TRUNCATION', 'TRAJ_TIMEOUT', 'REWARD_TIMEOUT', 'REPORT_JSON_LOAD_FAILED', 'ENV_DONE', 'MAX_STEPS']) AS reason)""")
-def terminal_rewards(t):
-    reasons = terminations(t).select("reason").filter("reason is not null").distinct()
-    every = t.spark.createDataFrame([(r,) for r in ("PROMPT_TRUNCATION", "GARBLED_OUTPUT", "ENV_TIMEOUT", "ENCODE_ERROR", "TRUNCATION", "TRAJ_TIMEOUT", "REWARD_TIMEOUT", "REPORT_JSON_LOAD_FAILED", "ENV_DONE", "MAX_STEPS")], "reason string")
-    return every.union(reasons).distinct().select("reason", chat.terminal_reward(F.col("reason"), F.lit(1.0)).alias("reward"), chat.masked_out(F.col("reason")).alias("masked"))
-
-
 @query("exit_reasons", """SELECT o_orderkey, CASE WHEN o_orderkey % 23 = 0 THEN 'llm_query_error' WHEN o_orderstatus = 'F' THEN 'agent' WHEN o_totalprice >= 250000 THEN 'token_limit' WHEN o_custkey % 100 >= 95 THEN 'abs_step_limit' WHEN o_custkey >= 1400 THEN 'traj_time_limit' WHEN o_orderkey % 3 = 0 THEN 'agent_max_step_limit' WHEN o_custkey % 100 >= 50 THEN 'max_step_limit' ELSE 'agent' END AS reason FROM orders""")
 def exit_reasons(t):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
@@ -427,48 +395,12 @@ def exit_reasons(t):
 
 # ---- texts ----
 
-COLOURED = ["\x1b[32mtest_a\x1b[0m", "plain", "\x1b[1;31mx\x1b[0m - y", "a\x1b[mb"]
-
-
-@query("strip_ansi", f"SELECT p_partkey, {_case('p_partkey', ['test_a', 'plain', 'x - y', 'ab'])} AS name FROM part")
-def strip_ansi(t):
-    return t.part.select("p_partkey", text.strip_ansi(pick("p_partkey", COLOURED)).alias("name"))
-
-
-REPORTS = ["a\n== x ==\ntail", "a\n== x ==\nTraceback here", "no mark\nat all", "x = 1\n"]
-
-
-@query("report_tails", f"SELECT p_partkey, {_case('p_partkey', ['a' + chr(10) + '== x ==', REPORTS[1], REPORTS[2], 'x = 1'])} AS report FROM part")
-def report_tails(t):
-    return t.part.select("p_partkey", text.report_tail_cut(pick("p_partkey", REPORTS)).alias("report"))
-
-
-THOUGHTS = ["<think>a</think> {\"reward\": 1}", "{\"reward\": 0.5}", "<think>x</think>y</think> none"]
-
-
-@query("simulated_rewards", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE -10086.0 END::DOUBLE AS reward FROM part")
-def simulated_rewards(t):
-    return t.part.select("p_partkey", text.simulated_reward(pick("p_partkey", THOUGHTS)).alias("reward"))
-
 
 @query("view_lengths", "SELECT p_partkey, CASE WHEN p_size >= 10 THEN CAST(p_size - 10 + 1 AS INT) END AS lines FROM part")
 def view_lengths(t):
     return t.part.select("p_partkey", text.line_range_length(F.concat(F.lit("[10, "), F.col("p_size").cast("string"), F.lit("]"))).alias("lines"))
 
 
-@query("robust_lists", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN ['a', 'b'] WHEN 1 THEN ['a'] WHEN 2 THEN []::VARCHAR[] ELSE ['[bad'] END AS items FROM part")
-def robust_lists(t):
-    return t.part.select("p_partkey", text.robust_list(pick("p_partkey", ['["a", "b"]', "a", " ", "[bad"])).alias("items"))
-
-
-TAGGED = ["<sim_reasoning> a <sim_reasoning>b </sim_reasoning> c", "no tag ", "</sim_reasoning>x<sim_reasoning>"]
-
-
-@query("reasoning_texts", f"SELECT p_partkey, {_case('p_partkey', ['a <sim_reasoning>b', 'no tag', TAGGED[2]])} AS reasoning FROM part")
-def reasoning_texts(t):
-    return t.part.select("p_partkey", text.reasoning_text(pick("p_partkey", TAGGED)).alias("reasoning"))
-
-
 @query("issue_statements", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) END AS issue FROM documents")
 def issue_statements(t):
     wrapped = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("x [ISSUE]\n"), "text", F.lit("[/ISSUE] y"))).otherwise(F.col("text"))
@@ -490,39 +422,6 @@ def truncated_texts(t):
     return t.documents.select("doc_id", text.truncated(F.col("text"), 100, " [cut]").alias("text"))
 
 
-@query("file_extensions", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '.py' WHEN 1 THEN '' WHEN 2 THEN '' ELSE '.gz' END AS extension FROM part")
-def file_extensions(t):
-    return t.part.select("p_partkey", text.file_extension(pick("p_partkey", ["a/b.py", "a.d/b", "x/.hidden", "c.tar.gz"])).alias("extension"))
-
-
-@query("error_steps", "SELECT p_partkey, p_partkey % 3 = 0 AS failed FROM part")
-def error_steps(t):
-    return t.part.select("p_partkey", text.ends_with_error(pick("p_partkey", ["x Error: failed \n\t", "Error: failed. Not so", "ok"]), "Error: failed").alias("failed"))
-
-
-@query("same_outputs", "SELECT p_partkey, p_partkey % 5 IN (0, 1, 2) AS same FROM part")
-def same_outputs(t):
-    a = pick("p_partkey", ["1.0 2\n3", " x \n y", "a", "1 2", "1\n2"])
-    b = pick("p_partkey", ["1 2.00\n 3 ", "x\ny\n", "a", "1 3", "1 2"])
-    return t.part.select("p_partkey", text.same_stdout(a, b).alias("same"))
-
-
-@query("header_test_paths", "SELECT p_partkey, p_partkey % 4 < 3 AS is_test FROM part")
-def header_test_paths(t):
-    return t.part.select("p_partkey", text.header_test_path(pick("p_partkey", ["src/test_a.py", "x/tests/b.py", "c_test.py", "src/d.py"])).alias("is_test"))
-
-
-RESPONSES = [
-    ("so \\boxed{a {b} c} done", "a {b} c"), ("it is **Paris** of course", "Paris"), ("on 12/05/2020 it began", "12/05/2020"), ("when Marie Curie spoke", "Marie Curie"), ("about 1,200 votes of 3", "1,200"),
-    ("the answer is: blue whale!", "blue whale"), ("hmm ok. The cats were loud", "The cats were loud"), ("perhaps. no", "perhaps"), ("<think>x 1999</think>", ""), ("a b", "a b"),
-]
-
-
-@query("answers_found", f"SELECT p_partkey, {_case('p_partkey', [b for _, b in RESPONSES])} AS answer FROM part")
-def answers_found(t):
-    return t.part.select("p_partkey", text.answer_cascade(pick("p_partkey", [a for a, _ in RESPONSES])).alias("answer"))
-
-
 @query("first_steps_described", "SELECT l_linenumber, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, count(*) AS n FROM lineitem GROUP BY 1")
 def first_steps_described(t):
     from trajlake.operators.metrics import describe

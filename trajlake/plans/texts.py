@@ -7,82 +7,9 @@ from pyspark.sql import functions as F
 
 from trajlake.functions import chat, text
 from trajlake.functions.garbled import SCRIPTS, WEIRD, is_garbled
-from trajlake.functions.lang import detect_language, is_test_command
 from trajlake.operators import filters, joins, metrics, order, shape
 from trajlake.plans.registry import Tables, query, rounded
 
-LOG = """collected 6 items
-=========================== short test summary info ============================
-PASSED tests/test_a.py::TestA::test_one
-PASSED tests/test_a.py::test_two[x-1]
-FAILED tests/test_a.py::TestA::test_three - AssertionError: no
-ERROR tests/test_b.py::test_four - ValueError
-FAILED tests/test_a.py::test_two[x-1] - flaky
-== 2 failed, 1 passed in 0.1s =="""
-RESPONSES = [
-    (1, "I look first.\n<function=execute_bash>\n<parameter=cmd>ls -la</parameter>\n<parameter=cmd>pwd</parameter>\n</function>\ntail"),
-    (2, "no call at all"),
-    (3, "<function=file_editor>\n  <parameter=command> view </parameter>\n  <parameter=path>/a/b.py</parameter>\n</function>"),
-    (4, "<function=submit>\n</function>"),
-]
-OUTPUTS = [(1, "[STDOUT]\n\nok\n\n[STDERR]\n\nwarn [STDERR] last"), (2, "plain"), (3, "[STDOUT] a [STDOUT] b [STDERR]")]
-CODE = [(1, "text\n```python\na = 1\n```\nmore\n```\nb = 2\n```\n"), (2, "no code"), (3, "```py\nx\n```")]
-PATCHES = [(1, "--- a/src/x.py\n+++ b/src/x.py\n@@ -1 +1 @@\n-a\n+b\n--- a/tests/test_x.py\n+++ b/tests/test_x.py\n"), (2, "--- /dev/null\n+++ b/new.txt\t2024\n@@ -0,0 +1 @@\n+x\n"), (3, "")]
-MESSAGES = [(1, "Fix the parser (#12)"), (2, "Add a feature"), (3, "Refactor io"), (4, "docs only"), (5, "Merge pull request #77 from x/y\n\nbug")]
-COMMANDS = [(1, "execute_bash cd x && python -m pytest"), (2, "execute_bash pip install x && python a.py"), (3, "execute_bash git log"), (4, "pytest"), (5, "execute_bash cargo test"), (6, "execute_bash ls")]
-
-
-def _sql(rows: list[tuple], names: str) -> str:
-    cell = lambda v: "NULL" if v is None else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
-    return f"(VALUES {', '.join('(' + ', '.join(map(cell, r)) + ')' for r in rows)}) AS v({names})"
-
-
-def _rows(t: Tables, rows: list[tuple], ddl: str) -> DataFrame:
-    return t.spark.createDataFrame(rows, ddl)
-
-
-@query("log_status_map", f"""WITH l AS (SELECT unnest(string_split(substr(x, strpos(x, 'short test summary info') + 23), chr(10))) AS line, generate_subscripts(string_split(substr(x, strpos(x, 'short test summary info') + 23), chr(10)), 1) AS i FROM {_sql([(LOG,)], "x")}),
-e AS (SELECT CASE WHEN line LIKE '%PASSED%' THEN 'PASSED' WHEN line LIKE '%FAILED%' THEN 'FAILED' WHEN line LIKE '%ERROR%' THEN 'ERROR' END AS status, replace(substr(line, strpos(line, '::') + 2), '::', '.') AS n, i FROM l WHERE line LIKE '%::%'),
-f AS (SELECT trim(CASE WHEN status = 'PASSED' THEN n ELSE string_split(n, ' - ')[1] END) AS test, status, i FROM e WHERE status IS NOT NULL)
-SELECT test, arg_max(status, i) AS status FROM f GROUP BY test""")
-def log_status_map(t):
-    return _rows(t, [(LOG,)], "x string").select(F.explode(text.status_map(F.col("x"))).alias("test", "status"))
-
-
-@query("action_parse", f"""SELECT id, trim(regexp_extract(x, '(?s)<function\\s*=\\s*([^>]+)>', 1)) AS fn, trim(coalesce(list_extract(list_filter(regexp_extract_all(x, '(?s)<parameter=cmd>(.*?)</parameter>', 1), lambda y: true), -1), '')) AS cmd FROM {_sql(RESPONSES, "id, x")}""")
-def action_parse(t):
-    df = _rows(t, RESPONSES, "id int, x string").select("id", text.action_params(F.col("x")).alias("a"))
-    return df.select("id", F.col("a.fn").alias("fn"), F.coalesce(F.col("a.params")["cmd"], F.lit("")).alias("cmd"))
-
-
-@query("response_split", f"""SELECT id, trim(CASE WHEN regexp_matches(x, '(?s)<function=.*?</function>') THEN substr(x, 1, strpos(x, '<function=') - 1) ELSE x END, ' ' || chr(10)) AS thought, trim(regexp_extract(x, '(?s)<function=.*?</function>'), ' ' || chr(10)) AS action FROM {_sql(RESPONSES, "id, x")}""")
-def response_split(t):
-    return _rows(t, RESPONSES, "id int, x string").select("id", text.thought_and_action(F.col("x")).alias("r")).select("id", "r.*")
-
-
-@query("marker_split", f"""WITH v AS (SELECT id, string_split(x, '[STDERR]') AS p FROM {_sql(OUTPUTS, "id, x")}),
-w AS (SELECT id, CASE WHEN len(p) > 1 THEN array_to_string(p[1:len(p) - 1], '[STDERR]') ELSE p[1] END AS head, CASE WHEN len(p) > 1 THEN p[len(p)] ELSE '' END AS err FROM v)
-SELECT id, trim(list_extract(string_split(head, '[STDOUT]'), -1), ' ' || chr(10)) AS stdout, trim(err, ' ' || chr(10)) AS stderr FROM w""")
-def marker_split(t):
-    return _rows(t, OUTPUTS, "id int, x string").select("id", text.out_and_err(F.col("x")).alias("r")).select("id", "r.*")
-
-
-@query("fenced_code", f"""SELECT id, trim(list_extract(regexp_extract_all(x, '(?s)```(?:\\w+)?\\n(.*?)```', 1), -1), ' ' || chr(10)) AS code FROM {_sql(CODE, "id, x")}""")
-def fenced_code(t):
-    return _rows(t, CODE, "id int, x string").select("id", text.last_code_block(F.col("x")).alias("code"))
-
-
-@query("patch_files", f"""SELECT id, list_sort(list_distinct(regexp_extract_all(x, '(?m)^(?:--- a/|\\+\\+\\+ b/)([^\\t\\n]+)', 1))) AS files FROM {_sql(PATCHES, "id, x")}""")
-def patch_files(t):
-    return _rows(t, PATCHES, "id int, x string").select("id", F.sort_array(text.patch_files(F.col("x"))).alias("files"))
-
-
-@query("commit_kind", f"""SELECT id, CASE WHEN lower(m) LIKE '%fix%' OR lower(m) LIKE '%bug%' THEN 'bug' WHEN lower(m) LIKE '%feature%' OR lower(m) LIKE '%add%' THEN 'feature' WHEN lower(m) LIKE '%refactor%' THEN 'refactor' ELSE 'other' END AS kind,
-TRY_CAST(coalesce(nullif(regexp_extract(m, '\\(#(\\d+)\\)', 1), ''), nullif(regexp_extract(m, '(?i)merge pull request #(\\d+)', 1), '')) AS BIGINT) AS pull FROM {_sql(MESSAGES, "id, m")}""")
-def commit_kind(t):
-    return _rows(t, MESSAGES, "id int, m string").select("id", text.commit_kind(F.col("m")).alias("kind"), joins.pull_request_of(F.col("m")).alias("pull"))
-
-
 @query("test_path_flag", """WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'tests/' || url WHEN 1 THEN url || '/test_x.py' WHEN 2 THEN url || '_test.py' ELSE url END AS path FROM pages)
 SELECT page_id, list_bool_or(list_transform(string_split(path, '/'), lambda x: x IN ('tests', 'Tests', 'test', 'Test'))) OR ends_with(path, '_test.py') OR starts_with(path, 'test_') OR starts_with(string_split(path, '/')[-1], 'test_') AS is_test FROM p""")
 def test_path_flag(t):
@@ -91,18 +18,6 @@ def test_path_flag(t):
     return t.pages.select("page_id", text.is_test_path(path).alias("is_test"))
 
 
-@query("execution_command", f"""SELECT id, starts_with(c, 'execute_bash') AND NOT contains(c, 'git ') AND NOT contains(c, 'pip install') AND (contains(c, 'python ') OR contains(c, 'python3 ') OR regexp_matches(c, '\\b(python\\d*|pytest)\\b')) AS runs FROM {_sql(COMMANDS, "id, c")}""")
-def execution_command(t):
-    return _rows(t, COMMANDS, "id int, c string").select("id", is_test_command(F.col("c")).alias("runs"))
-
-
-@query("language_of_repo", """SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'rust' WHEN s_suppkey % 5 = 1 THEN 'go' WHEN s_suppkey % 5 = 2 THEN 'javascript' ELSE 'python' END AS language FROM supplier""")
-def language_of_repo(t):
-    k = F.col("s_suppkey") % 5
-    repo = F.when(k == 0, "tokio-rs/tokio").when(k == 1, "x/engine").otherwise("a/b")
-    return t.supplier.select("s_suppkey", detect_language(repo, F.when(k == 2, "npm test").otherwise("ls")).alias("language"))
-
-
 def _normal(c: str) -> str:
     """SQL of normalise_answer; words are taken apart first, as this engine's \\b knows ASCII letters only."""
     bare = f"regexp_replace(lower({c}), '[!-/:-@\\[-`{{-~]', '', 'g')"
