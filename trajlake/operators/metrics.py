@@ -5,7 +5,6 @@ Everything is a group-by with map-side combine; no operator brings rows to the d
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,8 +179,13 @@ def elo(contests: DataFrame, contestants: DataFrame, problems: DataFrame, submis
 
     contests: contest_id. contestants: contest_id, handle, place, points, penalty, old_rating. problems: contest_id, index,
     points (null: counts 1, and 10 penalty points for each earlier try). submissions: problem_id ("<contest><index>"),
-    passed array<boolean>, in order. ratings: rating, of everyone. Each contest's contestants go to one task, whose size is
-    that of a contest; the search tries integers by halving.
+    passed array<boolean>, in order. ratings: rating, of everyone. rank: contestants that stand, by place and then handle, before the
+    first with fewer points than the solver, or as many and a greater penalty; without one all of them. rating: the greatest
+    whole number from 0 at which the expected seed is still not less than the rank, found by halving.
+
+    Contestants are added up to a histogram of whole ratings for each contest, on which all searches run side by side
+    as Columns; a task holds one contest's distinct ratings, however many contestants it has. The percentile's window is over
+    as many rows as there are distinct ratings and contests.
     """
     tries = submissions.select(F.regexp_extract("problem_id", r"^(\d+)", 1).cast("long").alias("contest_id"), "problem_id", (F.slice("passed", 1, pass_n) if pass_n else F.col("passed")).alias("passed"))
     solved = problems.withColumn("problem_id", F.concat(F.col("contest_id").cast("string"), "index")).join(tries, ["contest_id", "problem_id"])
@@ -189,30 +193,33 @@ def elo(contests: DataFrame, contestants: DataFrame, problems: DataFrame, submis
     hit = F.col("at") >= 0
     solved = solved.withColumn("at", at).groupBy("contest_id").agg(
         F.sum(F.when(hit, F.when(F.col("points").isNull(), 1.0).otherwise(F.greatest(F.lit(0.0), F.col("points") - 50.0 * F.col("at")))).otherwise(0.0)).alias("score"),
-        F.sum(F.when(hit & F.col("points").isNull(), 10.0 * F.col("at")).otherwise(0.0)).alias("penalty"))
-    rows = contestants.filter("old_rating is not null").join(solved.withColumnsRenamed({"score": "own_score", "penalty": "own_penalty"}).join(contests, "contest_id"), "contest_id")
-
-    def rated(g: pd.DataFrame) -> pd.DataFrame:
-        if len(g) <= least:
-            return pd.DataFrame({"contest_id": [], "score": [], "penalty": [], "rank": [], "rating": []})
-        g = g.sort_values("place", kind="stable").reset_index(drop=True)
-        score, penalty = g.own_score[0], g.own_penalty[0]
-        below = (g.points < score) | ((g.points == score) & (g.penalty > penalty))
-        rank = int(below.idxmax()) if below.any() else len(g)
-        lo, hi = 0, int(g.old_rating.max()) + 100
-        while hi - lo > 1:
-            mid = (lo + hi) // 2
-            seed = 1 + (1 / (1 + 10 ** ((mid - g.old_rating) / 400))).sum()
-            lo, hi = (lo, mid) if seed < rank else (mid, hi)
-        return pd.DataFrame({"contest_id": [g.contest_id[0]], "score": [float(score)], "penalty": [float(penalty)], "rank": [rank], "rating": [lo]})
-
-    found = rows.groupBy("contest_id").applyInPandas(rated, "contest_id long, score double, penalty double, rank long, rating long")
+        F.sum(F.when(hit & F.col("points").isNull(), 10.0 * F.col("at")).otherwise(0.0)).alias("own_penalty"))
+    solved = solved.join(contests.select("contest_id").distinct(), "contest_id", "left_semi")
+    rows = contestants.filter("old_rating is not null").join(solved, "contest_id")
+    stands = F.struct("place", "handle")
+    below = (F.col("points") < F.col("score")) | ((F.col("points") == F.col("score")) & (F.col("penalty") > F.col("own_penalty")))
+    first = rows.groupBy("contest_id", "score", "own_penalty").agg(F.count("*").alias("n"), F.max("old_rating").alias("top"), F.min(F.when(below, stands)).alias("first")).filter(F.col("n") > least)
+    before = contestants.filter("old_rating is not null").select("contest_id", stands.alias("stands"), "old_rating").join(first.select("contest_id", "first"), "contest_id")
+    counted = before.groupBy("contest_id", F.col("old_rating").cast("double").alias("r")).agg(F.count("*").cast("double").alias("n"), F.count_if(F.col("first").isNull() | (F.col("stands") < F.col("first"))).alias("ahead"))
+    histogram = counted.groupBy("contest_id").agg(F.array_sort(F.collect_list(F.struct("r", "n"))).alias("h"), F.sum("ahead").alias("rank"))
+
+    def halved(state: Column, _: Column) -> Column:
+        lo, hi = state["lo"], state["hi"]
+        mid = F.floor((lo + hi) / 2)
+        seed = F.aggregate("h", F.lit(1.0), lambda s, x: s + x["n"] / (1 + F.pow(F.lit(10.0), (mid - x["r"]) / 400)))
+        low = seed < F.col("rank")
+        return F.when(hi - lo > 1, F.struct(F.when(low, lo).otherwise(mid).alias("lo"), F.when(low, mid).otherwise(hi).alias("hi"))).otherwise(state)
+
+    start = F.struct(F.lit(0).cast("long").alias("lo"), (F.floor("top") + 100).cast("long").alias("hi"))
+    rounds = F.sequence(F.lit(1), F.ceil(F.log2(F.greatest(F.floor("top") + 100, F.lit(2)))).cast("int") + 1)
+    found = first.join(histogram, "contest_id").withColumn("rating", F.aggregate(rounds, start, halved)["lo"])
+    found = found.select("contest_id", "score", F.col("own_penalty").alias("penalty"), "rank", "rating")
     # ratings are whole numbers in a narrow range: their counts and the contests, a row each, are added up in one order
-    counted = ratings.groupBy("rating").agg(F.count("*").alias("n")).select("rating", "n", F.lit(None).cast("long").alias("contest_id"))
-    line = counted.unionByName(found.select("rating", F.lit(0).cast("long").alias("n"), "contest_id"))
+    known = ratings.groupBy("rating").agg(F.count("*").alias("n")).select("rating", "n", F.lit(None).cast("long").alias("contest_id"))
+    line = known.unionByName(found.select("rating", F.lit(0).cast("long").alias("n"), "contest_id"))
     everyone = Window.partitionBy(F.lit(1))
-    below = F.sum("n").over(everyone.orderBy("rating").rangeBetween(Window.unboundedPreceding, -1))
-    share = line.select("contest_id", F.round(100.0 * F.coalesce(below, F.lit(0)) / F.sum("n").over(everyone), 1).alias("percentile")).filter("contest_id is not null")
+    lower = F.sum("n").over(everyone.orderBy("rating").rangeBetween(Window.unboundedPreceding, -1))
+    share = line.select("contest_id", F.round(100.0 * F.coalesce(lower, F.lit(0)) / F.sum("n").over(everyone), 1).alias("percentile")).filter("contest_id is not null")
     return found.join(share, "contest_id").select("contest_id", "score", "penalty", "rank", "rating", "percentile")
 
 

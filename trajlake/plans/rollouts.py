@@ -366,3 +366,35 @@ def paged(t):
 @query("batch_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS row_index FROM orders")
 def batch_order(t):
     return global_index(t.orders.select("o_custkey", "o_orderkey"), ["o_custkey", "o_orderkey"]).select("o_orderkey", "row_index")
+
+
+# Orders as results of contests: a customer's remainder is the contest, an order a contestant, the price its points.
+CONTESTANT = {"contest_id": "o_custkey % 40", "handle": "o_orderkey", "points": "CAST(floor(o_totalprice / 1000) AS DOUBLE)", "penalty": "CAST(o_orderkey % 7 AS DOUBLE)", "old_rating": "CASE WHEN o_orderpriority <> '5-LOW' THEN 700 + (o_custkey * 37 + o_orderkey * 11) % 2300 END"}
+OWN = {"A": (100.0, 2), "B": (None, 1), "C": (80.0, 0), "D": (500.0, None)}  # points and the first passing try, if any
+
+
+def _contest_sql() -> str:
+    columns = ", ".join(f"{v} AS {k}" for k, v in CONTESTANT.items())
+    score = sum(0 if at is None else 1.0 if points is None else max(0.0, points - 50.0 * at) for points, at in OWN.values())
+    penalty = sum(10.0 * at for points, at in OWN.values() if points is None and at is not None)
+    return f"""WITH a AS (SELECT {columns} FROM orders), c AS (SELECT *, row_number() OVER (PARTITION BY contest_id ORDER BY points DESC, penalty, handle) AS place FROM a), r AS (SELECT * FROM c WHERE old_rating IS NOT NULL),
+w AS (SELECT contest_id, count(*) AS n, max(old_rating) AS top, min(place) FILTER (WHERE points < {score} OR (points = {score} AND penalty > {penalty})) AS first FROM r GROUP BY 1 HAVING count(*) > 20),
+k AS (SELECT contest_id, first(top) AS top, count_if(first IS NULL OR place < first) AS rank FROM r JOIN w USING (contest_id) GROUP BY 1),
+h AS (SELECT contest_id, old_rating AS x, count(*) AS n FROM r GROUP BY ALL), m AS (SELECT contest_id, rank, unnest(range(1, top + 100)) AS m FROM k),
+s AS (SELECT contest_id, m.m, rank, 1 + sum(n / (1 + pow(10, (m.m - x) / 400))) AS seed FROM m JOIN h USING (contest_id) GROUP BY ALL),
+f AS (SELECT contest_id, any_value(rank) AS rank, coalesce(max(m) FILTER (WHERE seed >= rank), 0) AS rating FROM s GROUP BY 1)
+SELECT contest_id, {score}::DOUBLE AS score, {penalty}::DOUBLE AS penalty, CAST(rank AS BIGINT) AS rank, rating, round(100.0 * (SELECT count(*) FROM r WHERE old_rating < rating) / (SELECT count(*) FROM r), 1) AS percentile FROM f"""
+
+
+@query("contest_ratings", _contest_sql())
+def contest_ratings(t):
+    from pyspark.sql import Window
+
+    rows = t.orders.select(*[F.expr(v).alias(k) for k, v in CONTESTANT.items()])
+    rows = rows.withColumn("place", F.row_number().over(Window.partitionBy("contest_id").orderBy(F.desc("points"), "penalty", "handle")))
+    contests = rows.select("contest_id").distinct()
+    tried = F.array(*[F.struct(F.lit(i).alias("index"), F.lit(p).cast("double").alias("points"), F.array(*[F.lit(at is not None and k >= at) for k in range(4)]).alias("passed")) for i, (p, at) in OWN.items()])
+    problems = contests.select("contest_id", F.inline(tried))
+    submissions = problems.select(F.concat(F.col("contest_id").cast("string"), "index").alias("problem_id"), "passed")
+    ratings = rows.filter("old_rating is not null").select(F.col("old_rating").cast("long").alias("rating"))
+    return metrics.elo(contests, rows, problems.drop("passed"), submissions, ratings, least=20)
