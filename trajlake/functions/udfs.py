@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trajlake.functions import polynomials
+
 TEXTS = T.ArrayType(T.StringType())
 
 
@@ -215,16 +217,19 @@ def _value(text: str, at: dict[str, float] | None = None) -> float | None:
 
 
 def same_expression(a: str, b: str, points: int = 8) -> bool:
-    """Whether two expressions in at most two variables are equal, judged by their values at points without a pattern.
+    """Whether two expressions in at most two variables are equal: rational ones by their normal form (polynomials.equal), exactly.
 
-    Different polynomials, and other expressions that an answer has, agree at no such point but by chance. Expressions with
-    stacked or long powers aren't evaluated, and neither are those without a value at half of the points.
+    Others, which hold functions or roots, are judged by their values at points without a pattern; those without a
+    value at half of the points count as different. Expressions with stacked or long powers aren't evaluated.
     """
     if any(re.search(p, x) for x in (a, b) for p in (r"\^\(", r"\^\d+\^", r"\^\d\d+")):
         return False
     names = sorted({t for x in (a, b) for t in MATH_TOKEN.findall(x) if len(t) == 1 and t.isalpha()})
     if len(names) > 2:
         return False
+    exact = polynomials.equal(*(_products(x).replace("^", "**") for x in (a, b)), frozenset(names))
+    if exact is not None:
+        return exact
     hits = 0
     for k in range(points if names else 1):
         at = {n: 0.3719 + 0.6137 * k + 0.2841 * i + 0.0173 * k * i for i, n in enumerate(names)}

@@ -296,3 +296,20 @@ SELECT p_partkey, coalesce(nullif(regexp_extract(x, 'boxed\\{{((?:[^{{}}]|\\{{[^
 nullif(regexp_extract(x, '\\b[A-Z][a-z]+(?:\\s+[A-Z][a-z]+)+\\b'), ''), nullif(regexp_extract(x, '\\b(\\d+(?:,\\d{{3}})*(?:\\.\\d+)?)\\s*(?:votes?)\\b', 1), '')) AS answer FROM s""")
 def answers_found(t):
     return made(t, "part", PART, ANSWER).select("p_partkey", text.answer_cascade(F.col("x")).alias("answer"))
+
+
+# Pairs of expressions with numbers of parts: a product or quotient, and its parts multiplied out, one of them wrong for some rows.
+NUMBERS = "p_size % 5 + 1 AS a, p_partkey % 7 + 1 AS b, p_size % 3 + 1 AS c, CAST(p_partkey % 11 - 5 AS INT) AS d, CASE WHEN p_partkey % 4 = 0 THEN 1 ELSE 0 END AS off, p_partkey % 3 AS kind"
+GIVEN = "CASE kind WHEN 0 THEN '(' || a || 'x+' || b || ')(x-' || c || ')' WHEN 1 THEN chr(92) || 'frac{' || a || '}{x}+' || chr(92) || 'frac{' || b || '}{x+' || c || '}' ELSE '(x+' || a || 'y)^2-(' || d || ')xy' END"
+TRUTH = """CASE kind WHEN 0 THEN a || 'x^2+(' || (b - a * c + off) || ')x-' || (b * c) WHEN 1 THEN '(' || (a + b) || 'x+' || (a * c + off) || ')/(x^2+' || c || 'x)' ELSE 'x^2+(' || (2 * a - d - off) || ')xy+' || (a * a) || 'y^2' END"""
+
+
+@query("expression_pairs", f"""WITH n AS (SELECT p_partkey, {NUMBERS} FROM part),
+c AS (SELECT p_partkey, kind, CASE kind WHEN 0 THEN [a, b - a * c, -b * c] WHEN 1 THEN [0, a + b, a * c] ELSE [1, 2 * a - d, a * a] END AS given, CASE kind WHEN 0 THEN [a, b - a * c + off, -b * c] WHEN 1 THEN [0, a + b, a * c + off] ELSE [1, 2 * a - d - off, a * a] END AS truth FROM n)
+SELECT p_partkey, given = truth AS same FROM c""")
+def expression_pairs(t):
+    """Polynomials and quotients are equal if their coefficients over one denominator are."""
+    from trajlake.functions.udfs import math_equal_udf
+
+    df = t.part.selectExpr("p_partkey", *NUMBERS.split(", ")[:3], "CAST(p_partkey % 11 - 5 AS INT) AS d", *NUMBERS.split(", ")[4:])
+    return df.select("p_partkey", math_equal_udf(F.expr(GIVEN), F.expr(TRUTH)).alias("same"))
