@@ -6,12 +6,14 @@ the encoder needs but the pieces that may still be going on: a finite state. Sta
 holds side by side the transducer is back at its start, whatever came before. A chunk of a long text is a state map: for
 the state it is entered in, the state it is left in and the tokens counted. Behind its first reset a map is constant;
 before it, the map is worked out for the state that the characters before the chunk lead to, and for any other state when
-that is asked for. Maps compose associatively, and a long text is the scan of its chunks' maps, none of which holds text of
-its own.
+that is asked for. Maps compose associatively: behind a reset in the first the second's entry is known, and without one the
+second's text before its reset goes on the first's. So chunks of a long text are rows that tasks turn into maps side by side,
+and a tree of groups composes the maps.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -185,6 +187,13 @@ class Transducer:
             self.apply(made, entry)
         return made
 
+    def joined_map(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
+        """First a, then b, as one map: behind a reset in a, b's entry is known; without one its head goes on."""
+        if a.exit is None:
+            return ChunkMap(a.before, a.head + b.head, a.body + b.body, b.exit, {})
+        exit, n = self.apply(b, a.exit)
+        return ChunkMap(a.before, a.head, a.body + n, exit, {})
+
     def apply(self, m: "ChunkMap | Composed", entry: tuple) -> tuple[tuple, int]:
         """(exit state, tokens) of a map for the state that it is entered in."""
         if isinstance(m, ChunkMap) and not m.head:
@@ -240,14 +249,16 @@ def transducer(model_path: str) -> Transducer:
     return _made[model_path]
 
 
-def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
+def token_counts(docs: DataFrame, model_path: str, chunk: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_tokens): UTF-8 bytes and tokens of every whole text, as the vocabulary's library counts.
 
     No begin, end or special tokens are added and their strings in a text are ordinary text. Null counts as empty: no
     bytes, no tokens. Every row has a result, repeated ids too; other columns are not read. model_path is opened on the
-    executors and has to be there on each. A text takes memory in proportion to its length, whether it has blanks or not;
-    what is kept of words and states between texts is bounded.
+    executors and has to be there on each. A text of up to `chunk` bytes is counted where it is. A longer one is dealt out in chunks
+    of so many characters, which tasks turn into state maps side by side; the maps are composed FAN at a time, level
+    by level. What is kept of words and states between texts is bounded.
     """
+    chunk = chunk or CHUNK
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(model_path)
@@ -256,7 +267,76 @@ def token_counts(docs: DataFrame, model_path: str) -> DataFrame:
             n = [t.count(x.decode("utf-8", "replace")) for x in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array(n, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), utf8(F.col("text")).alias("t")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    rows = docs.select(F.col("doc_id").cast("long"), utf8(F.col("text")).alias("t"))
+    short = rows.filter(F.octet_length("t") <= chunk).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    longest = rows.agg(F.max(F.octet_length("t"))).first()[0] or 0
+    if longest <= chunk:
+        return short
+    return short.unionByName(long_counts(rows.filter(F.octet_length("t") > chunk), model_path, chunk, longest))
+
+
+FAN = 64
+KEY = ["doc_id", "n_bytes", "k1", "k2"]
+MAP = "doc_id long, n_bytes long, k1 long, k2 long, copies long, no long, before string, head string, body long, exit string"
+
+
+def long_counts(rows: DataFrame, model_path: str, chunk: int, longest: int) -> DataFrame:
+    """token_counts of rows (doc_id, t), none over `longest` bytes, by a scan of chunks.
+
+    A text is known by its id, its size and 128 bits, so that rows that repeat are worked out once.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, raw in enumerate(b.column(4).to_pylist()):
+                s = BAR + raw.decode("utf-8", "replace").replace(" ", BAR)
+                key = [b.column(c)[i].as_py() for c in range(4)]
+                for no, at in enumerate(range(0, len(s), chunk)):
+                    row = [*key, no, s[max(0, at - 1) : at], s[max(0, at - WARM) : at], s[at : at + chunk]]
+                    yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k < 5 else pa.string()) for k, v in enumerate(row)], [*KEY, "no", "before", "warm", "chunk"])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer(model_path)
+        for b in batches:
+            made = [t.chunk_map(c, before, warm) for before, warm, c in zip(*(b.column(i).to_pylist() for i in (6, 7, 8)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], *map_columns(made)], [*KEY, "copies", "no", "before", "head", "body", "exit"])
+
+    def composed(t: pa.Table) -> pa.Table:
+        t, of = t.sort_by("no"), transducer(model_path)
+        maps = [ChunkMap(x, head, body, None if out is None else state_of(out), {}) for x, head, body, out in zip(*(t.column(c).to_pylist() for c in ("before", "head", "body", "exit")))]
+        made = maps[0]
+        for m in maps[1:]:
+            made = of.joined_map(made, m)
+        own = t.slice(0, 1)
+        no = pa.array([own.column("no")[0].as_py() // FAN], pa.int64())
+        return pa.Table.from_arrays([*(own.column(c) for c in [*KEY, "copies"]), no, *map_columns([made])], [*KEY, "copies", "no", "before", "head", "body", "exit"])
+
+    known = rows.select("doc_id", F.octet_length("t").cast("long").alias("n_bytes"), F.xxhash64("t").alias("k1"), F.xxhash64("t", F.lit(1)).alias("k2"), "t")
+    pieces = known.mapInArrow(cut, "doc_id long, n_bytes long, k1 long, k2 long, no long, before string, warm string, chunk string")
+    one = pieces.groupBy(*KEY, "no").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("before", "warm", "chunk")])
+    maps = one.select(*KEY, "copies", "no", "before", "warm", "chunk").mapInArrow(mapped, MAP)
+    chunks = -(-(longest + 1) // chunk)
+    while chunks > 1:
+        maps = maps.groupBy(*KEY, F.expr(f"no div {FAN}")).applyInArrow(composed, MAP)
+        chunks = -(-chunks // FAN)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = transducer(model_path)
+        for b in batches:
+            maps = [ChunkMap(x, head, body, None if out is None else state_of(out), {}) for x, head, body, out in zip(*(b.column(c).to_pylist() for c in (3, 4, 5, 6)))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([t.apply(m, START)[1] for m in maps], pa.int64())], ["doc_id", "n_bytes", "copies", "n_tokens"])
+
+    found = maps.select("doc_id", "n_bytes", "copies", "before", "head", "body", "exit").mapInArrow(counted, "doc_id long, n_bytes long, copies long, n_tokens long")
+    return found.select("doc_id", "n_bytes", "n_tokens", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).drop("copy")
+
+
+def map_columns(maps: list[ChunkMap]) -> list[pa.Array]:
+    """before, head, body and exit of maps; a state is written as JSON."""
+    return [pa.array([m.before for m in maps], pa.string()), pa.array([m.head for m in maps], pa.string()), pa.array([m.body for m in maps], pa.int64()), pa.array([None if m.exit is None else json.dumps(m.exit) for m in maps], pa.string())]
+
+
+def state_of(text: str) -> tuple:
+    return tuple(map(tuple, json.loads(text)))
 
 
 def op8_token_counts(spark, sf_dir, limit: int = 4096):
