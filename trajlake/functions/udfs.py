@@ -28,7 +28,7 @@ TIMEOUT = "The command took too long to execute"
 # Fixed values, by runner: patterns that open a report; a second chance and by how many lines it looks back; patterns that
 # close it, the first kind found from the end, and by how many lines they step back; whether the last line closes it too.
 REPORTS = {
-    "python": dict(open=r"={29} test session starts ={30}", again=None, close=[(r">>>>> End Test Output", 1), (r"\+ git checkout ", 1), (r"====", 0)], rest=False),
+    "python": dict(open="============================= test session starts ==============================", again=None, close=[(r">>>>> End Test Output", 1), (r"\+ git checkout ", 1), (r"====", 0)], rest=False),
     "javascript": dict(open=r"^\s*(PASS|FAIL)\s+\S", again=(r"Test Suites:|Tests:\s+\d+", 2), close=[(r"^\s*Time:\s+[\d.]+\s*s", 0), (r"^\s*Tests:\s+", 0), (r"^\s*Test Suites:\s+", 0)], rest=False),
     "rust": dict(open=r"^\s*running \d+ tests?", again=None, close=[(r"test result:", 0)], rest=True),
     "go": dict(open=r"^\s*(=== RUN|--- (PASS|FAIL):)", again=(r"^(ok|FAIL)\s+\S+", 0), close=[(r"^(ok|FAIL)\s+\S+", 0)], rest=True),
@@ -437,18 +437,17 @@ def unified_udf(old: pd.Series, new: pd.Series, path: pd.Series) -> pd.Series:
 
 def condensed(blocks: list[tuple[str, str]], budget: int, size: Callable[[str], int] = len, placeholder: str = "(omitted)") -> list[tuple[str, str]]:
     """Blocks (role, text) cut to a budget: the oldest user text but the first goes, else the longest of the others."""
-    out = [tuple(b) for b in blocks]
-    total = sum(size(t) for _, t in out)
+    out, mark = [tuple(b) for b in blocks], size(placeholder)
+    sizes = [size(t) for _, t in out]
+    total = sum(sizes)
     first_user = next((i for i, (r, _) in enumerate(out) if r == "user"), -1)
-    while total > budget:
-        at = next((i for i, (r, t) in enumerate(out) if r == "user" and i != first_user and t != placeholder), None)
-        if at is None:
-            rest = [i for i, (r, t) in enumerate(out) if r != "user" and t != placeholder and size(t) > size(placeholder)]
-            if not rest:
-                break
-            at = max(rest, key=lambda i: (size(out[i][1]), -i))
-        total += size(placeholder) - size(out[at][1])
-        out[at] = (out[at][0], placeholder)
+    users = [i for i, (r, t) in enumerate(out) if r == "user" and i != first_user and t != placeholder]
+    others = sorted((i for i, (r, t) in enumerate(out) if r != "user" and t != placeholder and sizes[i] > mark), key=lambda i: (-sizes[i], i))
+    for i in [*users, *others]:  # the order in which they go, so that one pass does
+        if total <= budget:
+            break
+        total += mark - sizes[i]
+        out[i] = (out[i][0], placeholder)
     return out
 
 

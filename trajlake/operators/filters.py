@@ -53,6 +53,7 @@ def sft_reject_reasons(messages: Column, step_count: Column, tokens: Column, hin
     n = F.size(messages)
     body = F.array_join(F.transform(F.slice(messages, 1, F.greatest(n - 1, F.lit(0))), lambda m: m["content"]), "\n")
     before_last = F.when(n >= 2, F.get(messages, n - 2)["content"])
+    # The names of reasons, in the order in which they are told.
     return reasons([
         ("have_hint_content", F.contains(body, F.lit(hint))),
         ("max_step_limit", step_count.isin(*step_limits)),

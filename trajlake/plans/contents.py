@@ -10,6 +10,7 @@ from trajlake.functions import chat, text
 from trajlake.functions.lang import COMMANDS, INSTALLS, REPO_WORDS, detect_language, is_test_command
 from trajlake.functions.udfs import patch_rows
 from trajlake.operators import commits, joins, shape
+from trajlake.operators.condense import condense
 from trajlake.plans.registry import SQL, Tables, query
 from trajlake.plans.survey import terminations
 
@@ -313,3 +314,13 @@ def expression_pairs(t):
 
     df = t.part.selectExpr("p_partkey", *NUMBERS.split(", ")[:3], "CAST(p_partkey % 11 - 5 AS INT) AS d", *NUMBERS.split(", ")[4:])
     return df.select("p_partkey", math_equal_udf(F.expr(GIVEN), F.expr(TRUTH)).alias("same"))
+
+
+@query("condensed_chats", """WITH a AS (SELECT conv_id, turn, role, text, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS i FROM conversations),
+b AS (SELECT *, sum(n) OVER (PARTITION BY conv_id) AS total, min(CASE WHEN role = 'user' THEN i END) OVER (PARTITION BY conv_id) AS first FROM a),
+c AS (SELECT *, CASE WHEN role = 'user' AND i <> first THEN 0 WHEN role <> 'user' AND n > 9 THEN 1 END AS turn_of FROM b WHERE text <> '(omitted)'),
+d AS (SELECT *, total - coalesce(sum(n - 9) OVER (PARTITION BY conv_id ORDER BY turn_of, CASE turn_of WHEN 0 THEN i ELSE -n END, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remains FROM c WHERE turn_of IS NOT NULL),
+e AS (SELECT conv_id, i, min(remains) OVER (PARTITION BY conv_id ORDER BY turn_of, CASE turn_of WHEN 0 THEN i ELSE -n END, i ROWS UNBOUNDED PRECEDING) > 600 AS gone FROM d)
+SELECT a.conv_id, a.turn, CASE WHEN coalesce(gone, false) THEN '(omitted)' ELSE text END AS condensed FROM a LEFT JOIN e ON a.conv_id = e.conv_id AND a.i = e.i""")
+def condensed_chats(t):
+    return condense(t.conversations, "conv_id", ["turn", "role", "text"], "role", "text", 600).select("conv_id", "turn", "condensed")

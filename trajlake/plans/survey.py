@@ -1,4 +1,4 @@
-"""Queries for single rules: each applies one operator to whole tables and states the rule again in SQL."""
+"""Queries for single rules over whole tables, with SQL for the same rows."""
 
 from __future__ import annotations
 
