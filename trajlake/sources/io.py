@@ -10,6 +10,7 @@ from pyspark.sql.types import StructType
 
 from trajlake.operators.joins import resume
 from trajlake.operators.shape import rl_row
+from trajlake.sources.json_arrays import read_json_array
 
 BAD = "_corrupt_record"
 
@@ -30,9 +31,14 @@ def read_any(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 
 def read_json_or_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON array or JSON lines, told by the first character that isn't blank; real_reward also fills eval_reward."""
+    """JSON array or JSON lines, told by the first character that isn't blank; real_reward also fills eval_reward.
+
+    Arrays of objects whose files have several splits are read by as many tasks (json_arrays), in no order; others in a task for each file.
+    """
     first = spark.read.text(path).filter("trim(value) <> ''").select(F.substring(F.ltrim("value"), 1, 1).alias("c")).limit(1).collect()
-    df = spark.read.schema(schema).json(path, multiLine=bool(first) and first[0]["c"] == "[")
+    array = bool(first) and first[0]["c"] == "["
+    large = array and not spark.read.option("lineSep", "}").text(path).filter("_metadata.file_block_start > 0").isEmpty()
+    df = read_json_array(spark, path, schema) if large else spark.read.schema(schema).json(path, multiLine=array)
     return df.withColumn("eval_reward", F.col("real_reward")) if "real_reward" in df.columns else df
 
 
@@ -46,7 +52,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     sizes = text.groupBy("file", "_at").agg(F.count("*").alias("_n"))
     base = sizes.select("file", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return text.withColumn("_k", F.row_number().over(split.orderBy("_i"))).join(F.broadcast(base), ["file", "_at"]).select("file", (F.col("_base") + F.col("_k")).alias("line"), "value")
+    return text.withColumn("_k", F.row_number().over(split.orderBy("_i"))).join(base, ["file", "_at"]).select("file", (F.col("_base") + F.col("_k")).alias("line"), "value")
 
 
 def read_lines(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
