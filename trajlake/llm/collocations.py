@@ -46,19 +46,18 @@ class Coded:
         self.keys, codes = [], []
         for lang in sorted(by_lang):
             words = b"\n".join(by_lang[lang]).translate(LOWER).replace(b"\n", b" " + END + b" ").split()
-            number = {END: -1}
-            first = len(self.keys) - 1  # as END is the first of them
-            part = np.array([number.setdefault(w, len(number)) for w in words], dtype=np.int64)
-            codes += [np.where(part < 0, -1, part + first), np.full(1, -1, np.int64)]
-            del number[END]
+            distinct = dict.fromkeys(words)
+            distinct.pop(END, None)
+            number = dict(zip(distinct, range(len(self.keys), len(self.keys) + len(distinct)))) | {END: -1}
+            codes += [np.fromiter(map(number.__getitem__, words), np.int64, len(words)), np.full(1, -1, np.int64)]
             head = lang.encode() + END
-            self.keys += [head + w for w in number]
+            self.keys += [head + w for w in distinct]
         self.codes = np.concatenate(codes) if codes else np.empty(0, np.int64)
 
     def words(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(order, hashes, counts) of the words, by buckets and in the order of their keys in each."""
         h = np.array([xxhash.xxh64_intdigest(k) for k in self.keys], dtype=np.uint64)
-        by_key = np.argsort(np.array([*self.keys, None], dtype=object)[:-1])
+        by_key = np.array(sorted(range(len(self.keys)), key=self.keys.__getitem__), dtype=np.int64)
         order = by_key[np.argsort(h[by_key] >> np.uint64(64 - bits), kind="stable")]
         return order, h[order], np.bincount(self.codes[self.codes >= 0], minlength=len(self.keys))[order]
 
@@ -272,11 +271,14 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, share: int
 def op11_pair_naming(spark, sf_dir):
     """Each language's first 2000 collocations of 2 to 3 words: lang, rank, phrase, a, l, r, n, score.
 
-    Ranked by score, then a (falling), then phrase in UTF-8 byte order.
+    Ranked by score, then a (falling), then phrase in UTF-8 byte order. A language's rows are ranked in parts first, so that
+    the task that ranks it in the end has 64 times 2000 rows at most.
     """
     found = collocations(table(spark, sf_dir, "documents"))
-    w = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = found.withColumn("rank", F.row_number().over(w)).filter("rank <= 2000")
+    order = (F.desc("score"), F.desc("a"), "phrase")
+    part = F.pmod(F.xxhash64("phrase"), F.lit(64))
+    first = found.withColumn("part", part).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter("rank <= 2000")
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter("rank <= 2000")
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
