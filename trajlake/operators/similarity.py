@@ -1,8 +1,9 @@
 """Exact cosine similarity joins over embedding columns, and deduplication rules on top of them.
 
-A stated set of queries goes in blocks against all rows (scores, top_k). All rows against all rows is a join by metric
-partitions (nearest_of_all): the angle between vectors is a metric, so bounds on the angles to a few pivots tell which
-pairs of blocks can hold a pair over the cutoff at all.
+A stated set of queries goes in blocks against all rows (scores, top_k). All rows against all rows (nearest_of_all) is a
+Cartesian product of rows that hold thousands of packed vectors each, so that vectors are shuffled and written once, however
+many pairs there are. The angle between vectors is a metric: bounds on the angles to a few pivots tell which vectors of two
+packs can form a pair over the cutoff at all.
 """
 
 from __future__ import annotations
@@ -144,14 +145,14 @@ class Cells:
     blocks: np.ndarray
     radius: np.ndarray
 
-    def reach(self, angles: np.ndarray, cell: np.ndarray, most: float) -> np.ndarray:
-        """For rows by their angles to all pivots: can a row of that cell be within the angle `most`?
+    def reach(self, v: np.ndarray, p: int, q: int, most: float) -> np.ndarray:
+        """For unit rows v of the cell p: can a row of the cell q be within the angle `most`?
 
         For x in the cell of p and y in that of q with an angle of at most `most`, the triangle inequality gives (x, q) <= most +
         (y, q) <= most + radius of q; and as q is y's nearest pivot, (y, q) <= (y, p) <= most + (x, p).
         """
-        own = angles[np.arange(len(angles)), cell][:, None]
-        return (angles <= most + self.radius[None, :] + SLACK) & (angles <= own + 2 * most + SLACK)
+        own, other = _angles(v, self.pivots[[p, q]]).T
+        return (other <= most + self.radius[q] + SLACK) & (other <= own + 2 * most + SLACK)
 
     def compared(self, most: float) -> float:
         """The share of all pairs of rows that lie in pairs of cells which bounds on the cells alone can't tell apart."""
@@ -160,7 +161,9 @@ class Cells:
         return float((self.rows[:, None] * self.rows[None, :] * near).sum() / max(1, self.rows.sum() ** 2))
 
 
-SLACK = 1e-6  # far above what rounding does to an angle
+SLACK = 2e-3  # above what rounding does to an angle, to single precision too: arccos turns 1e-7 near 1 into 5e-4
+PACK_BYTES, PACKS = 1 << 21, 4  # of a pack's vectors at most; packs in a partition of the product
+TILE = 256  # rows whose scores with another cell's rows are held at once
 
 
 def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -203,74 +206,192 @@ def _best(row: np.ndarray, index: np.ndarray, score: np.ndarray, k: int) -> tupl
     return row[keep], index[keep], score[keep]
 
 
+@dataclass
+class Pack:
+    """Vectors of some cells by cell and id: raw, as single precision unit rows, and where each cell's rows lie.
+
+    Of equal vectors only those with the least ids can be among any row's k nearest; they are told by `first`.
+    """
+
+    cells: dict[int, slice]
+    ids: np.ndarray
+    first: np.ndarray
+    raw: np.ndarray
+    unit: np.ndarray
+
+    @classmethod
+    def read(cls, cell: bytes, ids: bytes, first: bytes, raw: bytes, dtype: str) -> Pack:
+        at = np.frombuffer(cell, np.int32)
+        start = np.flatnonzero(np.diff(at, prepend=-1))
+        v = np.frombuffer(raw, dtype).reshape(len(at), -1)
+        cells = {int(at[a]): slice(a, e) for a, e in zip(start, [*start[1:], len(at)])}
+        return cls(cells, np.frombuffer(ids, np.int64), np.frombuffer(first, np.bool_), v, _unit(v.astype(np.float64)).astype(np.float32))
+
+
+def _first_of_equal(ids: np.ndarray, raw: np.ndarray, k: int) -> np.ndarray:
+    """Which rows are, of those with an equal vector, among the first k of one of the k + 1 least ids.
+
+    Whatever id is left out, the k rows with the least other ids are among them.
+    """
+    same = np.unique(np.ascontiguousarray(raw).view(np.dtype((np.void, raw.shape[1] * raw.itemsize))).ravel(), return_inverse=True)[1]
+    order = np.lexsort((ids, same))
+    of, by = same[order], ids[order]
+    new_vector = np.diff(of, prepend=-1) != 0
+    new_id = new_vector | (np.diff(by, prepend=by[:1]) != 0)
+    at, rank = np.arange(len(ids)), np.cumsum(new_id)
+    nth_id = rank - rank[np.maximum.accumulate(np.where(new_vector, at, 0))]
+    nth_row = at - np.maximum.accumulate(np.where(new_id, at, 0))
+    out = np.empty(len(ids), np.bool_)
+    out[order] = (nth_id <= k) & (nth_row < k)
+    return out
+
+
+def _rough(width: int) -> float:
+    """Scores of unit rows in single precision are nearer than that to exact ones, rounded to nine places."""
+    return (width + 8) * 2.0**-23 + 1e-9
+
+
+def _exact(a: np.ndarray, i: np.ndarray, c: np.ndarray, j: np.ndarray) -> np.ndarray:
+    out = np.empty(len(i))
+    for n in range(0, len(i), 1 << 14):
+        e = slice(n, n + (1 << 14))
+        out[e] = np.einsum("ij,ij->i", _unit(a[i[e]].astype(np.float64)), _unit(c[j[e]].astype(np.float64)))
+    return np.round(out, 9)
+
+
+def _crowded(s: np.ndarray, ids: np.ndarray, other_ids: np.ndarray, k: int, low: float, off: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, column) of rough scores that can be over low and among the best k of their row; columns are in the order of ids."""
+    lo, hi = np.searchsorted(other_ids, ids), np.searchsorted(other_ids, ids, "right")
+    for i in np.flatnonzero(hi > lo):
+        s[i, lo[i] : hi[i]] = -np.inf
+    least = np.full((len(s), 1), low, np.float32)
+    if s.shape[1] > k:
+        least[:, 0] = np.maximum(least[:, 0], np.partition(s, s.shape[1] - k, axis=1)[:, -k] - np.float32(2 * off))
+    return np.divmod(np.flatnonzero((s >= least) & (s > -np.inf)), s.shape[1])
+
+
+def _compared(a: Pack, c: Pack, cells: Cells, most: float, k: int, cutoff: float | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, index, score) of rows of two packs, both ways, or of one with itself; among them the best k of each row.
+
+    Scores in single precision tell which pairs can be over the cutoff and, where there are many, among the best k.
+    """
+    off = _rough(a.raw.shape[1])
+    low = -np.inf if cutoff is None else np.float32(cutoff - off)
+
+    def ways(i: np.ndarray, j: np.ndarray, x: np.ndarray, there: np.ndarray, back: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if cutoff is not None:
+            there, back = there & (x > cutoff), back & (x > cutoff)
+        yield _best(a.ids[i[there]], c.ids[j[there]], x[there], k)
+        yield _best(c.ids[j[back]], a.ids[i[back]], x[back], k)
+
+    for p, rows in a.cells.items():
+        for q, others in c.cells.items():
+            i, j = np.arange(rows.start, rows.stop), np.arange(others.start, others.stop)
+            if most < np.pi:
+                i, j = i[cells.reach(a.unit[rows], p, q, most)], j[cells.reach(c.unit[others], q, p, most)]
+            if not len(i) or not len(j):
+                continue
+            right, fj = c.unit[j].T, j[c.first[j]]
+            for t in range(0, len(i), TILE):
+                r = i[t : t + TILE]
+                s = a.unit[r] @ right
+                n = s.size if cutoff is None else np.count_nonzero(s >= low)
+                if n <= 2 * k * (len(r) + len(j)):
+                    if n:
+                        x, y = np.divmod(np.flatnonzero(s >= low), len(j))
+                        x, y = r[x], j[y]
+                        other = a.ids[x] != c.ids[y]
+                        yield from ways(x, y, _exact(a.raw, x, c.raw, y), other & c.first[y], other & a.first[x] & (a is not c))
+                    continue
+                f = r[a.first[r]]
+                if a is not c and len(f):
+                    y, x = _crowded(np.ascontiguousarray(s[a.first[r]].T), c.ids[j], a.ids[f], k, low, off)
+                    x, y, some = f[x], j[y], np.ones(len(x), np.bool_)
+                    yield from ways(x, y, _exact(a.raw, x, c.raw, y), ~some, some)
+                if len(fj):
+                    x, y = _crowded(s if len(fj) == len(j) else s[:, c.first[j]], a.ids[r], c.ids[fj], k, low, off)
+                    x, y, some = r[x], fj[y], np.ones(len(x), np.bool_)
+                    yield from ways(x, y, _exact(a.raw, x, c.raw, y), some, ~some)
+
+
 def nearest_of_all(df: DataFrame, id_: str, vec: str, k: int, block_rows: int = 2048, cutoff: float | None = None) -> DataFrame:
     """(query_id, index_id, score): the k nearest other rows of every row, of those over the cutoff if there is one; of equal scores
     (nine places) the smaller id first.
 
-    Exact. Rows belong to the cell of their nearest pivot, cells are dealt to blocks of some block_rows rows, and a row goes to each
-    pair of blocks that it can have a match in (Cells.reach). A task compares two blocks, whichever cell holds most rows.
-    Where vectors have no clusters, or without a cutoff, bounds tell little and all pairs of blocks are compared. Rows without an
+    Exact. Rows belong to the cell of their nearest pivot; cells are dealt to blocks of some block_rows rows, blocks to packs of
+    some four blocks, and each pack is one row of a checkpointed table. Tasks of that table's Cartesian product with itself
+    read two of its partitions and compare each pack of one with each of the other, leaving out rows that can't have a match in a
+    cell (Cells.reach). So the work is quadratic where vectors have no clusters, or without a cutoff, while a vector
+    is shuffled once and written once, and a task holds a few packs and gives k pairs at most for each of its rows. Rows without an
     id, or whose vector is null, not finite or of another width than most, have no neighbours; zero vectors score 0;
     rows with equal ids are not each other's neighbours.
     """
-    rows = _vectors(df, id_, vec)
+    spark, rows = df.sparkSession, _vectors(df, id_, vec)
     cells = cells_of(rows, block_rows)
     if cells is None:
-        return df.sparkSession.createDataFrame([], PAIR)
+        return spark.createDataFrame([], PAIR)
     most = np.pi if cutoff is None else float(np.arccos(np.clip(cutoff, -1.0, 1.0)))
     if cutoff is not None and cutoff < 0:
         most = np.pi  # a zero vector's score of 0 is over it, whatever its angle
-    base = np.concatenate([[0], np.cumsum(cells.blocks)])
-    total = int(base[-1])
+    width = cells.pivots.shape[1]
+    dtype = "float32" if df.schema[vec].dataType.simpleString() == "array<float>" else "float64"
+    pack_rows = max(1, min(4 * block_rows, PACK_BYTES // (width * np.dtype(dtype).itemsize)))
+    blocks = np.maximum(cells.blocks, -(-cells.rows // pack_rows))
+    base = np.concatenate([[0], np.cumsum(blocks)])
+    size = np.repeat(cells.rows / blocks, blocks)
+    pack_of = ((np.cumsum(size) - size) // pack_rows).astype(np.int64)
+    packs = int(pack_of[-1]) + 1
+    parts = max(-(-packs // PACKS), min(packs, int(np.ceil(np.sqrt(8 * spark.sparkContext.defaultParallelism)))))
+    mixer = np.random.default_rng(1).integers(1, 1 << 63, width, np.uint64) | np.uint64(1)
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for a in range(0, b.num_rows, 1024):
                 part = b.slice(a, 1024)
-                ids, v = part.column(0).to_numpy(), _unit(_matrix(part.column(1), cells.pivots.shape[1]))
-                angles = _angles(v, cells.pivots)
-                cell = angles.argmin(1)
-                mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-                block = base[cell] + (mixed % cells.blocks[cell].astype(np.uint64)).astype(np.int64)
-                i, q = np.nonzero(cells.reach(angles, cell, most))
-                times = cells.blocks[q]
-                i, other = np.repeat(i, times), np.repeat(base[q], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                pair = np.minimum(block[i], other) * total + np.maximum(block[i], other)
-                packed = [x.tobytes() for x in v]
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(block[i]), pa.array(ids[i]), pa.array([packed[x] for x in i], pa.binary())], ["pair", "block", "id", "v"])
-
-    def met(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+                ids, v = part.column(0).to_numpy(), _matrix(part.column(1), width)
+                cell = _angles(_unit(v), cells.pivots).argmin(1)
+                mixed = ((ids.astype(np.uint64) + (v.view(np.uint64) * mixer).sum(1)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                block = base[cell] + (mixed % blocks[cell].astype(np.uint64)).astype(np.int64)
+                packed = [x.tobytes() for x in v.astype(dtype)]
+                yield pa.RecordBatch.from_arrays([pa.array(pack_of[block]), pa.array(cell.astype(np.int32)), pa.array(ids), pa.array(packed, pa.binary())], ["pack", "cell", "id", "v"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
         t = pa.Table.from_batches(held)
-        block, ids = t.column("block").to_numpy(), t.column("id").to_numpy()
-        v = np.frombuffer(b"".join(t.column("v").to_pylist())).reshape(len(ids), -1)
-        sides = [np.flatnonzero(block == x) for x in np.unique(block)]
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
-        if len(sides) == 2 or held[0].column(0)[0].as_py() % (total + 1) == 0:  # two blocks, or one with itself
-            for a, c in ((sides[0], sides[-1]), (sides[-1], sides[0]))[: len(sides)]:
-                s = np.round(v[a] @ v[c].T, 9)
-                ok = ids[a][:, None] != ids[c][None, :]
-                if cutoff is not None:
-                    ok &= s > cutoff
-                i, j = np.nonzero(ok)
-                found.append(_best(ids[a][i], ids[c][j], s[i, j], k))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], ["query_id", "index_id", "score"])
+        pack, cell, ids = (t.column(i).to_numpy() for i in range(3))
+        v = np.frombuffer(b"".join(t.column(3).to_pylist()), dtype).reshape(len(ids), width)
+        for n in np.unique(pack):
+            i = np.flatnonzero(pack == n)
+            i = i[np.lexsort((ids[i], cell[i]))]
+            columns = [x.tobytes() for x in (cell[i], ids[i], _first_of_equal(ids[i], v[i], k), v[i])]
+            yield pa.RecordBatch.from_arrays([pa.array([n]), *[pa.array([x], pa.binary()) for x in columns]], ["pack", "cell", "id", "first", "v"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, now = [], None
+        held, count, left = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))], 0, (None, None)
         for b in batches:
-            keys = b.column(0).to_numpy()
-            cut = [0, *(np.flatnonzero(np.diff(keys)) + 1), len(keys)]
-            for a, e in zip(cut, cut[1:]):
-                if e > a:
-                    if held and now != keys[a]:
-                        yield met(held)
-                        held = []
-                    now = keys[a]
-                    held.append(b.slice(a, e - a))
-        if held:
-            yield met(held)
-
-    pairs = rows.mapInArrow(sent, "pair long, block long, id long, v binary").repartition("pair").sortWithinPartitions("pair").mapInArrow(compare, PAIR)
+            for n in range(b.num_rows):
+                a_pack, c_pack = b.column(0)[n].as_py(), b.column(5)[n].as_py()
+                if left[0] != a_pack:
+                    left = a_pack, Pack.read(*[b.column(x)[n].as_py() for x in range(1, 5)], dtype)
+                right = left[1] if a_pack == c_pack else Pack.read(*[b.column(x)[n].as_py() for x in range(6, 10)], dtype)
+                for got in _compared(left[1], right, cells, most, k, cutoff):
+                    held.append(got)
+                    count += len(got[0])
+                    if count > 1 << 20:
+                        held = [_best(*[np.concatenate(x) for x in zip(*held)], k)]
+                        count = 0
+        best = _best(*[np.concatenate(x) for x in zip(*held)], k)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in best], ["query_id", "index_id", "score"])
+
+    table, part = rows.mapInArrow(sent, "pack long, cell int, id long, v binary"), (F.col("pack") % parts).cast("int")
+    table = table.repartitionById(parts, part) if hasattr(table, "repartitionById") else table.repartition(parts, part)
+    table = pinned(table.mapInArrow(together, "pack long, cell binary, id binary, first binary, v binary"))
+    other = table.select(*[F.col(c).alias(f"{c}_2") for c in table.columns]).hint("shuffle_replicate_nl")
+    # each two packs meet in one of their two places, so that all tasks have some work
+    once = F.when((F.col("pack") + F.col("pack_2")) % 2 == 0, F.col("pack") >= F.col("pack_2")).otherwise(F.col("pack") < F.col("pack_2"))
+    pairs = table.join(other, once).mapInArrow(compare, PAIR)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "index_id")
     return pairs.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= k).drop("_rank")
 
